@@ -1,3 +1,47 @@
-"""The corpus pipeline: documents through quality, near-dedup, decontamination, mixing and tokens."""
+"""The corpus pipeline: quality classifier, near-dedup, decontamination, mixing and token output over documents."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from verdict_lake.llm import decontam, mixing, quality_model, simhash, tokenfile
+from verdict_lake.llm.store import stored, table
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality_model.quality_kept(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies by SimHash."""
+    return simhash.near_dedup(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files: doc_id, start, n_tokens, ids_crc32 of each document (each copy is one), read from them."""
+    return tokenfile.token_report(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", classify), ("near_dedup", dedup), ("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]
+
+#: No SQL gives these rows: the classifier is trained and the tokenizer is a library.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

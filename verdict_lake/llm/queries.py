@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality_rules, simhash
+import public_tokenizers
+
+from . import chat, decontam, mixing, quality_model, quality_rules, simhash, tokenfile
 from .store import table
 
 
+def op1_decontam(spark, sf_dir):
+    return decontam.decontam_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_tokens(spark, sf_dir):
+    return tokenfile.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_quality_model(spark, sf_dir):
+    return quality_model.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.rule_report(table(spark, sf_dir, "documents"))
 
@@ -22,6 +36,15 @@ def op10_chat(spark, sf_dir):
     return chat.chat_report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_simhash, op9_mixing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_decontam, op2_tokens, op6_quality_model, op7_quality_rules, op8_simhash, op9_mixing, op10_chat)}
+
+ORACLES = {"op1_decontam": decontam.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE}
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
-ORACLES = {"op7_quality_rules": quality_rules.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE}
+QUERIES["pipeline"] = pipeline
