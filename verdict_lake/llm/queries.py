@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, decontam, mixing, quality_model, quality_rules, simhash, tokenfile
+from . import chat, decontam, mixing, pii, quality_model, quality_rules, simhash, substring_dedup, suffix_dedup, tokenfile
 from .store import table
 
 
@@ -16,6 +16,18 @@ def op2_tokens(spark, sf_dir):
     return tokenfile.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_report(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_report(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark, sf_dir):
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_model(spark, sf_dir):
     return quality_model.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,7 +48,7 @@ def op10_chat(spark, sf_dir):
     return chat.chat_report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op2_tokens, op6_quality_model, op7_quality_rules, op8_simhash, op9_mixing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_decontam, op2_tokens, op3_suffix_dedup, op4_substring_dedup, op5_pii, op6_quality_model, op7_quality_rules, op8_simhash, op9_mixing, op10_chat)}
 
 ORACLES = {"op1_decontam": decontam.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE}
 
