@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .plans import content, files, posts, votes, work  # noqa: F401  registers their queries
+from .plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
