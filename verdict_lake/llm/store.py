@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_folder, workers_find_package
+
 #: A table is broadcast only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 2_000_000
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: short lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = folder(spark)
+    path = scratch_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,10 +38,7 @@ def python_ready(spark: SparkSession, rows: int = 500) -> None:
     """Small Arrow batches, so that a batch of very long texts still fits a worker; and workers that find this package
     where it runs from a checkout."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    root = str(Path(__file__).resolve().parents[2])
-    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(":") if p]
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = ":".join([*paths, root])
+    workers_find_package(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
