@@ -32,9 +32,9 @@ def write_typed_tables(tables: dict[str, DataFrame], path: str) -> None:
         (writer.partitionBy("snapshot_id") if name == "memes" else writer).parquet(f"{path}/{name}")
 
 
-def read_published_tables(spark: SparkSession, path: str, kind: str = "json") -> dict[str, DataFrame]:
-    """The four tables, with their schemas, from JSON lines or Parquet."""
-    reader = {name: spark.read.schema(schema) for name, schema in SCHEMAS.items()}
+def read_published_tables(spark: SparkSession, path: str, kind: str = "json", names: tuple[str, ...] = tuple(SCHEMAS)) -> dict[str, DataFrame]:
+    """The four tables, or those named, with their schemas, from JSON lines or Parquet."""
+    reader = {name: spark.read.schema(schema) for name, schema in SCHEMAS.items() if name in names}
     return {name: (r.json if kind == "json" else r.parquet)(f"{path}/{name}") for name, r in reader.items()}
 
 
