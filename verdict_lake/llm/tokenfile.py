@@ -8,6 +8,8 @@ a document is a run of symbols, and the expansion lengths give its place without
 
 from __future__ import annotations
 
+import collections
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,14 +28,19 @@ END_ID = 2
 SHARD_IDS = 1 << 21
 #: Rounds of replacement, pairs replaced in one, and how often a pair must occur in its shard.
 ROUNDS, PAIRS, LEAST = 6, 4096, 16
-#: Distinct words of which a task remembers the ids.
-REMEMBERED = 400_000
-BLANKS = {k: " " for k in range(9, 14)}
+#: Distinct words whose ids a Python worker remembers, from one task to the next.
+REMEMBERED = 600_000
+#: Marks that end words. They are pieces of their own after a Latin letter or digit (before U+0130, which lower-cases to
+#: a letter and a mark); none is part of a special token.
+MARKS = ".,;:!?#*$%&"
+BLANKS = "\t\n\x0b\x0c\r"
+SLOTS = 1 << 20
 SHARD = "part int, seq int, n_docs long, n_ids long, first_symbol long, doc_ids binary, id_counts binary, symbol_counts binary, rules binary, lengths binary, symbols binary"
 
 
 class Encoder:
-    """Encodes texts with a tokenizer that drops white space, word by word: a word's ids don't depend on its neighbours."""
+    """Encodes texts with a tokenizer that lower-cases and drops white space, word by word: a word's ids don't depend on
+    its neighbours. Words are looked up without case where lower-casing commutes with normalizing (no combining marks)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,43 +48,68 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def words(self, text: str) -> list[str]:
+        if text.isascii() or max(text) < "\u0300":
+            text = text if "<|" in text else text.lower()
+        for blank in BLANKS:
+            text = text.replace(blank, " ")
+        return text.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [t.translate(BLANKS).split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        split = [self.words(t) for t in texts]
+        cut = {}
+        for w in set().union(*split):
+            body = w.rstrip(MARKS)
+            cut[w] = (body, w[len(body) :]) if body != w and body and body[-1].isalnum() and body[-1] < "\u0130" else (w, "")
         known = self.known
-        new = [w for w in set().union(*split) if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        new = list({x for pair in cut.values() for x in pair if x not in known})
+        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        fresh = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, coded)}
+        if len(known) + len(fresh) <= REMEMBERED:
+            known.update(fresh)
+        else:
+            known = collections.ChainMap(fresh, known)
+        ids = {w: known[body] + known[marks] if marks else known[body] for w, (body, marks) in cut.items()}.__getitem__
+        return [b"".join(map(ids, words)) for words in split]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder a Python worker, so that later tasks find the words of earlier ones."""
+    return Encoder(path)
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Symbols, whether each ends a document, and the rules (pairs of symbols) of each round, numbered from first on.
 
     A round counts all pairs within documents, takes the most frequent ones (PAIRS at most, each LEAST times or more)
-    and replaces them from left to right; where two chosen pairs overlap, the left one goes.
+    and replaces them from left to right; where two chosen pairs overlap, the left one goes. Counts are kept in hashed
+    slots; of pairs that share a slot only the first is a candidate in that round.
     """
     rules: list[np.ndarray] = []
-    symbols = ids.astype(np.uint64)
+    symbols, ends = ids.astype(np.uint64), ends.copy()
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
         pairs = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        inside = ~ends[:-1]
-        # hashed counts are no smaller than the true ones: rare pairs leave before the sort
         slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        often = inside & (np.bincount(slot[inside], minlength=1 << 20)[slot] >= LEAST)
-        at = np.flatnonzero(often)
-        found, where, counts = np.unique(pairs[at], return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")[:PAIRS]
-        order = np.sort(order[counts[order] >= LEAST])
-        if not len(order):
+        slot[ends[:-1]] = SLOTS
+        pair_of = np.zeros(SLOTS + 1, dtype=np.uint64)
+        pair_of[slot[::-1]] = pairs[::-1]
+        often = np.bincount(slot, minlength=SLOTS + 1) >= LEAST
+        often[SLOTS] = False
+        at = np.flatnonzero(often[slot])
+        at = at[pair_of[slot[at]] == pairs[at]]
+        slot = slot[at]
+        counts = np.bincount(slot, minlength=SLOTS)
+        chosen = np.flatnonzero(counts >= LEAST)
+        if not len(chosen):
             break
-        number = np.full(len(found), -1, dtype=np.int64)
-        number[order] = np.arange(len(order))
-        which = number[where]
+        chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:PAIRS]])
+        number = np.full(SLOTS, -1, dtype=np.int64)
+        number[chosen] = np.arange(len(chosen))
+        which = number[slot]
         at, which = at[which >= 0], which[which >= 0]
         # in a run of overlapping pairs every second one goes
         fresh = np.concatenate([[True], np.diff(at) != 1])
@@ -89,8 +121,9 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, n
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
         symbols, ends = symbols[keep], ends[keep]
-        rules.append(np.stack([found[order] >> np.uint64(32), found[order] & np.uint64(0xFFFFFFFF)], axis=1).astype("<u4"))
-        first += len(order)
+        table = pair_of[chosen]
+        rules.append(np.stack([table >> np.uint64(32), table & np.uint64(0xFFFFFFFF)], axis=1).astype("<u4"))
+        first += len(chosen)
         if len(at) < len(symbols) // 100:
             break
     return symbols.astype("<u4"), ends, rules
@@ -109,30 +142,30 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+def expansions(rules: np.ndarray, lengths: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A table of the ids that all symbols stand for, one after another, and each symbol's place and length in it."""
+    size = np.concatenate([np.ones(first, dtype=np.int64), lengths])
+    place = np.cumsum(size) - size
+    table = np.empty(int(size.sum()), dtype="<u4")
+    table[:first] = np.arange(first)
+    for k, (left, right) in enumerate(rules.tolist(), first):
+        at, middle = place[k], place[k] + size[left]
+        table[at:middle] = table[place[left] : place[left] + size[left]]
+        table[middle : at + size[k]] = table[place[right] : place[right] + size[right]]
+    return table, place, size
+
+
+def expand(symbols: np.ndarray, table: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The ids that symbols stand for."""
-    symbols = symbols.astype(np.int64)
-    while True:
-        pair = symbols >= first
-        if not pair.any():
-            return symbols.astype("<u4")
-        at = np.cumsum(1 + pair) - 1 - pair
-        out = np.empty(len(symbols) + int(pair.sum()), dtype=np.int64)
-        out[at[~pair]] = symbols[~pair]
-        out[at[pair]] = rules[symbols[pair] - first, 0]
-        out[at[pair] + 1] = rules[symbols[pair] - first, 1]
-        symbols = out
+    n = size[symbols]
+    upto = np.cumsum(n)
+    return table[np.repeat(place[symbols] - upto + n, n) + np.arange(int(upto[-1]) if len(upto) else 0)]
 
 
 def packed(array: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(array).tobytes(), 1)
 
 
-def narrow(array: np.ndarray) -> np.ndarray:
-    """Symbols in two bytes where they fit."""
-    return array.astype("<u2") if not len(array) or int(array.max()) < 1 << 16 else array.astype("<u4")
-
-
 def unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), dtype=kind)
 
@@ -162,7 +195,7 @@ def shard_row(part: int, seq: int, doc_ids: list, coded: list[bytes], vocabulary
 
 def encoded_shards(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
+        coder, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         schema = None
         ids: list = []
         coded: list[bytes] = []
@@ -170,13 +203,13 @@ def encoded_shards(path: str, end_id: int):
         tail = np.array([end_id], dtype="<u4").tobytes()
 
         def shard() -> pa.RecordBatch:
-            row = shard_row(part, seq, ids, coded, encoder.vocabulary)
+            row = shard_row(part, seq, ids, coded, coder.vocabulary)
             types = {"part": pa.int32(), "seq": pa.int32()} | {k: pa.int64() for k in ("n_docs", "n_ids", "first_symbol")}
             return pa.RecordBatch.from_arrays([pa.array([v], types.get(k, pa.binary())) for k, v in row.items()], list(row))
 
         for batch in batches:
             ids += batch.column("doc_id").to_pylist()
-            new = [c + tail for c in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
+            new = [c + tail for c in coder.encode([t or "" for t in batch.column("text").to_pylist()])]
             coded += new
             held += sum(map(len, new))
             if held >= 4 * SHARD_IDS:
@@ -201,11 +234,14 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
     return stored(dealt.mapInArrow(encoded_shards(tokenizer, end_id), SHARD))
 
 
+def grammar_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return expansions(unpacked(row["rules"], "<u4").reshape(-1, 2), unpacked(row["lengths"], "<i8"), row["first_symbol"])
+
+
 def documents_of(row: dict) -> Iterator[tuple[int | None, np.ndarray]]:
     """doc_id and symbols' ids of each document of a shard."""
     ids, present = unpacked(row["doc_ids"], "<i8").reshape(2, -1)
-    rules = unpacked(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
-    all_ids = expand(np.frombuffer(row["symbols"], dtype="<u4"), rules, row["first_symbol"])
+    all_ids = expand(np.frombuffer(row["symbols"], dtype="<u4"), *grammar_of(row))
     upto = np.cumsum(unpacked(row["id_counts"], "<i8"))
     for k, there, a, b in zip(ids.tolist(), present.tolist(), [0, *upto[:-1].tolist()], upto.tolist()):
         yield (k if there else None), all_ids[a:b]
@@ -214,9 +250,8 @@ def documents_of(row: dict) -> Iterator[tuple[int | None, np.ndarray]]:
 def document_at(row: dict, k: int) -> np.ndarray:
     """Random access: the ids of the k-th document of a shard, expanding its own symbols alone."""
     upto = np.cumsum(unpacked(row["symbol_counts"], "<i8"))
-    rules = unpacked(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
     symbols = np.frombuffer(row["symbols"], dtype="<u4")
-    return expand(symbols[(upto[k - 1] if k else 0) : upto[k]], rules, row["first_symbol"])
+    return expand(symbols[(upto[k - 1] if k else 0) : upto[k]], *grammar_of(row))
 
 
 def id_at(row: dict, position: int) -> int:
