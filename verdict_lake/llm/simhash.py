@@ -123,31 +123,38 @@ def near_links(nodes: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(linked(radius), "a long, b long")
 
 
+def grouped(docs: DataFrame, radius: int) -> DataFrame:
+    """id (doc_id, null as the largest), body (a hash of the text), fp, first (the smallest id of the row's component)
+    and root, a name of the component."""
+    python_ready(docs.sparkSession)
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP))
+    prints = stored(docs.select(ids.alias("id"), F.xxhash64("text").alias("body"), simhash_of("text").alias("fp")))
+    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    joined = components(stored(near_links(nodes.select("fp", F.col("fp").alias("node")), radius)))
+    rooted = stored(nodes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root")))
+    firsts = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return prints.join(rooted.join(firsts, "root").select("fp", "root", "first"), "fp")
+
+
 def near_groups(docs: DataFrame, radius: int = 2) -> DataFrame:
     """doc_id, fp (long), component_id: a row for each row of docs.
 
     A null text is empty; empty texts have fingerprint 0 and are linked. A null doc_id counts as the largest: it names a
     component only where no other id is in it, and then the component_id is null. Repeated rows share a component.
     """
-    python_ready(docs.sparkSession)
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP))
-    prints = stored(docs.select(ids.alias("id"), simhash_of("text").alias("fp")))
-    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("node")))
-    joined = components(stored(near_links(nodes, radius)))
-    named = nodes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    null_top = lambda c: F.nullif(F.col(c), F.lit(TOP)).alias
-    return prints.join(named, "fp").select(null_top("id")("doc_id"), "fp", null_top("component_id")("component_id"))
+    shown = lambda c: F.nullif(F.col(c), F.lit(TOP))
+    return grouped(docs, radius).select(shown("id").alias("doc_id"), "fp", shown("first").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """docs with one document of each group: that of the smallest doc_id. Of rows that repeat its doc_id one stays."""
-    groups = stored(near_groups(docs, radius).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("_n")))
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), "_n")
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")))
-    if groups.filter("_n > 1").isEmpty():
-        return kept.select(*docs.columns)
+    """docs with one row of each group: one of the smallest doc_id; of several texts under it, one; of repeats, one."""
+    own = grouped(docs, radius).filter("id = first").groupBy("root", "id", "body").agg(F.count("*").alias("n"))
+    keep = stored(own.groupBy("root", "id").agg(F.min(F.struct("body", "n")).alias("x")).select(F.col("id").alias("_id"), F.col("x.body").alias("_body"), F.col("x.n").alias("_n")))
+    kept = docs.join(keep, (F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)) == F.col("_id")) & (F.xxhash64("text") == F.col("_body")))
     once = kept.filter("_n = 1").select(*docs.columns)
-    return once.unionByName(kept.filter("_n > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+    if keep.filter("_n > 1").isEmpty():
+        return once
+    return once.unionByName(kept.filter("_n > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
