@@ -35,6 +35,7 @@ def ranked_leaves(messages: DataFrame, keep: int = 1) -> DataFrame:
     link = stored(messages.select("tree", "node", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).alias("sum")))
     nodes = link.count()
     hops = 1
+    # messages of a cycle or under a cycle never reach a root: after as many hops as there are nodes they are left out
     while hops <= nodes and not link.filter("up is not null").isEmpty():
         above = link.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"))
         # a parent that is missing leaves the link open for ever: its messages are dropped here
@@ -55,10 +56,14 @@ def path_nodes(messages: DataFrame, leaves: DataFrame) -> DataFrame:
     jump = stored(messages.filter("parent is not null").select("tree", "node", F.col("parent").alias("up")))
     found = stored(leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("height")))
     hops = 1
-    while not jump.isEmpty():
-        more = found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + hops).alias("height"))
+    while True:
+        more = stored(found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + hops).alias("height")))
+        # the leaves' ways end at roots, so this ends, even where other messages form a cycle
+        if more.isEmpty():
+            break
         last, found = found, stored(found.unionByName(more))
         drop(last)
+        drop(more)
         above = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"))
         last, jump = jump, stored(jump.join(above, ["tree", "up"]).select("tree", "node", F.col("_up").alias("up")))
         drop(last)
