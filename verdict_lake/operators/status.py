@@ -161,6 +161,12 @@ def facets(posts: DataFrame, predictions: DataFrame) -> DataFrame:
     return a.unionByName(predictions.select(F.lit("model").alias("facet"), F.col("model_id").alias("value")).distinct())
 
 
+def validated_by_title(posts: DataFrame, reviews: DataFrame, n: int) -> DataFrame:
+    """The first n validated posts by title, then id."""
+    rows = posts.join(reviews.filter("status = 'validated'").select("post_id"), "post_id", "left_semi")
+    return rows.select("post_id", "title").orderBy("title", "post_id").limit(n)
+
+
 def truncated(text: Column, n: int, empty: str = "") -> Column:
     """One line of at most n characters, cut with an ellipsis."""
     line = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit(empty)), "\n", " "), r"^\s+|\s+$", "")

@@ -292,6 +292,14 @@ pairs as (select q as pending_id, r as reviewed_id, qv = rv and qv % 20 = 0 as e
 best as (select pending_id, arg_min(reviewed_id, (not exact, dh + ah, reviewed_id)) as reviewed_id, arg_min(exact, (not exact, dh + ah, reviewed_id)) as exact, arg_min(dh, (not exact, dh + ah, reviewed_id)) as dh, arg_min(ah, (not exact, dh + ah, reviewed_id)) as ah from pairs group by pending_id)"""
 
 
+@query(f"with {PAIRS} select pending_id, reviewed_id, exact, dh, ah from pairs where not exact")
+def candidate_duplicates(t):
+    """All pairs but the exact ones, of which each pending post has one at most."""
+    return D.candidate_pairs(*_fingerprints(t)).filter("not exact").join(
+        D.candidate_pairs(*_fingerprints(t)).filter("exact").select("pending_id", "reviewed_id"), ["pending_id", "reviewed_id"], "left_anti"
+    ).select("pending_id", "reviewed_id", "exact", "dh", "ah")
+
+
 @query(f"with {PAIRS} select pending_id, reviewed_id, exact, dh, ah from best")
 def near_duplicate_images(t):
     return D.best_duplicate(D.candidate_pairs(*_fingerprints(t)))

@@ -192,6 +192,11 @@ def facets(t):
     return S.facets(t.memes, t.predictions)
 
 
+@query("select post_id, title from memes where post_id in (select post_id from reviews where status = 'validated') order by title, post_id limit 200")
+def validated_by_title(t):
+    return S.validated_by_title(t.memes, t.reviews, 200)
+
+
 _MODELS = "select distinct case o_custkey % 8 when 0 then 'claude-x' when 1 then ' Muse Spark 1.1' when 2 then 'meta/muse-2' when 3 then 'x/judge' when 4 then 'gpt-5' when 5 then 'o4' when 6 then 'meta-muse-3' else 'llama' end as model_id from orders"
 
 

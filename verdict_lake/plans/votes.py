@@ -88,7 +88,7 @@ def judge_run_stats(t):
 
 
 @query(f"""with {VOTES}, l as (select prediction_id, string_agg(judge_model || '=' || verdict, ';' order by judge_model) as verdicts from latest group by prediction_id)
-  select p.id as prediction_id, post_id, model_id, coalesce(c, 0) as correct_n, coalesce(i, 0) as incorrect_n, coalesce(verdicts, '') as verdicts,
+  select p.id as prediction_id, post_id, model_id, coalesce(c, 0) as correct_n, coalesce(i, 0) as incorrect_n, coalesce(l.verdicts, '') as verdicts,
   case when judges is null then 'No judge evaluations yet' when cv is not null then 'Consensus: ' || cv else 'No consensus verdict' end as label
   from predictions p left join voted on voted.prediction_id = p.id left join l on l.prediction_id = p.id where error is null""")
 def prediction_comparison(t):

@@ -94,7 +94,7 @@ def review_pick(t):
 
 @query("""with c as (select post_id, min(score * 1000 + length(comment_id)) as seen from comments group by post_id)
   select row_number() over (order by seen, post_id) as position, post_id from (select * from c where post_id not in (select post_id from reviews) order by seen, post_id limit 40)""")
-def first_new_posts(t):
+def first_n_new_posts(t):
     candidates = t.comments.selectExpr("post_id", "score * 1000 + length(comment_id) as seen")
     return Q.first_new_posts(candidates, t.reviews, 40).withColumn("position", F.col("position").cast("long"))
 
