@@ -62,10 +62,10 @@ def verdict_class(predictions: DataFrame, judgments: DataFrame, model: str | Non
 def tag_filter(posts: DataFrame, tags: DataFrame, meme_tags: DataFrame, mode: str, names: list[str] = ()) -> DataFrame:
     """Posts that are tagged, untagged, or have any / all / none of the names, whatever their ASCII case.
 
-    As everywhere, untagged takes no notice of names, and any, all_tags and exclude do nothing without them.
+    Names are unique, so no more tags than names are broadcast. Untagged takes no notice of names, and any, all_tags and exclude do nothing without them.
     """
     wanted = sorted({n.lower() for n in names})
-    chosen = meme_tags.join(F.broadcast(tags.filter(F.lower("name").isin(*wanted)).select("tag_id").limit(10_000)), "tag_id") if wanted else meme_tags
+    chosen = meme_tags.join(F.broadcast(tags.filter(F.lower("name").isin(*wanted)).select("tag_id")), "tag_id") if wanted else meme_tags
     if mode == "untagged":
         return posts.join(meme_tags.select("post_id"), "post_id", "left_anti")
     if mode == "tagged" or mode == "any" and wanted:

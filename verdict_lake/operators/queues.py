@@ -5,7 +5,7 @@ The right sides are filtered before the join, so they are as small as they can b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,19 @@ def within(df: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
     return df.join(other.select(*keys), list(keys), "left_semi")
 
 
+def few(df: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """The distinct values of a column that has a handful, such as models or judges; an error if there are more than most."""
+    values = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(values)
+
+
+def each(values: list[str]) -> Column:
+    """A row for each value."""
+    return F.explode(F.array(*map(F.lit, values)) if values else F.array().cast("array<string>"))
+
+
 def done_in(states: DataFrame, stage: str, model: str, prompt_version: str) -> DataFrame:
     """Posts in a terminal state of a stage under a model and prompt."""
     return states.filter((F.col("stage") == stage) & (F.col("model") == model) & (F.col("prompt_version") == prompt_version))
@@ -35,15 +48,15 @@ def pending_consensus(posts: DataFrame, reviews: DataFrame, ground_truths: DataF
     return without(todo, done_in(states, "consensus", model, prompt_version), "post_id")
 
 
-def pending_predictions(reviews: DataFrame, ground_truths: DataFrame, predictions: DataFrame, models: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+def pending_predictions(reviews: DataFrame, ground_truths: DataFrame, predictions: DataFrame, models: list[str], posts: DataFrame | None = None) -> DataFrame:
     """(post_id, model_id) of validated posts with a ground truth and no successful prediction of that model.
 
-    models: model_id, a handful of rows, each crossed with the posts; posts restricts it to a snapshot's members.
+    models: a handful, a row each for every post; posts restricts it to a snapshot's members.
     """
     ready = within(ground_truths.select("post_id"), reviews.filter("status = 'validated'"), "post_id")
     ready = ready if posts is None else within(ready, posts, "post_id")
-    done = predictions.filter("error is null").join(F.broadcast(models.select("model_id").distinct().limit(1000)), "model_id", "left_semi")
-    return without(ready.crossJoin(F.broadcast(models.select("model_id").distinct().limit(1000))), done, "post_id", "model_id")
+    done = predictions.filter(F.col("error").isNull() & F.col("model_id").isin(*models))
+    return without(ready.withColumn("model_id", each(models)), done, "post_id", "model_id")
 
 
 def pending_in_order(ids: DataFrame, ground_truths: DataFrame, reviews: DataFrame, predictions: DataFrame, model: str) -> DataFrame:
@@ -53,7 +66,7 @@ def pending_in_order(ids: DataFrame, ground_truths: DataFrame, reviews: DataFram
     return without(todo, predictions.filter((F.col("model_id") == model) & F.col("error").isNull()), "post_id").select("position", "post_id")
 
 
-def pending_judgments(predictions: DataFrame, judgments: DataFrame, judges: DataFrame, reviews: DataFrame | None = None, posts: DataFrame | None = None) -> DataFrame:
+def pending_judgments(predictions: DataFrame, judgments: DataFrame, judges: list[str], reviews: DataFrame | None = None, posts: DataFrame | None = None) -> DataFrame:
     """(prediction_id, judge_model) not judged yet, of successful predictions.
 
     With reviews only validated posts count; a scoped run gives posts instead and needs no review. judges: a handful.
@@ -61,8 +74,8 @@ def pending_judgments(predictions: DataFrame, judgments: DataFrame, judges: Data
     rows = predictions.filter("error is null").select(F.col("id").alias("prediction_id"), "post_id")
     rows = rows if reviews is None else within(rows, reviews.filter("status = 'validated'"), "post_id")
     rows = rows if posts is None else within(rows, posts, "post_id")
-    pairs = rows.select("prediction_id").crossJoin(F.broadcast(judges.select("judge_model").distinct().limit(1000)))
-    return without(pairs, judgments.filter("judge_model is not null"), "prediction_id", "judge_model")
+    pairs = rows.select("prediction_id", each(judges).alias("judge_model"))
+    return without(pairs, judgments.filter(F.col("judge_model").isin(*judges)), "prediction_id", "judge_model")
 
 
 def unjudged(predictions: DataFrame, judgments: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def confidence_histogram(ground_truths: DataFrame) -> DataFrame:
     bins = spark.range(10).select(F.col("id").cast("int").alias("bin"))
     place = F.least(F.lit(9), (F.coalesce("consensus_confidence", F.lit(0.0)) * 10).cast("int"))
     counted = ground_truths.groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
-    return bins.join(F.broadcast(counted.limit(10)), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    return bins.join(F.broadcast(counted), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def batch_stage_counts(batch: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import responses as R
 from ..operators import snapshot as X
 from ..operators import tags as G
 from ..operators.judging import voted_predictions
-from ..operators.queues import pending_judgments
+from ..operators.queues import few, pending_judgments
 from .posts import STATE_SQL
 from .registry import query
 from .votes import BOARD, COUNTS, LATEST, VOTES
@@ -159,7 +159,7 @@ def safety_prompts(t):
   from predictions p cross join js join ground_truths g using (post_id) where error is null and post_id in (select post_id from reviews where status = 'validated')
   and not exists (select 1 from judgments j where j.prediction_id = p.id and j.judge_model = js.judge_model)""")
 def judge_prompts(t):
-    pairs = pending_judgments(t.predictions, t.judgments, t.judgments.filter("judge_model is not null"), t.reviews)
+    pairs = pending_judgments(t.predictions, t.judgments, few(t.judgments, "judge_model"), t.reviews)
     return C.judge_prompts(pairs, t.predictions, t.ground_truths)
 
 

@@ -36,14 +36,13 @@ READY = "ready as (select g.post_id from ground_truths g join reviews r on r.pos
 @query(f"""with {READY}, m as (select distinct model_id from predictions) select ready.post_id, m.model_id from ready cross join m
   where not exists (select 1 from predictions p where p.post_id = ready.post_id and p.model_id = m.model_id and error is null)""")
 def pending_predictions(t):
-    return Q.pending_predictions(t.reviews, t.ground_truths, t.predictions, t.predictions.select("model_id"))
+    return Q.pending_predictions(t.reviews, t.ground_truths, t.predictions, Q.few(t.predictions, "model_id"))
 
 
 @query(f"""with {READY}, m as (select 'model_2' as model_id) select ready.post_id, m.model_id from ready cross join m where ready.post_id in (select post_id from snapshot_memes where snapshot_id = 'snap_1')
   and not exists (select 1 from predictions p where p.post_id = ready.post_id and p.model_id = m.model_id and error is null)""")
 def pending_predictions_snapshot(t):
-    models = t.predictions.filter("model_id = 'model_2'").select("model_id")
-    return Q.pending_predictions(t.reviews, t.ground_truths, t.predictions, models, t.snapshot_memes.filter("snapshot_id = 'snap_1'"))
+    return Q.pending_predictions(t.reviews, t.ground_truths, t.predictions, ["model_2"], t.snapshot_memes.filter("snapshot_id = 'snap_1'"))
 
 
 @query("""select position, b.post_id from batch_memes b where batch_id = 'b3' and post_id in (select post_id from ground_truths) and post_id not in (select post_id from reviews where status = 'excluded')
@@ -56,14 +55,14 @@ def pending_in_order(t):
   where error is null and post_id in (select post_id from reviews where status = 'validated')
   and not exists (select 1 from judgments j where j.prediction_id = p.id and j.judge_model = js.judge_model)""")
 def pending_judgments(t):
-    return Q.pending_judgments(t.predictions, t.judgments, t.judgments.filter("judge_model is not null"), t.reviews)
+    return Q.pending_judgments(t.predictions, t.judgments, Q.few(t.judgments, "judge_model"), t.reviews)
 
 
 @query("""with js as (select distinct judge_model from judgments where judge_model is not null) select p.id as prediction_id, js.judge_model from predictions p cross join js
   where error is null and post_id in (select post_id from batch_memes where batch_id = 'b5')
   and not exists (select 1 from judgments j where j.prediction_id = p.id and j.judge_model = js.judge_model)""")
 def pending_judgments_scoped(t):
-    return Q.pending_judgments(t.predictions, t.judgments, t.judgments.filter("judge_model is not null"), posts=t.batch_memes.filter("batch_id = 'b5'"))
+    return Q.pending_judgments(t.predictions, t.judgments, Q.few(t.judgments, "judge_model"), posts=t.batch_memes.filter("batch_id = 'b5'"))
 
 
 @query("""select p.id as prediction_id from predictions p where error is null and post_id in (select post_id from reviews where status = 'validated')
