@@ -32,3 +32,13 @@ def test_stages_keep_columns_and_run_gives_their_result(spark):
         assert docs.columns == documents.columns
         assert 0 < docs.count()
     assert corpus_pipeline.run(spark, DATA).count() == docs.count()
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    documents = table(spark, DATA, "documents")
+    names = ["rest", "matches", "score", "predicted", "size", "rate", "copies", "_id", "_n", "a.b", "root"]
+    docs = documents.selectExpr("*", *(f"doc_id as `{n}`" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        assert out.filter(" and ".join(f"doc_id = `{n}`" for n in names)).count() == out.count() > 0

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rolling import BYTE_VALUES, Sums, U
-from .store import python_ready
+from .store import packed, python_ready, unpacked
 
 WIDTH, THRESHOLD = 5, 0.8
 PUNCTUATION = string.punctuation.encode()
@@ -127,7 +127,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thre
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without the documents that contain a test item."""
-    return with_matches(docs, benchmark, **how).filter(F.size("matches") == 0).select(*docs.columns)
+    return unpacked(with_matches(packed(docs, "text"), benchmark, **how).filter(F.size("matches") == 0), docs, "text")
 
 
 def decontam_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

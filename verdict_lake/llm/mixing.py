@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import packed, stored, unpacked
 from .words import n_words, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -78,8 +78,9 @@ def with_copies(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document of docs as many times as it is taken, with the columns of docs."""
-    taken = with_copies(docs, **how).filter("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    used = ("doc_id", "text", "source")
+    taken = with_copies(packed(docs, *used), **how).filter("copies > 0")
+    return unpacked(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs, *used)
 
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import let
-from .store import stored
+from .store import packed, stored, unpacked
 from .words import text_of, words
 
 #: The most labelled rows that the model is fitted on, chosen by a hash of their ids.
@@ -131,7 +131,8 @@ def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def quality_kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that the classifier does not reject."""
-    return with_quality(docs, labels).filter("predicted = 1").select(*docs.columns)
+    scored = with_quality(packed(docs, "doc_id", "text"), labels)
+    return unpacked(scored.filter("predicted = 1"), docs, "doc_id", "text")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

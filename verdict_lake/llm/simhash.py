@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .store import python_ready, stored
+from .store import packed, python_ready, stored, unpacked
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Fingerprints in a chunk of a tile.
@@ -150,11 +150,13 @@ def near_dedup(docs: DataFrame, radius: int = 2) -> DataFrame:
     """docs with one row of each group: one of the smallest doc_id; of several texts under it, one; of repeats, one."""
     own = grouped(docs, radius).filter("id = first").groupBy("root", "id", "body").agg(F.count("*").alias("n"))
     keep = stored(own.groupBy("root", "id").agg(F.min(F.struct("body", "n")).alias("x")).select(F.col("id").alias("_id"), F.col("x.body").alias("_body"), F.col("x.n").alias("_n")))
-    kept = docs.join(keep, (F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)) == F.col("_id")) & (F.xxhash64("text") == F.col("_body")))
-    once = kept.filter("_n = 1").select(*docs.columns)
+    rows = packed(docs, "doc_id", "text")
+    kept = rows.join(keep, (F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)) == F.col("_id")) & (F.xxhash64("text") == F.col("_body")))
+    once = unpacked(kept.filter("_n = 1"), docs, "doc_id", "text")
     if keep.filter("_n > 1").isEmpty():
         return once
-    return once.unionByName(kept.filter("_n > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    repeated = kept.filter("_n > 1").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(unpacked(repeated, docs, "doc_id", "text"))
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:

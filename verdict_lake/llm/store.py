@@ -41,5 +41,16 @@ def python_ready(spark: SparkSession, rows: int = 500) -> None:
     workers_find_package(spark)
 
 
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns of docs and all others as one struct, rest, so that no name of theirs meets an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*others) if others else F.lit(None)).alias("rest"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of docs of what became of packed(docs, *used)."""
+    return df.select(*(F.col(c) if c in used else F.col("rest").getField(c).alias(c) for c in docs.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
