@@ -281,3 +281,22 @@ def test_stream_equals_batch(spark, tmp_path):
     ingest.stream_ingest(spark, *args).awaitTermination()
     batch = ingest.posts_of(spark.read.text(args[0])).select("post_id").distinct()
     assert rows(spark.read.parquet(args[1]).select("post_id")) == rows(batch)
+
+
+def test_few_values_or_an_error(frame):
+    df = frame("m string", ("b",), ("a",), (None,), ("b",))
+    assert Q.few(df, "m") == ["a", "b"]
+    with pytest.raises(ValueError, match="more than 1"):
+        Q.few(df, "m", most=1)
+
+
+def test_tag_changes(frame):
+    from verdict_lake.operators import tags as G
+
+    tags = frame("tag_id long, name string, description string", (1, "Alpha", None), (2, "beta", None))
+    links = frame("post_id string, tag_id long, notes string", ("p", 1, None), ("q", 2, "n"))
+    renames = frame("tag_id long, new_name string", (1, " BETA "), (2, "Beta"))
+    assert rows(G.rename_tags(tags, renames).select("tag_id", "name", "outcome")) == [(1, "Alpha", "conflict"), (2, "Beta", "renamed")]
+    left, joined = G.remove_tag(tags, links, tags.filter("tag_id = 1"))
+    assert rows(left.select("tag_id")) == [(2,)] and rows(joined.select("post_id")) == [("q",)]
+    assert rows(G.clean_tag_names(frame("name string, position int", ("  a   b ", 1), ("A B", 2), ("  ", 3)))) == [("a b", 1)]

@@ -6,7 +6,6 @@ import pytest
 from verdict_lake import catalog
 
 DATA = "/root/testdata/sf0.001"
-#: Ids repeat in the smallest tables, so that newest-row picks are not unique there; these run at the next size.
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .judging import ratio
-
 GATE_ROLES = ("safety_gate", "quality_gate", "consensus")
 #: Which gate a state points at, and which role logs a gate's calls.
 STATE_GATE = {"safety_excluded": "safety", "quality_excluded": "quality", "no_consensus": "consensus"}
@@ -171,7 +169,3 @@ def truncated(text: Column, n: int, empty: str = "") -> Column:
     """One line of at most n characters, cut with an ellipsis."""
     line = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit(empty)), "\n", " "), r"^\s+|\s+$", "")
     return F.when(F.length(line) > n, F.concat(F.substring(line, 1, n), F.lit("…"))).otherwise(line)
-
-
-def rate(part: Column, whole: Column) -> Column:
-    return F.round(ratio(part, whole), 6)
