@@ -22,9 +22,9 @@ from .store import drop, small_or_not, stored
 STRETCH, LOW_BITS = 1 << 20, 21
 NO_ID = -(1 << 63)
 
-#: at: the anchor's place; a window that starts at s has offset at - s. gram: the anchor's hash; run: hash of the text
+#: at: the anchor's place; a window that starts at s has offset at - s. name: the anchor's gram's hash; run: hash of the text
 #: of all windows of the run and of their offsets; right and left: hashes of half a window after and before the anchor.
-ANCHOR = "doc long, body int, at long, low long, high long, gram long, run long, right long, left long"
+ANCHOR = "doc long, body int, at long, low long, high long, name long, run long, right long, left long"
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -114,10 +114,11 @@ def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return squeezed(docs).join(listed, ["doc", "body"], "left")
 
 
-#: Groups of at most so many pieces are settled inside one task each; larger ones window by window across tasks.
+#: Groups of at most so many pieces are settled inside one task each; larger ones block by block across tasks.
 GROUP = 256
 PIECE = "key long, doc long, body int, at long, low long, high long, owner long, n long, content binary"
 MARK = "doc long, body int, low long, high long"
+BLOCK = "name long, run long, owner long, key long, doc long, body int, at long, base long, low long, high long"
 
 
 class Finder:
@@ -186,14 +187,62 @@ class Finder:
             at += len(h)
         return out
 
-    def spread(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each window of the pieces."""
-        for batch in batches:
-            for p in batch.to_pylist():
-                h = window_hashes(self.units_of(p["content"]), 0, p["high"] - p["low"], self.length)
-                n = len(h)
-                columns = [h, np.full(n, p["owner"]), np.full(n, p["doc"]), np.full(n, p["body"], np.int32), np.arange(p["low"], p["low"] + n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["window", "owner", "doc", "body", "at"])
+    def blocks(self, size: int):
+        """A row for each block of up to size windows of the pieces' ranges, cut by offsets, so that equal windows of
+        two pieces are in blocks of one place. name: what all windows of the block's place share; run: all of the row's."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows: list[tuple] = []
+                for p in batch.to_pylist():
+                    at = p["at"]
+                    places, spans = [], []
+                    for r in p["ranges"]:
+                        first, last = at - r["high"], at - r["low"]
+                        for b in range(first // size, last // size + 1):
+                            o1, o2 = max(first, b * size), min(last, b * size + size - 1)
+                            places.append((at - b * size, at - b * size - size + 1 + self.length))
+                            spans.append((at - o2, at - o1 + self.length, b))
+                    sums = Sums(self.units_of(p["content"]))
+                    cores, wholes = (np.array([x[:2] for x in xs], dtype=np.int64) - p["low"] for xs in (places, spans))
+                    key = scattered(np.array([p["key"]], dtype=np.int64).view(U) + np.array([x[2] for x in spans], dtype=U))
+                    names = scattered(sums.hashes(cores[:, 0], cores[:, 1]) ^ key)
+                    # where a row's windows lie in the block's place belongs to their name
+                    runs = scattered(sums.hashes(wholes[:, 0], wholes[:, 1]) ^ names ^ scattered((cores[:, 0] - wholes[:, 0]).astype(U)))
+                    for name, run_, (low, end, _) in zip(names.view(np.int64).tolist(), runs.view(np.int64).tolist(), spans):
+                        rows.append((name, run_, p["owner"], p["key"], p["doc"], p["body"], at, p["low"], low, end - self.length))
+                yield batch_of(rows, BLOCK)
+
+        return run
+
+    def narrowed(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Marked rows, and those to look into further, of stored rows with name, run and owner.
+
+        Rows whose name is not shared leave. Those whose whole run is found elsewhere are marked at once; of each kind
+        of run only the first goes on, and only where its name has other runs.
+        """
+        names = self.shared(rows.select("name", "run", "owner"), "name", more=(F.min("run").alias("run_a"), F.max("run").alias("run_b")))
+        names = stored(names.select("name", (F.col("run_a") != F.col("run_b")).alias("several")))
+        seeds = stored(rows.join(small_or_not(names), "name"))
+        runs = stored(seeds.groupBy("run").agg(F.min("owner").alias("first"), F.count("*").alias("n")))
+        joined = seeds.join(small_or_not(runs), "run")
+        whole = stored(joined.filter(self.hit()).select("doc", "body", "low", "high"))
+        rest = stored(joined.filter("several and owner = first").drop("first", "n", "several", "run"))
+        drop(seeds)
+        return whole, rest
+
+    def large_groups(self, pieces: DataFrame) -> DataFrame:
+        """Marks of pieces in groups of any size: blocks of windows are named and grouped, smaller ones each round."""
+        open_ = pieces.withColumn("ranges", F.array(F.struct("low", "high")))
+        sizes = sorted({max(1, self.length // 8), max(1, self.length // 64), 1}, reverse=True)
+        out = None
+        for size in sizes:
+            whole, rest = self.narrowed(stored(open_.mapInArrow(self.blocks(size), BLOCK)))
+            out = whole if out is None else out.unionByName(whole)
+            if size > 1:
+                ranges = rest.groupBy("key", "doc", "body", "at", F.col("base").alias("low")).agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+                open_ = pieces.join(ranges, ["key", "doc", "body", "at", "low"])
+        return out
 
     def marks(self, docs: DataFrame) -> DataFrame:
         """doc, body, low, high: runs of marked window starts of keyed documents (they may overlap).
@@ -203,29 +252,19 @@ class Finder:
         that occur elsewhere are marked at once, so that of each kind of run only its first goes on.
         """
         rows = stored(docs.mapInArrow(anchor_rows(lambda t: self.units_of(t.encode("utf-8", "surrogatepass")), self.length, self.gram), ANCHOR))
-        owned = rows.withColumn("owner", self.owner())
-        grams = self.shared(owned.select("gram", "run", "owner"), "gram", more=(F.min("run").alias("run_a"), F.max("run").alias("run_b")))
-        grams = stored(grams.select("gram", (F.col("run_a") != F.col("run_b")).alias("several")))
-        seeds = stored(owned.join(small_or_not(grams), "gram"))
+        whole, rest = self.narrowed(rows.withColumn("owner", self.owner()))
         drop(rows)
-        runs = stored(seeds.groupBy("run").agg(F.min("owner").alias("first"), F.count("*").alias("n")))
-        joined = seeds.join(small_or_not(runs), "run")
-        whole = stored(joined.filter(self.hit()).select("doc", "body", "low", "high"))
-        rest = stored(joined.filter("several and owner = first").drop("first", "n", "several", "run"))
-        drop(seeds)
         half = F.lit(self.length // 2)
-        right = rest.filter("right <> 0").select(F.xxhash64("gram", "right", F.lit(1)).alias("key"), "doc", "body", "at", F.greatest("low", F.col("at") - half).alias("low"), "high", "owner")
-        left = rest.filter("left <> 0").select(F.xxhash64("gram", "left", F.lit(2)).alias("key"), "doc", "body", "at", "low", F.least("high", F.col("at") - half - 1).alias("high"), "owner")
+        right = rest.filter("right <> 0").select(F.xxhash64("name", "right", F.lit(1)).alias("key"), "doc", "body", "at", F.greatest("low", F.col("at") - half).alias("low"), "high", "owner")
+        left = rest.filter("left <> 0").select(F.xxhash64("name", "left", F.lit(2)).alias("key"), "doc", "body", "at", "low", F.least("high", F.col("at") - half - 1).alias("high"), "owner")
         pieces = stored(right.unionByName(left))
         keys = stored(self.shared(pieces.select("key", "owner"), "key").select("key", "n"))
         listed = pieces.join(small_or_not(keys), "key").groupBy("doc", "body").agg(F.collect_list(F.struct("key", "at", "low", "high", "owner", "n")).alias("pieces"))
         found = stored(squeezed(docs).join(listed, ["doc", "body"]).mapInArrow(self.contents, PIECE))
         tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         small = found.filter(F.col("n") <= GROUP).repartition(tasks, "key").sortWithinPartitions("key")
-        windows = stored(found.filter(F.col("n") > GROUP).mapInArrow(self.spread, "window long, owner long, doc long, body int, at long"))
-        again = self.shared(windows.select("window", "owner"), "window")
-        single = windows.join(again, "window").filter(self.hit()).select("doc", "body", F.col("at").alias("low"), F.col("at").alias("high"))
-        return whole.unionByName(small.mapInArrow(self.settled, MARK)).unionByName(single)
+        large = self.large_groups(found.filter(F.col("n") > GROUP))
+        return whole.unionByName(small.mapInArrow(self.settled, MARK)).unionByName(large)
 
 
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
