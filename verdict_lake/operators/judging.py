@@ -52,9 +52,13 @@ def votes(latest: DataFrame) -> DataFrame:
 
 
 def voted_predictions(predictions: DataFrame, judgments: DataFrame) -> DataFrame:
-    """id, post_id, model_id, error of judged predictions with their votes; the table that the summaries share."""
+    """id, post_id, model_id, error of judged predictions with their votes; the table that the summaries share.
+
+    Judgments are dealt by prediction once, without their texts; newest rows, votes and the join all keep that dealing.
+    """
     slim = predictions.select(F.col("id").alias("prediction_id"), "post_id", "model_id", "error")
-    return votes(latest_per_judge(judgments)).join(slim, "prediction_id")
+    dealt = judgments.filter("judge_model is not null").select("id", "prediction_id", "judge_model", "verdict").repartition("prediction_id")
+    return votes(latest_per_judge(dealt)).join(slim, "prediction_id")
 
 
 def judgment_counts(predictions: DataFrame, judgments: DataFrame) -> DataFrame:
@@ -94,13 +98,24 @@ def active_models(df: DataFrame, retired: tuple[str, ...] = RETIRED_MODELS) -> D
 
 def leaderboard(voted: DataFrame, posts: DataFrame | None = None) -> DataFrame:
     """Active models by majority accuracy with their agreement; rank by accuracy, then model id."""
-    board = active_models(consensus_counts(voted, posts).join(judge_agreement(voted), "model_id", "left"))
+    counts, several = F.col("error").isNull() & F.col("consensus_verdict").isNotNull(), F.col("judges") > 1
+    if posts is not None:
+        voted = voted.join(posts.select("post_id", F.lit(True).alias("in_scope")).distinct(), "post_id", "left")
+        counts = counts & F.coalesce("in_scope", F.lit(False))
+    # majorities and agreement from one pass over the votes
+    counted = active_models(voted).groupBy("model_id").agg(
+        F.count_if(counts & (F.col("consensus_verdict") == "correct")).alias("correct"),
+        F.count_if(counts).alias("total"),
+        F.count_if(several).alias("judged_by_multiple"),
+        F.count_if(several & ~F.col("split")).alias("unanimous_agreements"),
+    )
+    board = counted.filter("total > 0").withColumn("accuracy", F.round(ratio(F.col("correct"), F.col("total")), 6))
     # one row a model: the ranking window sorts a handful of rows
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("accuracy").desc(), "model_id"))
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(ratio(F.col("correct"), F.col("total")).desc(), "model_id"))
+    agreement = F.round(ratio(F.col("unanimous_agreements"), F.col("judged_by_multiple")), 6)
     return board.select(
-        rank.alias("rank"), "model_id", F.lit("consensus").alias("judge_model"), "correct", "incorrect", "total", "accuracy",
-        F.coalesce("judged_by_multiple", F.lit(0)).alias("judged_by_multiple"), F.coalesce("unanimous_agreements", F.lit(0)).alias("unanimous_agreements"),
-        F.coalesce("agreement_rate", F.lit(0.0)).alias("agreement_rate"),
+        rank.alias("rank"), "model_id", F.lit("consensus").alias("judge_model"), "correct", (F.col("total") - F.col("correct")).alias("incorrect"), "total", "accuracy",
+        "judged_by_multiple", "unanimous_agreements", agreement.alias("agreement_rate"),
     )
 
 
