@@ -24,8 +24,8 @@ from tokenizers import Tokenizer
 from .store import python_ready, small_or_not, stored
 
 END_ID = 2
-#: Ids in a shard, at which it is closed after the document at hand.
-SHARD_IDS = 1 << 21
+#: Characters in a shard, at which it is closed after the document at hand.
+SHARD_CHARS = 6_000_000
 #: Rounds of replacement, pairs replaced in one, and how often a pair must occur in its shard.
 ROUNDS, PAIRS, LEAST = 6, 4096, 16
 #: Distinct words whose ids a Python worker remembers, from one task to the next.
@@ -196,25 +196,25 @@ def shard_row(part: int, seq: int, doc_ids: list, coded: list[bytes], vocabulary
 def encoded_shards(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-        schema = None
-        ids: list = []
-        coded: list[bytes] = []
-        held = 0
         tail = np.array([end_id], dtype="<u4").tobytes()
+        ids: list = []
+        texts: list[str] = []
 
         def shard() -> pa.RecordBatch:
+            coded = [c + tail for c in coder.encode(texts)]
             row = shard_row(part, seq, ids, coded, coder.vocabulary)
             types = {"part": pa.int32(), "seq": pa.int32()} | {k: pa.int64() for k in ("n_docs", "n_ids", "first_symbol")}
             return pa.RecordBatch.from_arrays([pa.array([v], types.get(k, pa.binary())) for k, v in row.items()], list(row))
 
+        held = 0
         for batch in batches:
-            ids += batch.column("doc_id").to_pylist()
-            new = [c + tail for c in coder.encode([t or "" for t in batch.column("text").to_pylist()])]
-            coded += new
-            held += sum(map(len, new))
-            if held >= 4 * SHARD_IDS:
-                yield shard()
-                ids, coded, held, seq = [], [], 0, seq + 1
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                ids.append(doc_id)
+                texts.append(text or "")
+                held += len(texts[-1])
+                if held >= SHARD_CHARS:
+                    yield shard()
+                    ids, texts, held, seq = [], [], 0, seq + 1
         if ids:
             yield shard()
 
@@ -290,7 +290,7 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_report(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the written files."""
     shards = write_shards(docs, tokenizer)
-    # a row of counts for each shard of SHARD_IDS ids
+    # a row of counts for each shard, that is for some megabytes of text
     order = Window.partitionBy(F.lit(0)).orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = stored(shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("shard_start")))
     placed = shards.join(small_or_not(starts), ["part", "seq"])
