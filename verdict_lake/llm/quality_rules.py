@@ -79,7 +79,7 @@ def standard_rules() -> dict[str, Column]:
     text, n = text_of("text"), F.col("n_words")
     return {
         "symbols": 10 * F.col("n_symbols") > 3 * n,
-        "repeated_lines": 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        "repeated_lines": 5 * F.col("n_dup_lines") > 2 * F.col("n_lines"),
         "word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n),
         "shouting": 2 * F.regexp_count(text, F.lit(r"\p{Lu}")) > F.regexp_count(text, F.lit(r"\p{L}")),
         "exclamations": 2 * F.regexp_count(text, F.lit("!")) > n,
@@ -102,12 +102,13 @@ def cascade_order(sample: DataFrame, rules: dict[str, Column]) -> list[str]:
 
 
 def cascade(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> Column:
-    """Whether a row of docs passes all rules: one CASE, whose branches are tried in the cheapest order.
+    """Whether a row with base statistics passes all rules: one CASE, whose branches are tried in the cheapest order.
 
-    A rule that is null for a row doesn't reject it. An empty table gets the rules in the order given.
+    docs (with text) is what the sample is drawn from, about sample_rows rows; only those get statistics for it. A rule
+    that is null for a row doesn't reject it. An empty table gets the rules in some order.
     """
     rules = standard_rules() if rules is None else rules
-    sample = stored(docs.limit(sample_rows))
+    sample = stored(base_statistics(docs.sample(min(1.0, sample_rows / max(1, docs.count())), seed=7)))
     order = cascade_order(sample, rules)
     drop(sample)
     verdict = F.when(rules[order[0]], False)
@@ -122,8 +123,9 @@ def base_failed() -> Column:
 
 def rule_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept; a row for each row."""
-    stats = base_statistics(docs.select("doc_id", "text"))
-    kept = ~base_failed() & cascade(stats)
+    docs = docs.select("doc_id", "text")
+    stats = base_statistics(docs)
+    kept = ~base_failed() & cascade(docs)
     return stats.withColumns({"base_failed": base_failed(), "kept": kept}).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
@@ -145,6 +147,6 @@ s as (select w.doc_id, text, len(w)::bigint as n_words, length(array_to_string(w
   from w left join c using (doc_id)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from s)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or 10 * n_symbols > 3 * n_words or 10 * n_dup_lines > 3 * n_lines or word_chars < 2 * n_words or word_chars > 15 * n_words
+  not (base_failed or 10 * n_symbols > 3 * n_words or 5 * n_dup_lines > 2 * n_lines or word_chars < 2 * n_words or word_chars > 15 * n_words
        or 2 * uppers > letters or 2 * marks > n_words or 2 * letters < solid) as kept from b
 """
