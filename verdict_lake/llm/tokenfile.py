@@ -8,9 +8,9 @@ a document is a run of symbols, and the expansion lengths give its place without
 
 from __future__ import annotations
 
-import collections
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,9 +30,8 @@ SHARD_CHARS = 6_000_000
 ROUNDS, PAIRS, LEAST = 6, 4096, 16
 #: Distinct words whose ids a Python worker remembers, from one task to the next.
 REMEMBERED = 600_000
-#: Marks that end words. They are pieces of their own after a Latin letter or digit (before U+0130, which lower-cases to
-#: a letter and a mark); none is part of a special token.
-MARKS = ".,;:!?#*$%&"
+#: Marks that end a word are pieces of their own after a Latin letter or digit; none begins a special token.
+MARKS = re.compile(r"(?<=[a-z0-9\xdf-\xf6\xf8-\xff])[.,;:!?#*$%&]+(?= |$)")
 BLANKS = "\t\n\x0b\x0c\r"
 SLOTS = 1 << 20
 SHARD = "part int, seq int, n_docs long, n_ids long, first_symbol long, doc_ids binary, id_counts binary, symbol_counts binary, rules binary, lengths binary, symbols binary"
@@ -40,7 +39,8 @@ SHARD = "part int, seq int, n_docs long, n_ids long, first_symbol long, doc_ids
 
 class Encoder:
     """Encodes texts with a tokenizer that lower-cases and drops white space, word by word: a word's ids don't depend on
-    its neighbours. Words are looked up without case where lower-casing commutes with normalizing (no combining marks)."""
+    its neighbours. In Latin-1 texts, where lower-casing commutes with normalizing, words are looked up without case
+    and without the marks at their end."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,28 +49,27 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or max(text) < "\u0300":
-            text = text if "<|" in text else text.lower()
         for blank in BLANKS:
             text = text.replace(blank, " ")
-        return text.split(" ")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(" ")
+        return text.split(" ") if "<|" in text else MARKS.sub(r" \g<0>", text.lower()).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [self.words(t) for t in texts]
-        cut = {}
-        for w in set().union(*split):
-            body = w.rstrip(MARKS)
-            cut[w] = (body, w[len(body) :]) if body != w and body and body[-1].isalnum() and body[-1] < "\u0130" else (w, "")
+        distinct = set().union(*split)
         known = self.known
-        new = list({x for pair in cut.values() for x in pair if x not in known})
+        new = list(distinct.difference(known))
         coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         fresh = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, coded)}
         if len(known) + len(fresh) <= REMEMBERED:
             known.update(fresh)
         else:
-            known = collections.ChainMap(fresh, known)
-        ids = {w: known[body] + known[marks] if marks else known[body] for w, (body, marks) in cut.items()}.__getitem__
+            known = {w: fresh[w] if w in fresh else known[w] for w in distinct}
+        ids = known.__getitem__
         return [b"".join(map(ids, words)) for words in split]
 
 
@@ -88,20 +87,22 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, n
     slots; of pairs that share a slot only the first is a candidate in that round.
     """
     rules: list[np.ndarray] = []
-    symbols, ends = ids.astype(np.uint64), ends.copy()
+    symbols, ends = ids.astype(np.uint32), ends.copy()
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        pairs = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        left, right = symbols[:-1], symbols[1:]
+        slot = ((left * np.uint32(0x9E3779B1) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(12)).astype(np.int64)
         slot[ends[:-1]] = SLOTS
-        pair_of = np.zeros(SLOTS + 1, dtype=np.uint64)
-        pair_of[slot[::-1]] = pairs[::-1]
         often = np.bincount(slot, minlength=SLOTS + 1) >= LEAST
         often[SLOTS] = False
         at = np.flatnonzero(often[slot])
-        at = at[pair_of[slot[at]] == pairs[at]]
         slot = slot[at]
+        first_at = np.zeros(SLOTS, dtype=np.int64)
+        first_at[slot[::-1]] = at[::-1]
+        same = first_at[slot]
+        same = (left[same] == left[at]) & (right[same] == right[at])
+        at, slot = at[same], slot[same]
         counts = np.bincount(slot, minlength=SLOTS)
         chosen = np.flatnonzero(counts >= LEAST)
         if not len(chosen):
@@ -116,13 +117,13 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, n
         begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         taken = (np.arange(len(at)) - begin) % 2 == 0
         at, which = at[taken], which[taken]
-        symbols[at] = (first + which).astype(np.uint64)
+        table = np.stack([left[first_at[chosen]], right[first_at[chosen]]], axis=1).astype("<u4")
+        symbols[at] = (first + which).astype(np.uint32)
         ends[at] = ends[at + 1]
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
         symbols, ends = symbols[keep], ends[keep]
-        table = pair_of[chosen]
-        rules.append(np.stack([table >> np.uint64(32), table & np.uint64(0xFFFFFFFF)], axis=1).astype("<u4"))
+        rules.append(table)
         first += len(chosen)
         if len(at) < len(symbols) // 100:
             break
