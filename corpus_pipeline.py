@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdict_lake.llm import decontam, mixing, quality_model, simhash, tokenfile
+from verdict_lake.llm import decontam, mixing, near_copies, quality_model, tokenfile
 from verdict_lake.llm.store import stored, table
 
 
@@ -15,8 +15,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies by SimHash."""
-    return simhash.near_dedup(docs)
+    """One document of each group of near copies: texts that share 0.8 or more of their 5-word shingles."""
+    return near_copies.without_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

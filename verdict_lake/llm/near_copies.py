@@ -1,0 +1,145 @@
+"""Near copies by 5-word shingles: MinHash bands propose pairs, the shingle sets decide.
+
+Two texts are near copies if the Jaccard similarity of their sets of word shingles is at least LEAST. Texts with equal sets
+are one node. A node is in BANDS buckets, each named by ROWS of its MinHash values: two nodes of similarity s meet in a bucket with
+probability 1 - (1 - s^ROWS)^BANDS, 0.99993 at 0.8. Nodes that meet are compared by their whole sets. First all of a bucket
+are compared with one of them; then whatever of a bucket is not yet in one component is compared in full, so that
+a group of copies costs a row a copy and still no pair that met is left out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .decontam import shingle_hashes
+from .graph import components
+from .rolling import BASE, U, scattered
+from .simhash import LOWER, TOP, first_rows
+from .store import drop, python_ready, small_or_not, stored
+
+WIDTH, LEAST = 5, 0.8
+BANDS, ROWS = 24, 5
+FLIPS = scattered(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(BASE))
+FACTORS = scattered(FLIPS) | U(1)
+#: Shingles whose MinHash values are computed at once.
+STEP = 1 << 12
+#: Tasks among which the pairs of one node are dealt.
+SALTS = 64
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; ASCII letters count as lower-case, a short text is one shingle."""
+    w = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    parts = [h for h, _, _ in shingle_hashes(b" ".join(w), min(width, len(w)))] if w else []
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=U)
+
+
+def buckets(shingles: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, np.iinfo(U).max, dtype=U)
+    for at in range(0, len(shingles), STEP):
+        np.minimum(least, ((shingles[at : at + STEP, None] ^ FLIPS) * FACTORS).min(axis=0), out=least)
+    names = np.arange(BANDS, dtype=U)
+    for column in least.reshape(BANDS, ROWS).T:
+        names = scattered(names * U(BASE) + column)
+    return names
+
+
+def lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, U), *arrays]).view(np.int64)))
+
+
+def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+        nodes = np.array([int(scattered(np.array([s.sum(dtype=U) + U(len(s))], dtype=U))[0]) for s in sets], dtype=U).view(np.int64)
+        sizes = pa.array(map(len, sets), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), pa.array(nodes), sizes, lists([buckets(s) for s in sets])], ["id", "body", "node", "size", "buckets"])
+
+
+def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("node"), lists([shingle_set(t) for t in batch.column("text").to_pylist()])], ["node", "shingles"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    owners = stored(nodes.select("node", "own.*").join(wanted, "node", "left_semi"))
+    found = texts.join(small_or_not(owners), ["id", "body"]).select("node", "text")
+    sets = stored(found.mapInArrow(with_sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    right = dealt.select("b", "salt").distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = dealt.join(right, ["b", "salt"]).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = both.withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    similar = stored(both.filter(F.col("n") >= F.lit(LEAST) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b"))
+    drop(sets)
+    return similar
+
+
+def comparable(a: str, b: str):
+    """Sets of sizes so different that they can't be similar are not compared."""
+    return F.least(a, b) >= F.lit(LEAST) * F.greatest(a, b)
+
+
+def open_buckets(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with root, the node's component, of buckets that hold several components."""
+    joined = components(links).withColumnRenamed("component", "root")
+    rooted = stored(rows.join(small_or_not(stored(joined)), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("bucket")
+    return stored(rooted.join(small_or_not(stored(several)), "bucket"))
+
+
+def links(prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: links for the components of all similar pairs of nodes that meet in a bucket."""
+    nodes = stored(prints.groupBy("node").agg(F.min("size").alias("size"), F.min(F.struct("id", "body")).alias("own")))
+    every = prints.select("node", "size", "buckets").dropDuplicates(["node"])
+    every = stored(every.select("node", "size", F.explode("buckets").alias("bucket")))
+    shared = stored(every.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    rows = stored(every.join(small_or_not(shared), "bucket"))
+    drop(every)
+
+    def starred(rows: DataFrame) -> DataFrame:
+        apart = rows.filter("node <> rep.node").filter(comparable("size", "rep.size"))
+        return stored(apart.select(F.col("node").alias("a"), F.col("rep.node").alias("b")).distinct())
+
+    pairs = starred(rows)
+    out = verified(pairs, nodes, texts)
+    rest = open_buckets(rows.drop("rep"), out)
+    # what the first of a bucket does not hold together the last may
+    last = stored(rest.groupBy("bucket").agg(F.max(F.struct("node", "size")).alias("rep")))
+    again = stored(starred(rest.join(small_or_not(last), "bucket")).join(pairs, ["a", "b"], "left_anti"))
+    if not again.isEmpty():
+        out = out.unionByName(verified(again, nodes, texts))
+        rest = open_buckets(rest.drop("root"), out)
+    most = rest.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    split = rest.join(small_or_not(stored(most)), "bucket")
+    few = split.filter("root <> most").select("bucket", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
+    others = split.select("bucket", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"), "most")
+    met = few.join(others, "bucket").filter("ra <> rb and (rb = most or a > b)").filter(comparable("na", "nb"))
+    tested = pairs.unionByName(again)
+    tested = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    left = stored(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    return out if left.isEmpty() else out.unionByName(verified(left, nodes, texts))
+
+
+def near_copy_groups(docs: DataFrame) -> DataFrame:
+    """id (doc_id, null as the largest), body (a hash of the text), first (the smallest id of the row's component)
+    and root, a name of the component."""
+    python_ready(docs.sparkSession)
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)).alias("id"), F.xxhash64("text").alias("body"), "text")
+    prints = stored(texts.mapInArrow(signed, "id long, body long, node long, size long, buckets array<long>"))
+    joined = components(stored(links(prints, texts)))
+    rooted = stored(prints.select("id", "body", "node").join(small_or_not(stored(joined)), "node", "left").select("id", "body", F.coalesce("component", "node").alias("root")))
+    drop(prints)
+    return rooted.join(rooted.groupBy("root").agg(F.min("id").alias("first")), "root")
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component of near copies, chosen as simhash.near_dedup does. Empty and null texts are one group."""
+    return first_rows(docs, near_copy_groups(docs))

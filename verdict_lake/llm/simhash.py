@@ -148,7 +148,12 @@ def near_groups(docs: DataFrame, radius: int = 2) -> DataFrame:
 
 def near_dedup(docs: DataFrame, radius: int = 2) -> DataFrame:
     """docs with one row of each group: one of the smallest doc_id; of several texts under it, one; of repeats, one."""
-    own = grouped(docs, radius).filter("id = first").groupBy("root", "id", "body").agg(F.count("*").alias("n"))
+    return first_rows(docs, grouped(docs, radius))
+
+
+def first_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs that near_dedup keeps of groups (id, body, root, first)."""
+    own = groups.filter("id = first").groupBy("root", "id", "body").agg(F.count("*").alias("n"))
     keep = stored(own.groupBy("root", "id").agg(F.min(F.struct("body", "n")).alias("x")).select(F.col("id").alias("_id"), F.col("x.body").alias("_body"), F.col("x.n").alias("_n")))
     rows = packed(docs, "doc_id", "text")
     kept = rows.join(keep, (F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)) == F.col("_id")) & (F.xxhash64("text") == F.col("_body")))
