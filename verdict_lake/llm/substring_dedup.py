@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from .rolling import BYTE_VALUES, Sums, U
 from .store import python_ready
-from .windows import NO_ID, Finder, covered, keyed, unsqueeze, with_marks
+from .windows import NO_ID, Finder, covered, keyed, once, repeats_of, unsqueeze, with_marks
 
 LENGTH, GRAM = 50, 8
 #: Words hashed at once.
@@ -68,7 +68,7 @@ def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     python_ready(docs.sparkSession)
     texts = keyed(docs)
-    marked = with_marks(texts, finder(length).marks(texts))
+    marked = with_marks(texts, finder(length).marks(once(texts, repeats_of(texts))))
     return marked.mapInArrow(kept_words(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
 
 

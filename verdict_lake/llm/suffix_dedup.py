@@ -15,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .rolling import BYTE_VALUES
-from .store import python_ready
-from .windows import NO_ID, Finder, covered, keyed, unsqueeze, with_marks
+from .store import python_ready, small_or_not
+from .windows import NO_ID, Finder, covered, keyed, once, repeats_of, unsqueeze, with_marks
 
 LENGTH = 400
 
@@ -60,7 +61,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     python_ready(docs.sparkSession)
     texts = keyed(docs)
-    marked = with_marks(texts, finder(length).marks(texts))
+    repeats = repeats_of(texts)
+    marks = finder(length).marks(once(texts, repeats))
+    if not repeats.isEmpty():
+        # every string of a repeated row starts in the other rows too; a text shorter than the length has none
+        ends = F.octet_length("text") - length
+        whole = texts.join(small_or_not(repeats.select("doc", "body")), ["doc", "body"], "left_semi").filter(ends >= 0)
+        marks = marks.unionByName(whole.select("doc", "body", F.lit(0).cast("long").alias("low"), ends.cast("long").alias("high")))
+    marked = with_marks(texts, marks)
     return marked.mapInArrow(kept_bytes(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -24,7 +24,7 @@ NO_ID = -(1 << 63)
 
 #: at: the anchor's place; a window that starts at s has offset at - s. name: the anchor's gram's hash; run: hash of the text
 #: of all windows of the run and of their offsets; right and left: hashes of half a window after and before the anchor.
-ANCHOR = "doc long, body int, at long, low long, high long, name long, run long, right long, left long"
+ANCHOR = "doc long, body long, at long, low long, high long, name long, run long, right long, left long"
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -64,7 +64,7 @@ def anchor_rows(units_of: Callable[[str], np.ndarray], length: int, gram: int):
             for doc, body, text in zip(batch.column("doc").to_pylist(), batch.column("body").to_pylist(), batch.column("text")):
                 for found in anchors(units_of(text.as_py()), length, gram):
                     size = len(found[0])
-                    for column, part in zip(columns, (np.full(size, doc, np.int64), np.full(size, body, np.int32), *found)):
+                    for column, part in zip(columns, (np.full(size, doc, np.int64), np.full(size, body, np.int64), *found)):
                         column.append(part if part.dtype != U else part.view(np.int64))
             if columns[0]:
                 names = [c.split()[0] for c in ANCHOR.split(", ")]
@@ -74,9 +74,24 @@ def anchor_rows(units_of: Callable[[str], np.ndarray], length: int, gram: int):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc (doc_id, null as -2^63), body (a hash that tells texts under one doc_id apart) and text (null as empty)."""
+    """doc (doc_id, null as -2^63), body (a 64-bit hash that tells texts under one doc_id apart) and text (null as empty)."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text).alias("body"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("body"), text.alias("text"))
+
+
+def repeats_of(texts: DataFrame) -> DataFrame:
+    """doc, body, copies of keyed texts that several rows repeat; stored."""
+    return stored(texts.groupBy("doc", "body").agg(F.count("*").alias("copies")).filter("copies > 1"))
+
+
+def once(texts: DataFrame, repeats: DataFrame) -> DataFrame:
+    """A row for each doc and body of keyed texts; only repeated ones are shuffled."""
+    if repeats.isEmpty():
+        return texts
+    keys = small_or_not(repeats.select("doc", "body"))
+    single = texts.join(keys, ["doc", "body"], "left_anti")
+    many = texts.join(keys, ["doc", "body"], "left_semi").groupBy("doc", "body").agg(F.any_value("text").alias("text"))
+    return single.unionByName(many)
 
 
 def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +103,7 @@ def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
-    return docs.mapInArrow(squeeze, "doc long, body int, packed binary")
+    return docs.mapInArrow(squeeze, "doc long, body long, packed binary")
 
 
 def unsqueeze(packed: bytes) -> bytes:
@@ -109,16 +124,17 @@ def covered(starts: list[int], ends: list[int], size: int) -> np.ndarray:
 
 
 def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """packed texts with the lists of their marked window runs (null: none); a document has no more runs than units."""
-    listed = marks.groupBy("doc", "body").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    """packed texts with the lists of their marked window runs (null: none); a document has no more runs than units.
+    marks are of one row for each doc and body; only this join gives them to the repeated rows."""
+    listed = marks.distinct().groupBy("doc", "body").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
     return squeezed(docs).join(listed, ["doc", "body"], "left")
 
 
 #: Groups of at most so many pieces are settled inside one task each; larger ones block by block across tasks.
 GROUP = 256
-PIECE = "key long, doc long, body int, at long, low long, high long, owner long, n long, content binary"
-MARK = "doc long, body int, low long, high long"
-BLOCK = "name long, run long, owner long, key long, doc long, body int, at long, base long, low long, high long"
+PIECE = "key long, doc long, body long, at long, low long, high long, owner long, n long, content binary"
+MARK = "doc long, body long, low long, high long"
+BLOCK = "name long, run long, owner long, key long, doc long, body long, at long, base long, low long, high long"
 
 
 class Finder:
