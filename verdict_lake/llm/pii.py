@@ -3,7 +3,8 @@
 A surrogate depends on the key, the entity's canonical form and an attempt number alone, so an entity has the same one
 in every document (coreference), whatever the mention's punctuation or case. The distinct entities are checked for
 collisions: where two share a surrogate, or one equals a real entity, all but one move to their next attempt, until
-replacements are as distinct as what they replace.
+replacements are as distinct as what they replace. So that this ends, the space of replacements of every kind grows with the
+attempt; only IPv4 addresses stay within their 254^4.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ SYLLABLES = {
     "latin": ("ba", "den", "for", "gal", "har", "kin", "lan", "mor", "nel", "pas", "ren", "sol", "tam", "ver", "wick", "zan"),
     "cyrillic": ("ба", "вол", "гор", "дем", "жар", "зим", "ков", "лаз", "мор", "нов", "пет", "рад", "сол", "тар", "хар", "чер"),
 }
+#: Attempts in which numbers keep their length; later ones have more digits, as no other of that length may be free.
+LONG = 16
+#: What replaces secrets of symbols alone.
+SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
 GENDER_OF = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names}
 
 TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
@@ -140,32 +145,39 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
     if kind == "email":
         local, domain = canon.split("@")
         name, top = domain.rsplit(".", 1)
-        return f"{scrambled(local, stream)}@{scrambled(name, stream)}.{top}"
+        local, name = scrambled(local, stream), scrambled(name, stream)
+        return f"{local}{''.join(SIGNS[stream.below(len(SIGNS))] for _ in range(attempt - 2))}@{name}.{top}"
     if kind == "ip":
         return ".".join(str(1 + stream.below(254)) for _ in range(4))
     if kind == "card":
-        digits = canon[0] + "".join(str(stream.below(10)) for _ in canon[1:-1])
+        digits = canon[0] + "".join(str(stream.below(10)) for _ in range(len(canon) - 2 + max(0, attempt - LONG)))
         return digits + str(next(d for d in range(10) if luhn(f"{digits}{d}") == 0))
     if kind == "phone":
         lead = max(0, len(canon) - 10)  # the country's code
-        return canon[:lead] + "".join(str(stream.below(10)) for _ in canon[lead:])
+        return canon[:lead] + "".join(str(stream.below(10)) for _ in range(len(canon) - lead + max(0, attempt - LONG)))
     if kind.startswith("given"):
         _, gender, script = kind.split(":")
         pool = GIVEN[(script, gender)] if gender in "mf" else GIVEN[(script, "m")] + GIVEN[(script, "f")]
-        # after the pool's own names come compounds, so that a next attempt always has another name
-        names = [pool[stream.below(len(pool))] for _ in range(1 + min(attempt, 2))]
+        # after the pool's own names come compounds, longer with each attempt, so that there are always more names
+        names = [pool[stream.below(len(pool))] for _ in range(1 + attempt)]
         return "-".join(names).casefold()
     if kind.startswith("family"):
         parts = SYLLABLES[kind.split(":")[1]]
         return "".join(parts[stream.below(len(parts))] for _ in range(4 + attempt))
-    return scrambled(canon, stream)
+    if not any(c.isdigit() or c.isalpha() for c in canon):
+        # symbols alone have nothing to scramble
+        return "".join(SIGNS[stream.below(len(SIGNS))] for _ in range(len(canon) + attempt))
+    if kind == "ssn":
+        return scrambled(canon, stream) + "".join(str(stream.below(10)) for _ in range(attempt - LONG))
+    # a form of few letters or digits may be exhausted: from the third attempt on it grows
+    return scrambled(canon, stream) + "".join(SIGNS[stream.below(len(SIGNS))] for _ in range(attempt - 2))
 
 
 def in_format(kind: str, mention: str, canon: str) -> str:
     """The replacement's canonical form written as the mention is: its separators and its case."""
     if kind in ("card", "phone", "ssn"):
         digits = iter(canon)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind.startswith(("given", "family")):
         return canon.upper() if mention.isupper() and len(mention) > 1 else "-".join(p[:1].upper() + p[1:] for p in canon.split("-"))
     if kind == "email":
