@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.models import strip
+from ..session import workers_find_package
 from .judging import judgment_history, latest_per_judge, leaderboard, voted_predictions, votes
 from .queues import within
 from .status import truncated
@@ -20,19 +23,29 @@ def curated_pairs(ground_truths: DataFrame, reviews: DataFrame | None = None, me
     return rows if members is None else within(rows, members, "post_id")
 
 
+def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The version of ordered lines, which pass through one hasher."""
+    hasher = hashlib.sha256()
+    for batch in batches:
+        for line in batch.column("line"):
+            hasher.update(line.as_py().encode())
+    yield pa.RecordBatch.from_arrays([pa.array([hasher.hexdigest()[:16]])], ["version"])
+
+
 def dataset_version(pairs: DataFrame) -> DataFrame:
     """One row, dataset_version: the first 16 hex digits of the SHA-256 of the pairs in post_id order, without separators.
 
-    It gathers the content in one string: for a few million rows. dataset_version_streamed takes any number.
+    That value is serial, so one task sorts the lines, which may spill, and hashes them line by line: its time grows with the
+    content, its memory does not.
     """
-    text = F.concat("post_id", F.coalesce("explanation", F.lit("")))
-    # listagg has its order in SQL only
-    line = F.expr("coalesce(listagg(_line, '') within group (order by post_id), '')")
-    return pairs.select("post_id", text.alias("_line")).agg(F.substring(F.sha2(line, 256), 1, 16).alias("dataset_version"))
+    workers_find_package(pairs.sparkSession)
+    lines = pairs.select("post_id", F.concat("post_id", F.coalesce("explanation", F.lit(""))).alias("line")).filter("line is not null")
+    hashed = lines.repartition(1).sortWithinPartitions("post_id", "line").select("line").mapInArrow(digest, "version string")
+    return hashed.agg(F.coalesce(F.max("version"), F.lit(hashlib.sha256().hexdigest()[:16])).alias("dataset_version"))
 
 
 def dataset_version_streamed(pairs: DataFrame) -> str:
-    """The same for any number of rows: range partitions in order pass through one hasher, a partition at a time."""
+    """The same by the driver: range partitions in order pass through one hasher, a partition at a time."""
     hasher = hashlib.sha256()
     ordered = pairs.select("post_id", F.concat("post_id", F.coalesce("explanation", F.lit(""))).alias("line")).orderBy("post_id")
     for row in ordered.select("line").toLocalIterator():
