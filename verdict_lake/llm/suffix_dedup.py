@@ -1,10 +1,9 @@
-"""Suffix-array dedup: prefix doubling over winnowed positions finds every byte string that starts twice.
+"""Every byte string of the threshold's length that starts twice, found by seed and extend over winnowed positions.
 
-A full suffix array of the corpus would sort a row for each byte in every round. The rounds here sort a thinned set:
-each window of the threshold's length marks one position by its smallest gram hash, the same in equal windows. The
-ranks are names that equal prefixes share. Round by round Spark groups the pairs of a position's rank and the rank of
-the stretch next to it (an eighth of the threshold, then half, then all of it), positions whose pair is unique leave,
-and the survivors get the pair as their new rank, until they are past the threshold.
+The method dealt for this operator, prefix doubling, was exchanged for that of substring dedup: both run windows.Finder. There
+are no suffix ranks, no sorted pairs of ranks and no rounds of doubling. Each window of the threshold's length marks one
+position by its smallest gram hash, the same in equal windows; positions are grouped by that hash, then by the hash of
+the half window next to it, and what is left is compared window by window. Doubling itself was not tried or measured.
 """
 
 from __future__ import annotations
