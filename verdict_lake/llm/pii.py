@@ -5,6 +5,10 @@ in every document (coreference), whatever the mention's punctuation or case. The
 collisions: where two share a surrogate, or one equals a real entity, all but one move to their next attempt, until
 replacements are as distinct as what they replace. So that this ends, the space of replacements of every kind grows with the
 attempt; only IPv4 addresses stay within their 254^4.
+
+Detected: secrets after a key word, e-mail addresses, IPv4, card numbers (Luhn), phone numbers with a leading + or an area code in
+parentheses, SSNs with hyphens, and names after a listed title or from the listed given names. Not detected: other phone
+formats (555-123-4567, 030 1234567), IPv6, IBAN, and all other names.
 """
 
 from __future__ import annotations
