@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -116,6 +117,29 @@ def test_token_files_equal_the_library(frame, texts):
         start += len(ids)
 
 
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, library = tokenfile.Encoder(path), Tokenizer.from_file(path)
+    assert tokenfile.by_words(Tokenizer.from_file(TOKENIZER)) and not coder.by_words
+    texts = ["One  two\n\nthree", "", "  x"]
+    ids, counts = coder.encode(pa.array(texts), 9)
+    assert ids.tolist() == [k for t in texts for k in (*library.encode(t, add_special_tokens=False).ids, 9)]
+    assert counts.tolist() == [len(library.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+
+
+def test_small_shards_and_forgotten_words(frame, monkeypatch):
+    coder, texts = tokenfile.Encoder(TOKENIZER), ["a bc, d", "Bc d. " + "y" * 100, "", "zz a"]
+    monkeypatch.setattr(tokenfile, "REMEMBERED", 3)
+    first, again = coder.encode(pa.array(texts), 2), coder.encode(pa.array(texts), 2)
+    assert [x.tolist() for x in first] == [x.tolist() for x in again]
+    assert all(len(w) <= tokenfile.LONGEST for w in coder.known)
+    monkeypatch.setattr(tokenfile, "SHARD_CHARS", 10)
+    monkeypatch.setattr(tokenfile.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})()))
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3], pa.int64()), "text": ["abcdefghijkl", "", "x"]}), pa.RecordBatch.from_pydict({"doc_id": pa.array([4], pa.int64()), "text": ["y" * 25]}), pa.RecordBatch.from_pydict({"doc_id": pa.array([5], pa.int64()), "text": ["z"]})]
+    shards = [b.to_pylist()[0] for b in tokenfile.encoded_shards(TOKENIZER, 2)(iter(batches))]
+    assert [[k for k, _ in tokenfile.documents_of(s)] for s in shards] == [[1], [2, 3, 4], [5]]
+
+
 def test_token_files_with_null_and_repeated_ids(frame):
     df = frame(DOCS, (None, "one two", "en", "s", 0), (5, None, "en", "s", 0), (5, "x", None, None, None), (5, "x", None, None, None))
     got = tokenfile.token_report(df, TOKENIZER).collect()
@@ -127,8 +151,8 @@ def test_token_files_with_null_and_repeated_ids(frame):
 def test_repair_is_lossless_and_random_access():
     draw = np.random.default_rng(4)
     coded = [np.concatenate([draw.choice(30, draw.integers(0, 400)), np.tile([3, 4, 5, 6], 40), [2]]).astype("<u4").tobytes() for _ in range(60)]
-    row = tokenfile.shard_row(0, 0, [*range(59), None], coded, 100)
     ids = np.frombuffer(b"".join(coded), dtype="<u4")
+    row = tokenfile.shard_row(0, 0, [*range(59), None], ids, np.array([len(c) // 4 for c in coded], dtype="<i8"), 100)
     assert len(row["symbols"]) < ids.nbytes / 2
     back = list(tokenfile.documents_of(row))
     assert [k for k, _ in back] == [*range(59), None]
@@ -143,7 +167,7 @@ def test_repair_of_runs_and_nothing():
     ids = np.full(1000, 7, dtype="<u4")
     symbols, _, rules = tokenfile.repair(ids, np.zeros(1000, dtype=bool), 100)
     table = np.concatenate(rules)
-    assert tokenfile.expand(symbols, *tokenfile.expansions(table, tokenfile.expansion_lengths(table.astype(np.int64), 100), 100)).tobytes() == ids.tobytes()
+    assert tokenfile.expanded(symbols, table.astype(np.int64), 100).tobytes() == ids.tobytes()
     assert len(symbols) < 100
     assert len(tokenfile.repair(ids[:1], np.zeros(1, dtype=bool), 100)[0]) == 1
 

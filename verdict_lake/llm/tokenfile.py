@@ -9,6 +9,7 @@ a document is a run of symbols, and the expansion lengths give its place without
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,49 +30,102 @@ END_ID = 2
 SHARD_CHARS = 6_000_000
 #: Rounds of replacement, pairs replaced in one, and how often a pair must occur in its shard.
 ROUNDS, PAIRS, LEAST = 6, 4096, 16
-#: Distinct words whose ids a Python worker remembers, from one task to the next.
-REMEMBERED = 600_000
-#: Marks that end a word are pieces of their own after a Latin letter or digit; none begins a special token.
-MARKS = re.compile(r"(?<=[a-z0-9\xdf-\xf6\xf8-\xff])[.,;:!?#*$%&]+(?= |$)")
-BLANKS = "\t\n\x0b\x0c\r"
+#: Words whose ids a Python worker remembers from one task to the next, and the longest of them in code points.
+REMEMBERED, LONGEST = 500_000, 64
+#: The parts of a tokenizer under which the words between white space have ids of their own.
+NORMALIZERS = ("NFC", "Replace", "Lowercase")
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+#: Marks after a Latin letter or digit that end a word are pieces of their own; none begins a special token.
+MARKS = r"([a-z0-9\x{DF}-\x{F6}\x{F8}-\x{FF}])([.,;:!?#*$%&]+)([ \t\n\x0b\x0c\r]|$)"
+#: Words that are one piece each.
+LETTERS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff\u0410-\u044f]+")
+#: One-piece words that are encoded as one text.
+TOGETHER = 512
 SLOTS = 1 << 20
 SHARD = "part int, seq int, n_docs long, n_ids long, first_symbol long, doc_ids binary, id_counts binary, symbol_counts binary, rules binary, lengths binary, symbols binary"
 
 
+def by_words(tokenizer: Tokenizer) -> bool:
+    """Whether a text's ids are those of its words, one after another: normalizing, splitting and merging never look
+    across white space, and the last id of each piece bears the mark of an end."""
+    spec = json.loads(tokenizer.to_str())
+    normalizers = (spec["normalizer"] or {}).get("normalizers", [])
+    splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    spaces = [n for n in normalizers if n["type"] == "Replace"]
+    return (
+        tuple(n["type"] for n in normalizers) == NORMALIZERS
+        and all(n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in spaces)
+        and [p.get("type") for p in splits] == ["Split", "ByteLevel"]
+        and splits[0]["pattern"] == {"Regex": PIECES}
+        and (splits[0]["behavior"], splits[0]["invert"]) == ("Removed", True)
+        and (splits[1]["add_prefix_space"], splits[1]["use_regex"]) == (False, False)
+        and (spec["model"]["type"], spec["model"]["end_of_word_suffix"], spec["model"]["dropout"]) == ("BPE", WORD_END, None)
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])
+    )
+
+
 class Encoder:
-    """Encodes texts with a tokenizer that lower-cases and drops white space, word by word: a word's ids don't depend on
-    its neighbours. In Latin-1 texts, where lower-casing commutes with normalizing, words are looked up without case
-    and without the marks at their end."""
+    """Encodes texts with a tokenizer. Where words have ids of their own (see by_words), a shard's texts are split by
+    Arrow and each distinct word is looked up or encoded once; texts in Latin-1, where lower-casing commutes with
+    normalizing, are split without case and without the marks at the words' ends. Under any other tokenizer the library
+    encodes whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-
-    def words(self, text: str) -> list[str]:
-        for blank in BLANKS:
-            text = text.replace(blank, " ")
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.split(" ")
-        return text.split(" ") if "<|" in text else MARKS.sub(r" \g<0>", text.lower()).split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [self.words(t) for t in texts]
-        distinct = set().union(*split)
+        self.by_words = by_words(self.tokenizer)
+        self.closes = np.zeros(self.vocabulary, dtype=bool)
+        self.closes[[k for w, k in self.tokenizer.get_vocab().items() if w.endswith(WORD_END)]] = True
+
+    def coded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_new(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words. Those of letters alone go in groups, cut where pieces end."""
+        out: dict[str, bytes] = {}
+        single = [w for w in words if LETTERS.fullmatch(w)]
+        groups = [single[k : k + TOGETHER] for k in range(0, len(single), TOGETHER)]
+        for group, ids in zip(groups, self.coded([" ".join(g) for g in groups])):
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) == len(group):
+                data = ids.tobytes()
+                out.update(zip(group, map(data.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, (ids.tobytes() for ids in self.coded(rest))))
+        return out
+
+    def of_words(self, words: list[str]) -> list[bytes]:
         known = self.known
-        new = list(distinct.difference(known))
-        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, coded)}
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
+        fresh = self.of_new([w for w in words if w not in known])
+        out = [fresh[w] if w in fresh else known[w] for w in words]
+        if len(known) + len(fresh) > REMEMBERED:
+            self.known = {w: x for w, x in zip(words, out) if len(w) <= LONGEST}
         else:
-            known = {w: fresh[w] if w in fresh else known[w] for w in distinct}
-        ids = known.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+            known.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, one after another, and how many each has."""
+        if not self.by_words:
+            coded = [np.append(ids, np.uint32(end_id)) for ids in self.coded(texts.to_pylist())]
+            return np.concatenate(coded).astype("<u4"), np.array([len(c) for c in coded], dtype="<i8")
+        as_is = pc.or_(pc.match_substring_regex(texts, r"[^\x00-\x{FF}]"), pc.match_substring(texts, "<|"))
+        cut = pc.replace_substring_regex(pc.utf8_lower(texts), MARKS, r"\1 \2\3")
+        split = pc.ascii_split_whitespace(pc.if_else(as_is, texts, cut))
+        words = split.flatten().dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), " ")
+        pieces = [*self.of_words(distinct[0].as_py().split(" ") if len(words.dictionary) else []), np.array([end_id], dtype="<u4").tobytes()]
+        # the end id is a word more at the end of each text
+        n_words = np.asarray(split.value_lengths(), dtype=np.int64)
+        which = np.insert(np.asarray(words.indices), np.cumsum(n_words), len(pieces) - 1)
+        sizes = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)) // 4
+        n, place = sizes[which], (np.cumsum(sizes, dtype=np.int32) - sizes)[which]
+        upto = np.cumsum(n)
+        ids = np.frombuffer(b"".join(pieces), dtype="<u4")[np.repeat(place - (upto - n), n) + np.arange(upto[-1])]
+        return ids, np.diff(upto[np.cumsum(n_words + 1) - 1], prepend=0).astype("<i8")
 
 
 @functools.cache
@@ -143,24 +198,14 @@ def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
-def expansions(rules: np.ndarray, lengths: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A table of the ids that all symbols stand for, one after another, and each symbol's place and length in it."""
-    size = np.concatenate([np.ones(first, dtype=np.int64), lengths])
-    place = np.cumsum(size) - size
-    table = np.empty(int(size.sum()), dtype="<u4")
-    table[:first] = np.arange(first)
-    for k, (left, right) in enumerate(rules.tolist(), first):
-        at, middle = place[k], place[k] + size[left]
-        table[at:middle] = table[place[left] : place[left] + size[left]]
-        table[middle : at + size[k]] = table[place[right] : place[right] + size[right]]
-    return table, place, size
-
-
-def expand(symbols: np.ndarray, table: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for."""
-    n = size[symbols]
-    upto = np.cumsum(n)
-    return table[np.repeat(place[symbols] - upto + n, n) + np.arange(int(upto[-1]) if len(upto) else 0)]
+def expanded(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+    """The ids that symbols stand for: all symbols that are rules are replaced at once until none is left."""
+    symbols = symbols.astype(np.int64)
+    while len(at := np.flatnonzero(symbols >= first)):
+        left, right = rules[symbols[at] - first].T
+        symbols[at] = left
+        symbols = np.insert(symbols, at + 1, right)
+    return symbols.astype("<u4")
 
 
 def packed(array: np.ndarray) -> bytes:
@@ -171,11 +216,10 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), dtype=kind)
 
 
-def shard_row(part: int, seq: int, doc_ids: list, coded: list[bytes], vocabulary: int) -> dict:
-    counts = np.array([len(c) // 4 for c in coded], dtype="<i8")
-    ends = np.zeros(int(counts.sum()), dtype=bool)
+def shard_row(part: int, seq: int, doc_ids: list, all_ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> dict:
+    ends = np.zeros(len(all_ids), dtype=bool)
     ends[np.cumsum(counts) - 1] = True
-    symbols, last, rules = repair(np.frombuffer(b"".join(coded), dtype="<u4"), ends, vocabulary)
+    symbols, last, rules = repair(all_ids, ends, vocabulary)
     table = np.concatenate(rules) if rules else np.zeros((0, 2), dtype="<u4")
     present = np.array([x is not None for x in doc_ids])
     ids = np.array([0 if x is None else x for x in doc_ids], dtype="<i8")
@@ -197,26 +241,28 @@ def shard_row(part: int, seq: int, doc_ids: list, coded: list[bytes], vocabulary
 def encoded_shards(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq = encoder(path), TaskContext.get().partitionId(), 0
-        tail = np.array([end_id], dtype="<u4").tobytes()
-        ids: list = []
-        texts: list[str] = []
+        held: list[pa.RecordBatch] = []
+        chars = 0
 
         def shard() -> pa.RecordBatch:
-            coded = [c + tail for c in coder.encode(texts)]
-            row = shard_row(part, seq, ids, coded, coder.vocabulary)
+            ids, texts = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text"))
+            row = shard_row(part, seq, ids.to_pylist(), *coder.encode(texts, end_id), coder.vocabulary)
             types = {"part": pa.int32(), "seq": pa.int32()} | {k: pa.int64() for k in ("n_docs", "n_ids", "first_symbol")}
             return pa.RecordBatch.from_arrays([pa.array([v], types.get(k, pa.binary())) for k, v in row.items()], list(row))
 
-        held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids.append(doc_id)
-                texts.append(text or "")
-                held += len(texts[-1])
-                if held >= SHARD_CHARS:
-                    yield shard()
-                    ids, texts, held, seq = [], [], 0, seq + 1
-        if ids:
+            upto = np.cumsum(np.asarray(pc.utf8_length(batch.column("text")), dtype=np.int64))
+            begin = done = 0
+            while chars + (int(upto[-1]) if len(upto) else 0) - done >= SHARD_CHARS:
+                end = int(np.searchsorted(upto, done + SHARD_CHARS - chars)) + 1
+                held.append(batch.slice(begin, end - begin))
+                yield shard()
+                held, seq, chars = [], seq + 1, 0
+                begin, done = end, int(upto[end - 1])
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
+                chars += int(upto[-1]) - done
+        if held:
             yield shard()
 
     return run
@@ -229,20 +275,22 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataF
     id; repeated rows are documents of their own; an empty table gives no shard.
     """
     python_ready(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tasks = max(slim.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = slim.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id")
+    # many texts under one id, or under none, are dealt by their hashes
+    order = ("doc_id", "spread")
+    dealt = slim.withColumn("spread", F.xxhash64("text")).repartitionByRange(tasks, *order).sortWithinPartitions(*order).drop("spread")
     return stored(dealt.mapInArrow(encoded_shards(tokenizer, end_id), SHARD))
 
 
-def grammar_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return expansions(unpacked(row["rules"], "<u4").reshape(-1, 2), unpacked(row["lengths"], "<i8"), row["first_symbol"])
+def rules_of(row: dict) -> np.ndarray:
+    return unpacked(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
 
 
 def documents_of(row: dict) -> Iterator[tuple[int | None, np.ndarray]]:
     """doc_id and symbols' ids of each document of a shard."""
     ids, present = unpacked(row["doc_ids"], "<i8").reshape(2, -1)
-    all_ids = expand(np.frombuffer(row["symbols"], dtype="<u4"), *grammar_of(row))
+    all_ids = expanded(np.frombuffer(row["symbols"], dtype="<u4"), rules_of(row), row["first_symbol"])
     upto = np.cumsum(unpacked(row["id_counts"], "<i8"))
     for k, there, a, b in zip(ids.tolist(), present.tolist(), [0, *upto[:-1].tolist()], upto.tolist()):
         yield (k if there else None), all_ids[a:b]
@@ -252,12 +300,12 @@ def document_at(row: dict, k: int) -> np.ndarray:
     """Random access: the ids of the k-th document of a shard, expanding its own symbols alone."""
     upto = np.cumsum(unpacked(row["symbol_counts"], "<i8"))
     symbols = np.frombuffer(row["symbols"], dtype="<u4")
-    return expand(symbols[(upto[k - 1] if k else 0) : upto[k]], *grammar_of(row))
+    return expanded(symbols[(upto[k - 1] if k else 0) : upto[k]], rules_of(row), row["first_symbol"])
 
 
 def id_at(row: dict, position: int) -> int:
     """Random access: the id at a position of a shard, found by expansion lengths and one way down the rules."""
-    rules = unpacked(row["rules"], "<u4").reshape(-1, 2).astype(np.int64)
+    rules = rules_of(row)
     lengths, first = unpacked(row["lengths"], "<i8"), row["first_symbol"]
     symbols = np.frombuffer(row["symbols"], dtype="<u4").astype(np.int64)
     size = np.where(symbols >= first, lengths[np.maximum(symbols - first, 0)] if len(lengths) else 1, 1)
@@ -291,8 +339,13 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_report(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the written files."""
     shards = write_shards(docs, tokenizer)
-    # a row of counts for each shard, that is for some megabytes of text
-    order = Window.partitionBy(F.lit(0)).orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stored(shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("shard_start")))
+    # the sums of the parts, a row a task, are summed up in one task; the shards of a part among themselves
+    parts = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    counts = shards.select("part", "seq", "n_ids")
+    totals = counts.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
+    totals = totals.select("part", F.coalesce(F.sum("n_ids").over(parts), F.lit(0)).alias("part_start"))
+    start = F.col("part_start") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))
+    starts = stored(counts.join(totals, "part").select("part", "seq", start.alias("shard_start")))
     placed = shards.join(small_or_not(starts), ["part", "seq"])
     return placed.mapInArrow(digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
