@@ -1,9 +1,10 @@
-"""The pipeline's near-dup stage against all pairs of texts."""
+"""Near-dedup by similarity against all pairs of texts."""
 
 import random
 
-import corpus_pipeline
-from verdict_lake.llm import near_copies, simhash
+import numpy as np
+
+from verdict_lake.llm import simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,27 +46,48 @@ def brute_kept(texts):
     return [k for k in range(len(texts)) if up[k] == k]
 
 
-def test_near_dup_stage_equals_all_pairs(spark, frame):
+def docs_of(frame, texts):
+    return frame(DOCS, *((i, t, "en", "s", 0) for i, t in enumerate(texts))).repartition(3)
+
+
+def test_near_dedup_equals_all_pairs(frame):
     texts = planted()
-    df = frame(DOCS, *((i, t, "en", "s", 0) for i, t in enumerate(texts))).repartition(3)
+    df = docs_of(frame, texts)
     kept = brute_kept(texts)
     assert len(kept) < len(texts) * 0.6
-    out = corpus_pipeline.dedup(spark, df, "")
+    out = simhash.near_dedup(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == kept
-    # the thin query's setting would leave most of the near copies
-    assert simhash.near_dedup(df).count() > len(kept) + 20
-    assert corpus_pipeline.dedup(spark, df.limit(0), "").count() == 0
+    assert simhash.near_dedup(df.limit(0)).count() == 0
+
 
+def test_large_groups_of_near_copies_and_tiny_chunks(frame, monkeypatch):
+    draw = random.Random(3)
+    body, other = ([f"w{draw.randrange(900)}" for _ in range(80)] for _ in range(2))
+    texts = []
+    for base, copies in ((body, 150), (other, 20)):
+        for _ in range(copies):
+            copy = list(base)
+            copy[draw.randrange(80)] = f"x{draw.randrange(9000)}"
+            texts.append(" ".join(copy))
+    # a chain: neighbours are similar, its ends are not
+    chain = [f"c{k}" for k in range(100)]
+    texts += [" ".join([*chain[k * 6 :], *(f"d{j}" for j in range(k * 6))]) for k in range(8)]
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    df = docs_of(frame, texts)
+    assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == brute_kept(texts)
 
-def test_pairs_that_a_buckets_first_does_not_hold_together_are_compared(frame):
-    # one bucket for all: the whole search is then the comparison within it
-    prints_rows = []
+
+def test_what_stars_leave_is_compared_in_full(frame, monkeypatch):
+    # proposals without any bound on the bits: one dense chunk, of which stars test only a part
     texts = planted(7)
-    for i, t in enumerate(texts):
-        s = near_copies.shingle_set(t)
-        prints_rows.append((i, i, i, len(s), [0]))
-    prints = frame("id long, body long, node long, size long, buckets array<long>", *prints_rows)
-    table = frame("id long, body long, text string", *((i, i, t) for i, t in enumerate(texts)))
-    joined = near_copies.components(near_copies.links(prints, table))
-    inner = {r.node for r in joined.collect() if r.node != r.component}
-    assert [k for k in range(len(texts)) if k not in inner] == brute_kept(texts)
+    monkeypatch.setattr(simhash, "FIRST_RADIUS", 64)
+    monkeypatch.setattr(simhash, "ALL_RADIUS", 256)
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs_of(frame, texts)).collect()) == brute_kept(texts)
+
+
+def test_near_against_plain_bit_counts():
+    draw = np.random.default_rng(2)
+    words = [draw.integers(0, 1 << 62, 300).astype(np.uint64) & np.uint64(0xFFFF) for _ in range(2)]
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if int(words[0][i] ^ words[0][j]).bit_count() <= 3 and sum(int(w[i] ^ w[j]).bit_count() for w in words) <= 8}
+    i, j = simhash.near(words, words, 3, 8, True)
+    assert want and set(zip(i.tolist(), j.tolist())) == want
