@@ -184,6 +184,19 @@ def test_consensus_chain(frame, answer, stage):
         ('{"reasoning": "because", "verdict": "both"}', (None, None, "verdict")),
         ("", (None, None, "parse")),
         (None, (None, None, "parse")),
+        ('  ```\n{"reasoning": " because\\n so ", "verdict": " Correct "}\n ``` ', ("correct", "because\n so", None)),
+        ('{"reasoning": "because", "verdict": "correct"} and more', (None, None, "parse")),
+        ('so {"reasoning": "because"} or {"verdict": "correct"}', (None, None, "parse")),
+        ('[{"reasoning": "because", "verdict": "correct"}]', ("correct", "because", None)),
+        ('[1, 2]', (None, None, "parse")),
+        ('{"reasoning": "because", "": "maybe", " ": "Incorrect", "  ": "correct"}', ("incorrect", "because", None)),
+        ('{"reasoning": null, "reasonation": "because", "verdict": "correct"}', (None, None, "parse")),
+        ('{"reasonation": 7, "verdict": "correct"}', (None, None, "reasoning")),
+        ('{"reasoning": "because", "verdict": null, "": "correct"}', (None, None, "parse")),
+        ('{"reasoning": "because", "verdict": ["correct"]}', (None, None, "parse")),
+        ('{"reasoning": "because", "verdict": "incorrect", "verdict": "correct"}', ("correct", "because", None)),
+        ('{"reasoning": "потому", "verdict": "correct", "more": {"a": [1]}}', ("correct", "потому", None)),
+        ("{'reasoning': 'because', 'verdict': 'correct'}", (None, None, "parse")),
     ],
 )
 def test_verdict_parsing(frame, text, expected):
