@@ -12,6 +12,7 @@ from verdict_lake.operators import audit as A
 from verdict_lake.operators import consensus as C
 from verdict_lake.operators import duplicates as D
 from verdict_lake.operators import evalset as E
+from verdict_lake.operators import inspect as I
 from verdict_lake.operators import judging as J
 from verdict_lake.operators import merge as M
 from verdict_lake.operators import numbering as N
@@ -123,7 +124,54 @@ def test_bands_find_all_that_brute_force_finds(spark, frame):
 def test_pixels(frame):
     pairs = frame("pending_id string, reviewed_id string, exact boolean, dh int, ah int", ("q", "r", False, 1, 1), ("q", "s", False, 1, 1), ("q", "t", False, 0, 0))
     rasters = frame("post_id string, raster binary", ("q", bytearray([9] * 12)), ("r", bytearray([10] * 12)), ("s", bytearray([90] * 12)))
-    assert rows(D.same_pixels(pairs, rasters).select("reviewed_id")) == [("r",)]
+    assert rows(D.pixel_differences(pairs, rasters).select("reviewed_id", "diff")) == [("r", 1.0), ("s", 81.0)]
+
+
+def test_pixels_decide_for_each_class_of_equal_images(frame):
+    zero = "0" * 16
+    reviewed = frame(PRINT, ("r1", "f1", zero, zero, 9, 9), ("r2", "f2", zero, zero, 9, 9), ("r3", "f3", zero, "f" * 16, 9, 9))
+    pending = frame(PRINT, *((f"q{k}", f"p{k}", zero, zero, 9, 9) for k in range(1, 5)), ("q5", "f2", "f" * 16, zero, 9, 9), ("q6", "p6", zero, zero, 9, 9))
+    raster = lambda x: bytearray([x] * 12)
+    # the first reviewed image differs in its pixels, the second is the match; q4 is far from both, q6 has no raster
+    rasters = frame("post_id string, raster binary", ("r1", raster(200)), ("r2", raster(10)), ("r3", raster(13)), ("q1", raster(10)), ("q2", raster(10)), ("q3", raster(14)), ("q4", raster(100)), ("q5", raster(0)))
+    best = D.near_duplicates(pending, reviewed, rasters)
+    assert {r.pending_id: (r.reviewed_id, r.exact, r.dh, r.ah) for r in best.collect()} == {"q1": ("r2", False, 0, 0), "q2": ("r2", False, 0, 0), "q3": ("r2", False, 0, 0), "q5": ("r2", True, 0, 0)}
+    assert rows(D.exclusions(best).select("post_id", "reason"))[0] == ("q1", "duplicate_image:r2")
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from verdict_lake.session import scratch_folder
+
+    conf = SimpleNamespace(get=lambda key, default: default, set=lambda key, value: None)
+    with pytest.raises(RuntimeError):
+        scratch_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert scratch_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))).count("/") >= 2
+
+
+def test_manifest_finds_files_by_their_path_under_the_root(spark, frame, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "p1.jpg").write_bytes(b"12345")
+    posts = frame("post_id string, local_image_path string", ("p1", "a/p1.jpg"), ("p2", "a/p2.jpg"), ("p3", None), ("p4", "../a/p1.jpg"))
+    expected = [("p1", 5), ("p2", None), ("p3", None), ("p4", None)]
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        assert rows(P.image_manifest(spark, posts, root).select("post_id", "length")) == expected
+
+
+def test_search_goes_by_keys_of_other_tables(frame):
+    judgments = frame("prediction_id long, why string", (1, "a needle"), (2, "none"))
+    predictions = frame("prediction_id long, post_id string", (1, "p1"), (2, "p2"))
+    posts = frame("post_id string, title string", ("p3", "NEEDLE%"))
+    found = I.full_search("needle", ((posts, ("title",)), (judgments, ("why",), "prediction_id", predictions)))
+    assert rows(found) == [("p1",), ("p3",)]
+
+
+def test_null_keys_meet_nothing(frame):
+    schema = "k string, v string, error string, created_at string"
+    old, new = frame(schema, (None, "1", None, "t0")), frame(schema + ", seq int", (None, "2", None, "t1", 1))
+    merged = M.merge(old, new, ["k"], "replace").collect()
+    assert sorted((r.v, r.merge_action) for r in merged) == [("1", "kept"), ("2", "inserted")]
 
 
 @pytest.mark.parametrize("url, expected", [("https://i.redd.it/a", True), ("https://x.com/a.PNG?x=1", True), ("https://i.imgur.com/a", True), ("http://x/y.webp", True), ("https://x.com/page", False), (None, False)])

@@ -120,36 +120,40 @@ def parse_consensus(responses: DataFrame) -> DataFrame:
     return rows.withColumn("parsed", F.coalesce(parsed, F.lit(False))).withColumn("confidence", F.coalesce("confidence", F.lit(0.0))).drop("v", "_ids_ok", "_explanation_ok", "_confidence_given", "_object")
 
 
-def validate_consensus(responses: DataFrame, comments: DataFrame) -> DataFrame:
-    """post_id, stage, accepted, num_agreeing, avg_score: the first rule that an answer breaks, or accepted.
-
-    The average looks the ids up among all of the post's comments, counts repeats and skips unknown ones; the number of
-    agreeing comments is that of the list. The average is tested first. Answers that don't parse end at parse_error.
-    """
-    rows = parse_consensus(responses)
-    scores = rows.select("post_id", F.explode("ids").alias("comment_id")).join(comments.select("post_id", "comment_id", "score"), ["post_id", "comment_id"])
-    average = scores.groupBy("post_id").agg(F.avg("score").alias("avg"))
-    rows = rows.join(average, "post_id", "left").withColumn("avg", F.coalesce("avg", F.lit(0.0)))
+def early_stage() -> Column:
+    """The first rule that a parsed answer breaks by itself; null if only its comments can still reject it."""
     text = F.coalesce(strip(F.col("explanation")), F.lit(""))
     vague = F.lit(False)
     for phrase in VAGUE_PHRASES:
         vague = vague | F.contains(F.lower(text), F.lit(phrase))
-    count = F.size("ids")
-    stage = (
+    return (
         F.when(~F.col("parsed"), "parse_error")
         .when(~F.col("has_consensus"), "no_consensus")
         .when(F.col("confidence") < MIN_CONFIDENCE, "low_confidence")
         .when(text == "", "no_explanation")
         .when(F.length(text) < MIN_EXPLANATION, "short_explanation")
         .when(vague, "vague_phrase")
-        .when(F.col("avg") < MIN_AVG_SCORE, "low_score")
-        .when(count < MIN_AGREEING, "few_agreeing")
-        .otherwise("accepted")
     )
-    rows = rows.withColumn("stage", stage)
+
+
+def validate_consensus(responses: DataFrame, comments: DataFrame) -> DataFrame:
+    """post_id, stage, accepted, num_agreeing, avg_score: the first rule that an answer breaks, or accepted.
+
+    The average looks the ids up among all of the post's comments, counts repeats and skips unknown ones; the number of
+    agreeing comments is that of the list. The average is tested first. Answers that don't parse end at parse_error. A post
+    may have several answers; repeats of one give one row. Answers are read once, and only the ids of those that no
+    earlier rule rejects meet the comments.
+    """
+    answers = parse_consensus(responses).withColumn("early", early_stage())
+    open_ids = F.when(F.col("early").isNull(), F.col("ids"))
+    listed = answers.select("post_id", F.xxhash64("response").alias("answer"), "early", F.size("ids").alias("n"), F.explode_outer(open_ids).alias("comment_id"))
+    met = listed.join(comments.select("post_id", "comment_id", "score"), ["post_id", "comment_id"], "left")
+    rows = met.groupBy("post_id", "answer", "early", "n").agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg"))
+    late = F.when(F.col("avg") < MIN_AVG_SCORE, "low_score").when(F.col("n") < MIN_AGREEING, "few_agreeing").otherwise("accepted")
+    rows = rows.withColumn("stage", F.coalesce("early", late))
     counted = F.col("stage").isin("few_agreeing", "accepted")
     scored = counted | (F.col("stage") == "low_score")
-    return rows.select("post_id", "stage", (F.col("stage") == "accepted").alias("accepted"), F.when(counted, count).otherwise(0).alias("num_agreeing"), F.round(F.when(scored, F.col("avg")).otherwise(0.0), 6).alias("avg_score"))
+    return rows.select("post_id", "stage", (F.col("stage") == "accepted").alias("accepted"), F.when(counted, F.col("n")).otherwise(0).alias("num_agreeing"), F.round(F.when(scored, F.col("avg")).otherwise(0.0), 6).alias("avg_score"))
 
 
 def terminal_consensus(validated: DataFrame) -> DataFrame:

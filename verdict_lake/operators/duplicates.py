@@ -1,11 +1,14 @@
-"""Near-duplicate images: pending posts matched to reviewed ones by file hash or perceptual hashes.
+"""Near-duplicate images: pending posts matched to reviewed ones by file hash, or by perceptual hashes and then by pixels.
 
-Within dh <= 4 bits of five bands of the difference hash one is equal; within ah <= 2 bits one of three bands of the
-average hash. So equal bands, joined, find every pair that the rule can accept, and the rule decides.
+Of k + 2 bands of a hash at least two stay as they are when k bits change. So images meet on pairs of equal bands: for 4
+bits of the difference hash 15 pairs of some 21 bits, for 2 bits of the average hash 6 pairs of 32 bits. Every pair of
+images that the rule can accept meets, unrelated ones once in 2^21 at least, and the rule decides.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,65 +22,99 @@ from .queues import without
 DHASH, AHASH, WIDE_DHASH, PIXELS = 4, 2, 8, 4.0
 
 
-def bands(bits: Column, parts: int, tag: str) -> list[Column]:
-    """(tag, band) structs of the parts into which 64 bits are cut."""
+#: Weights of red, green and blue in a gray value, in 65,536ths.
+LUMA = (19595, 38470, 7471)
+#: What images must share to be one row in the search.
+SHAPE = ("dhash", "ahash", "width", "height")
+
+
+def band_pairs(bits: Column, changed: int, tag: str) -> list[Column]:
+    """(tag, band) structs of all pairs of the changed + 2 parts into which 64 bits are cut."""
+    parts = changed + 2
     edges = [64 * k // parts for k in range(parts + 1)]
+    cut = [(F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << (b - a)) - 1)), b - a) for a, b in zip(edges, edges[1:])]
     return [
-        F.struct(F.lit(f"{tag}{k}").alias("tag"), F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("band"))
-        for k, (a, b) in enumerate(zip(edges, edges[1:]))
+        F.struct(F.lit(f"{tag}{i}.{j}").alias("tag"), F.shiftleft(cut[i][0], cut[j][1]).bitwiseOR(cut[j][0]).alias("band")) for i, j in combinations(range(parts), 2)
     ]
 
 
-def hash_groups(prints: DataFrame) -> DataFrame:
-    """prints with equal hashes and shape as one row, so that a hash that very many images share is one key's one row."""
-    keys = ["exact_hash", "dhash", "ahash", "width", "height"]
-    return prints.groupBy(*keys).agg(F.min("post_id").alias("post_id"))
+def classes(prints: DataFrame, *more: str) -> DataFrame:
+    """prints of equal hashes and shape (and more) as one row under their smallest post_id, so that a hash that very many
+    images share is one key's one row."""
+    return prints.groupBy(*SHAPE, *more).agg(F.min("post_id").alias("post_id"))
 
 
 @F.pandas_udf(T.DoubleType())
 def pixel_difference(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Mean luma of the absolute difference of two RGB rasters of one size; null without both."""
+    """Mean gray value of the absolute difference of two RGB rasters of one size; null without both."""
 
     def one(x: bytes | None, y: bytes | None) -> float | None:
         if x is None or y is None or len(x) != len(y) or not x:
             return None
-        p, q = (np.frombuffer(z, dtype=np.uint8).reshape(-1, 3).astype(np.int16) for z in (x, y))
-        luma = np.abs(p - q) @ np.array([0.299, 0.587, 0.114])
-        return float(np.floor(luma + 0.5).mean())
+        p, q = (np.frombuffer(z, dtype=np.uint8).reshape(-1, 3).astype(np.int64) for z in (x, y))
+        return float(((np.abs(p - q) @ np.array(LUMA) + 32768) >> 16).mean())
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def candidate_pairs(pending: DataFrame, reviewed: DataFrame, dhash_bits: int = DHASH, wide_bits: int = WIDE_DHASH, ahash_bits: int = AHASH) -> DataFrame:
+def exact_pairs(pending: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """pending_id, reviewed_id, exact, dh, ah of pending posts and the smallest reviewed post with the same file."""
+    same = reviewed.groupBy("exact_hash").agg(F.min("post_id").alias("reviewed_id"))
+    rows = pending.select(F.col("post_id").alias("pending_id"), "exact_hash").join(same, "exact_hash").filter("pending_id <> reviewed_id")
+    return rows.select("pending_id", "reviewed_id", F.lit(True).alias("exact"), F.lit(0).alias("dh"), F.lit(0).alias("ah"))
+
+
+def near_pairs(pending: DataFrame, reviewed: DataFrame, dhash_bits: int = DHASH, wide_bits: int = WIDE_DHASH, ahash_bits: int = AHASH) -> DataFrame:
+    """pending_id, reviewed_id, exact, dh, ah of all pairs of fingerprints that match but for the pixels."""
+    cut = lambda df: df.select(F.col("post_id").alias("id"), as_bits(F.col("dhash")).alias("d"), as_bits(F.col("ahash")).alias("a"), F.col("width").alias("w"), F.col("height").alias("h"))
+
+    def banded(df: DataFrame, side: str) -> DataFrame:
+        every = F.array(*band_pairs(F.col("d"), dhash_bits, "d"), *band_pairs(F.col("a"), ahash_bits, "a"))
+        names = ("id", "d", "a", "w", "h")
+        return cut(df).select(F.explode(every).alias("b"), *names).select("b.*", *(F.col(n).alias(f"{side}_{n}") for n in names))
+
+    c = F.col
+    dh, ah = (F.bit_count(c(f"q_{x}").bitwiseXOR(c(f"r_{x}"))) for x in "da")
+    met = banded(pending, "q").join(banded(reviewed, "r"), ["tag", "band"]).withColumns({"dh": dh, "ah": ah})
+    close = aspect_close(c("q_w"), c("q_h"), c("r_w"), c("r_h")) & ((c("dh") <= dhash_bits) | (c("dh") <= wide_bits) & (c("ah") <= ahash_bits))
+    pairs = met.filter(close & (c("q_id") != c("r_id")))
+    return pairs.select(c("q_id").alias("pending_id"), c("r_id").alias("reviewed_id"), F.lit(False).alias("exact"), "dh", "ah").distinct()
+
+
+def candidate_pairs(pending: DataFrame, reviewed: DataFrame, **bits) -> DataFrame:
     """pending_id, reviewed_id, exact, dh, ah of pairs of fingerprints that match but for the pixels.
 
     Fingerprints: post_id, exact_hash, dhash, ahash (hex), width, height. Reviewed ones of equal hashes and shape stand
     in by their smallest post_id.
     """
-    q = pending.select(*(F.col(c).alias(f"q_{c}") for c in ("post_id", "exact_hash", "dhash", "ahash", "width", "height")))
-    r = hash_groups(reviewed)
-    exact = q.join(r.select("exact_hash", "post_id"), F.col("q_exact_hash") == F.col("exact_hash")).groupBy("q_post_id").agg(F.min("post_id").alias("reviewed_id"))
-    exact = exact.select(F.col("q_post_id").alias("pending_id"), "reviewed_id", F.lit(True).alias("exact"), F.lit(0).alias("dh"), F.lit(0).alias("ah"))
+    return exact_pairs(pending, reviewed).unionByName(near_pairs(pending, classes(reviewed), **bits))
+
 
-    def banded(df: DataFrame, d: str, a: str) -> DataFrame:
-        every = bands(as_bits(F.col(d)), dhash_bits + 1, "d") + bands(as_bits(F.col(a)), ahash_bits + 1, "a")
-        return df.withColumn("b", F.explode(F.array(*every))).withColumn("tag", F.col("b.tag")).withColumn("band", F.col("b.band")).drop("b")
+def pixel_differences(pairs: DataFrame, rasters: DataFrame) -> DataFrame:
+    """pairs with diff, the pixel_difference of their rasters (post_id, raster); pairs without both rasters are left out."""
+    workers_find_package(pairs.sparkSession)
+    wanted = pairs.select(F.explode(F.array("pending_id", "reviewed_id")).alias("post_id")).distinct()
+    some = rasters.join(wanted, "post_id", "left_semi")
+    a = some.select(F.col("post_id").alias("pending_id"), F.col("raster").alias("ra"))
+    b = some.select(F.col("post_id").alias("reviewed_id"), F.col("raster").alias("rb"))
+    tested = pairs.join(a, "pending_id").join(b, "reviewed_id").withColumn("diff", pixel_difference("ra", "rb"))
+    return tested.select(*pairs.columns, "diff")
 
-    dh = F.bit_count(as_bits(F.col("q_dhash")).bitwiseXOR(as_bits(F.col("dhash"))))
-    ah = F.bit_count(as_bits(F.col("q_ahash")).bitwiseXOR(as_bits(F.col("ahash"))))
-    met = banded(q, "q_dhash", "q_ahash").join(banded(r, "dhash", "ahash"), ["tag", "band"]).withColumn("dh", dh).withColumn("ah", ah)
-    near = aspect_close(F.col("q_width"), F.col("q_height"), F.col("width"), F.col("height")) & ((F.col("dh") <= dhash_bits) | (F.col("dh") <= wide_bits) & (F.col("ah") <= ahash_bits))
-    pairs = met.filter(near & (F.col("q_post_id") != F.col("post_id"))).select(F.col("q_post_id").alias("pending_id"), F.col("post_id").alias("reviewed_id"), F.lit(False).alias("exact"), "dh", "ah").distinct()
-    return exact.filter("pending_id <> reviewed_id").unionByName(pairs)
 
+def near_duplicates(pending: DataFrame, reviewed: DataFrame, rasters: DataFrame, most: float = PIXELS, **bits) -> DataFrame:
+    """pending_id, reviewed_id, exact, dh, ah: the best match of each pending post that has one.
 
-def same_pixels(pairs: DataFrame, rasters: DataFrame, most: float = PIXELS) -> DataFrame:
-    """Exact pairs and those whose rasters (post_id, raster) differ by at most most; a missing raster is no match."""
-    workers_find_package(pairs.sparkSession)
-    a = rasters.select(F.col("post_id").alias("pending_id"), F.col("raster").alias("ra"))
-    b = rasters.select(F.col("post_id").alias("reviewed_id"), F.col("raster").alias("rb"))
-    tested = pairs.filter("not exact").join(a, "pending_id").join(b, "reviewed_id").withColumn("diff", pixel_difference("ra", "rb"))
-    return pairs.filter("exact").unionByName(tested.filter(F.col("diff") <= most).select(*pairs.columns))
+    A match is an equal file, or hashes within bits whose rasters (post_id, raster) differ by at most most; a missing raster
+    is no match. Images of equal hashes, shape and raster are searched as one, on both sides, and then each pending one
+    gets its own row.
+    """
+    hashed = rasters.select("post_id", F.sha2("raster", 256).alias("pixels")).filter("pixels is not null")
+    sides = [df.select("post_id", *SHAPE).join(hashed, "post_id") for df in (pending, reviewed)]
+    first, second = (classes(side, "pixels") for side in sides)
+    near = pixel_differences(near_pairs(first, second, **bits), rasters).filter(F.col("diff") <= most).drop("diff")
+    of_class = sides[0].join(first.withColumnRenamed("post_id", "first_id"), [*SHAPE, "pixels"]).select("post_id", "first_id")
+    expanded = near.join(of_class, near["pending_id"] == of_class["first_id"]).select(F.col("post_id").alias("pending_id"), *near.columns[1:])
+    return best_duplicate(exact_pairs(pending, reviewed).unionByName(expanded.filter("pending_id <> reviewed_id")))
 
 
 def best_duplicate(pairs: DataFrame) -> DataFrame:

@@ -20,14 +20,20 @@ def like_any(needle: str, *columns: str) -> Column:
     return hit
 
 
-def full_search(needle: str, searched: Iterable[tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
-    """post_id of posts with the needle in any of the tables (each with post_id and the columns to search).
+def full_search(needle: str, searched: Iterable[tuple]) -> DataFrame:
+    """post_id of posts with the needle in any of the tables.
 
-    A scan a table and a union of ids, instead of an OR of EXISTS, which would become nested loops.
+    searched: tables with the columns to search, and for tables without post_id another that maps their key to it:
+    (table, columns) or (table, columns, key, posts of key). Each table is filtered in its own scan before anything is
+    joined, and the ids are united, instead of an OR of EXISTS, which would become nested loops.
     """
     found = None
-    for df, columns in searched:
-        ids = df.filter(like_any(needle, *columns)).select("post_id")
+    for df, columns, *way in searched:
+        ids = df.filter(like_any(needle, *columns))
+        if way:
+            key, posts = way
+            ids = posts.select(key, "post_id").join(ids.select(key), key, "left_semi")
+        ids = ids.select("post_id")
         found = ids if found is None else found.unionByName(ids)
     return found.distinct()
 

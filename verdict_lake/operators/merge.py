@@ -1,7 +1,8 @@
 """Keyed merges: a new version of a table from its old one and updates, by policy.
 
-All policies are a union followed by one aggregate on the key, which combines on the map side, so that a key with many
-updates is no skew. Updates carry an order column; the last one wins where several have the same key.
+The updates become one row a key by an aggregate, which combines on the map side, so that a key with many updates is no
+skew, and meet the old version in one full outer join on the key. Updates carry an order column; the last one wins where
+several have the same key. A null key meets nothing: such rows of the target stay, such updates are inserted.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ from ..operators import snapshot as X
 from ..operators import tags as G
 from ..operators.judging import voted_predictions
 from ..operators.queues import few, pending_judgments
+from ..operators.status import classify_state
 from .posts import STATE_SQL
 from .registry import query
 from .votes import BOARD, COUNTS, LATEST, VOTES
@@ -79,7 +80,7 @@ def full_search(t):
 
 
 def _searched(t):
-    judged = t.judgments.join(t.predictions.select(F.col("id").alias("prediction_id"), "post_id", "model_id"), "prediction_id")
+    predicted = t.predictions.withColumnRenamed("id", "prediction_id")
     return (
         (t.memes, ("post_id", "title", "subreddit", "image_url", "local_image_path", "permalink")),
         (t.ground_truths, ("explanation", "consensus_model")),
@@ -87,8 +88,9 @@ def _searched(t):
         (t.reviews, ("status", "reason")),
         (t.comments, ("comment_id", "author", "body", "score")),
         (t.predictions, ("model_id", "prediction", "error")),
-        (judged, ("model_id", "judge_model", "verdict", "judge_reasoning", "judge_prompt_version")),
-        (t.meme_tags.join(t.tags, "tag_id"), ("name", "description", "notes")),
+        (t.judgments, ("judge_model", "verdict", "judge_reasoning", "judge_prompt_version"), "prediction_id", predicted),
+        (t.tags, ("name", "description"), "tag_id", t.meme_tags),
+        (t.meme_tags, ("notes",)),
         (t.calls, ("session_id", "role", "model", "response", "error", "verdict", "reasoning", "prompt_version")),
     )
 
@@ -96,14 +98,28 @@ def _searched(t):
 @query(f"""with st as ({STATE_SQL}), {CLASS} select post_id from st where state = 'validated' and post_id in (select post_id from predictions where error is null) and post_id in (select post_id from cls where verdict_class = 'mixed')
   and post_id in (select post_id from meme_tags) order by case when lower(post_id) = 'p21' then 0 else 1 end, post_id desc limit 3000""")
 def inspect_filter(t):
-    from ..operators.status import classify_state
-
     rows = classify_state(t.memes, t.ground_truths, t.reviews, t.calls).filter("state = 'validated'").select("post_id")
     rows = I.prediction_coverage(rows, t.predictions)
     rows = rows.join(I.verdict_class(t.predictions, t.judgments).filter("verdict_class = 'mixed'"), "post_id", "left_semi")
     return I.inspect_order(I.tag_filter(rows, t.tags, t.meme_tags, "tagged"), "P21")
 
 
+@query(f"""with st as ({STATE_SQL}), {CLASS}, good as (select id, post_id from predictions where error is null),
+  found as (select post_id from memes where title ilike '%3%' or post_id ilike '%3%' union select post_id from ground_truths where explanation ilike '%3%')
+  select post_id from st where state = 'validated' and post_id in (select post_id from found) and post_id in (select post_id from good)
+  and post_id in (select post_id from good join judgments j on j.prediction_id = good.id) and post_id in (select post_id from cls where verdict_class in ('mixed', 'all_correct'))
+  and post_id not in ({_NAMED}) order by post_id desc limit 3000""")
+def inspect_all_filters(t):
+    """All six filters at once: state, search, both coverages, verdict class and tags."""
+    rows = classify_state(t.memes, t.ground_truths, t.reviews, t.calls).filter("state = 'validated'").select("post_id")
+    found = I.full_search("3", ((t.memes, ("title", "post_id")), (t.ground_truths, ("explanation",))))
+    rows = I.prediction_coverage(rows.join(found, "post_id", "left_semi"), t.predictions)
+    rows = I.evaluation_coverage(rows, t.predictions, t.judgments)
+    some = I.verdict_class(t.predictions, t.judgments).filter(F.col("verdict_class").isin("mixed", "all_correct"))
+    rows = rows.join(some, "post_id", "left_semi")
+    return I.inspect_order(I.tag_filter(rows, t.tags, t.meme_tags, "exclude", ["tag 2", "Tag 5"]))
+
+
 @query("""with l as (select distinct post_id, unnest(from_json(source_comment_ids, '["VARCHAR"]')) as comment_id from sources), c as (select c.*, l.comment_id is not null as src from comments c join sources s using (post_id) left join l on l.post_id = c.post_id and l.comment_id = c.comment_id),
   r as (select post_id, case when src then 'source' else 'other' end as section, row_number() over (partition by post_id, src order by score desc, comment_id) as position, comment_id from c)
   select * from r where section = 'source' or position <= 5""")
@@ -300,14 +316,43 @@ def candidate_duplicates(t):
     ).select("pending_id", "reviewed_id", "exact", "dh", "ah")
 
 
-@query(f"with {PAIRS} select pending_id, reviewed_id, exact, dh, ah from best")
+#: Bits by which the rasters of pending images are changed, by class.
+_SHIFTS = (0, 2, 8)
+
+
+def _rasters(t):
+    """Rasters of 21 RGB pixels from vectors; those of pending images are changed a little or too much."""
+    value = lambda x: F.pmod((x.cast("double") * 100).cast("bigint"), F.lit(256))
+    shift = F.element_at(F.array(*(F.lit(x).cast("bigint") for x in _SHIFTS)), (F.col("vec_id") % 3 + 1).cast("int"))
+    raster = lambda of: F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 63), lambda x: F.lpad(F.hex(of(value(x))), 2, "0")), ""))
+    pending = t.embeddings.select(F.concat(F.lit("q"), "vec_id").alias("post_id"), raster(lambda v: v.bitwiseXOR(shift)).alias("raster"))
+    return pending.unionByName(t.embeddings.select(F.concat(F.lit("r"), "vec_id").alias("post_id"), raster(lambda v: v).alias("raster")))
+
+
+PIXELS = """e as (select vec_id, list_transform(range(1, 64), lambda i: ((trunc(embedding[i]::double * 100)::bigint % 256) + 256) % 256) as p from embeddings),
+s as (select vec_id, list_transform(p, lambda x: xor(x, [0, 2, 8][vec_id % 3 + 1]::bigint)) as p from e),
+diffs as (select pairs.*, case when exact then 0.0 else list_avg(list_transform(range(0, 21), lambda i: (19595 * abs(s.p[3 * i + 1] - e.p[3 * i + 1]) + 38470 * abs(s.p[3 * i + 2] - e.p[3 * i + 2]) + 7471 * abs(s.p[3 * i + 3] - e.p[3 * i + 3]) + 32768) >> 16)) end::double as diff
+  from pairs join s on pending_id = 'q' || s.vec_id join e on reviewed_id = 'r' || e.vec_id),
+checked as (select pending_id, arg_min(reviewed_id, (not exact, dh + ah, reviewed_id)) as reviewed_id, arg_min(exact, (not exact, dh + ah, reviewed_id)) as exact, arg_min(dh, (not exact, dh + ah, reviewed_id)) as dh, arg_min(ah, (not exact, dh + ah, reviewed_id)) as ah
+  from diffs where diff <= 4.0 group by pending_id)"""
+
+
+@query(f"with {PAIRS}, {PIXELS} select pending_id, reviewed_id, dh, ah, diff from diffs where not exact")
+def pixel_difference(t):
+    """The pixel difference of all pairs that match by their hashes."""
+    pairs = D.near_pairs(*_fingerprints(t))
+    exact = D.exact_pairs(*_fingerprints(t)).select("pending_id", "reviewed_id")
+    return D.pixel_differences(pairs.join(exact, ["pending_id", "reviewed_id"], "left_anti"), _rasters(t)).drop("exact")
+
+
+@query(f"with {PAIRS}, {PIXELS} select pending_id, reviewed_id, exact, dh, ah from checked")
 def near_duplicate_images(t):
-    return D.best_duplicate(D.candidate_pairs(*_fingerprints(t)))
+    return D.near_duplicates(*_fingerprints(t), _rasters(t))
 
 
-@query(f"with {PAIRS} select pending_id as post_id, 'excluded' as status, 'duplicate_image:' || reviewed_id as reason from best")
+@query(f"with {PAIRS}, {PIXELS} select pending_id as post_id, 'excluded' as status, 'duplicate_image:' || reviewed_id as reason from checked")
 def exclude_duplicates(t):
-    return D.exclusions(D.best_duplicate(D.candidate_pairs(*_fingerprints(t))))
+    return D.exclusions(D.near_duplicates(*_fingerprints(t), _rasters(t)))
 
 
 @query("select post_id, local_image_path from memes where local_image_path is not null and post_id not in (select post_id from batch_memes where stage_status = 'judged')")
@@ -347,6 +392,24 @@ def newest_regressions(t):
     return X.newest_first(t.regressions, "annotated_at", "post_id", 25).select("post_id", "status")
 
 
+@query("select batch_id as snapshot_id, created_at, posts from (select batch_id, max(position) as created_at, count(*) as posts from batch_memes group by batch_id) order by created_at desc, batch_id desc")
+def list_snapshots(t):
+    listed = t.batch_memes.groupBy(F.col("batch_id").alias("snapshot_id")).agg(F.max("position").alias("created_at"), F.count("*").alias("posts"))
+    return X.newest_first(listed, "created_at", "snapshot_id")
+
+
+@query("select run_id, run_order, n, passed from (select run_id, run_order, count(*) as n, count(*) filter (passed) as passed from eval_results group by run_id, run_order) order by run_order desc limit 5")
+def newest_eval_runs(t):
+    runs = t.eval_results.groupBy("run_id", "run_order").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
+    return X.newest_first(runs, "run_order", "run_id", 5)
+
+
+@query("select post_id, gate, gate_decision, correct_decision from feedback where gate = 'safety' order by created_at desc, post_id desc limit 25")
+def newest_feedback(t):
+    rows = X.newest_first(t.feedback.filter("gate = 'safety'"), "created_at", "post_id", 25)
+    return rows.select("post_id", "gate", "gate_decision", "correct_decision")
+
+
 _MEMES = f"{SNAP}, em as (select snapshot_id, post_id, title, subreddit, explanation as ground_truth, post_id || '.' || case when local_image_path is null then 'jpg' else lower(regexp_extract(local_image_path, '\\.([A-Za-z0-9]+)$', 1)) end as image from m0 join memes using (post_id) join ground_truths using (post_id))"
 
 
@@ -378,7 +441,10 @@ def export_judgments(t):
 _SCOPED = COUNTS.format(scope="and post_id in (select post_id from m0)", also="where post_id in (select post_id from m0)")
 
 
-@query(f"with {SNAP}, {VOTES}, {_SCOPED} {BOARD}")
+EXPORTED_BOARD = f"with {SNAP}, {VOTES}, {_SCOPED} {BOARD}"
+
+
+@query(EXPORTED_BOARD)
 def export_leaderboard(t):
     return X.export_leaderboard(_members(t), t.predictions, t.judgments).withColumn("rank", F.col("rank").cast("long"))
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import duplicates as D
 from ..operators import snapshot as X
 from ..session import scratch_folder
 from ..sources import published as P
 from ..streaming import ingest
-from .content import PROMPT, SNAP, _members
-from .registry import query
+from .content import EXPORTED_BOARD, PROMPT, SNAP, _members
+from .registry import add, query
 from .votes import VOTES
 
 
@@ -24,54 +23,53 @@ def _tables(t):
     }
 
 
-EXPORTED = f"""with {SNAP}, {VOTES}, {PROMPT} select p.id as prediction_id, p.post_id, p.model_id, p.prediction, prompt_version, coalesce(judges, 0) as judges, coalesce(c, 0) as correct_votes, coalesce(i, 0) as incorrect_votes, cv as consensus_verdict
-  from predictions p left join voted on voted.prediction_id = p.id left join pv on pv.post_id = p.post_id and pv.model_id = p.model_id and pv.prediction = p.prediction where error is null and p.post_id in (select post_id from m0)"""
+#: The published tables in SQL.
+PUBLISHED = {
+    "memes": f"""with {SNAP} select snapshot_id, post_id, title, subreddit, explanation as ground_truth, post_id || '.' || case when local_image_path is null then 'jpg' else lower(regexp_extract(local_image_path, '\\.([A-Za-z0-9]+)$', 1)) end as image
+  from m0 join memes using (post_id) join ground_truths using (post_id)""",
+    "predictions": f"""with {SNAP}, {VOTES}, {PROMPT} select p.id as prediction_id, p.post_id, p.model_id, p.prediction, prompt_version, coalesce(judges, 0) as judges, coalesce(c, 0) as correct_votes, coalesce(i, 0) as incorrect_votes, cv as consensus_verdict
+  from predictions p left join voted on voted.prediction_id = p.id left join pv on pv.post_id = p.post_id and pv.model_id = p.model_id and pv.prediction = p.prediction where error is null and p.post_id in (select post_id from m0)""",
+    "judgments": f"""with {SNAP} select j.id as judgment_id, prediction_id, post_id, model_id, coalesce(judge_model, '(unknown)') as judge_model, verdict, judge_prompt_version, judge_model is not null and j.id = max(j.id) over (partition by prediction_id, judge_model) as is_latest
+  from judgments j join predictions p on p.id = prediction_id where error is null and post_id in (select post_id from m0)""",
+    "leaderboard": EXPORTED_BOARD,
+}
 
 
-@query(EXPORTED)
-def write_export(t):
-    """The predictions table as written to JSON lines and read again."""
+def _written(t, table: str, kind: str):
+    """The table as written to JSON lines or typed Parquet and read again."""
     path = scratch_folder(t.spark)
-    P.write_export(_tables(t), path)
-    return P.read_published_tables(t.spark, path)["predictions"]
+    (P.write_export if kind == "json" else P.write_typed_tables)({table: _tables(t)[table]}, path)
+    return P.read_published_tables(t.spark, path, kind, (table,))[table]
 
 
-@query(f"""with {SNAP} select j.id as judgment_id, prediction_id, post_id, model_id, coalesce(judge_model, '(unknown)') as judge_model, verdict, judge_prompt_version, judge_model is not null and j.id = max(j.id) over (partition by prediction_id, judge_model) as is_latest
-  from judgments j join predictions p on p.id = prediction_id where error is null and post_id in (select post_id from m0)""")
-def write_typed_tables(t):
-    """The judgments table as written to typed Parquet and read again."""
-    path = scratch_folder(t.spark)
-    P.write_typed_tables(_tables(t), path)
-    return P.read_published_tables(t.spark, path, "parquet")["judgments"]
+def _register(name: str, table: str, kind: str) -> None:
+    def f(t):
+        return _written(t, table, kind)
 
+    f.__name__ = name
+    add(PUBLISHED[table], f)
 
-@query(f"""with {SNAP} select snapshot_id, post_id, title, subreddit, explanation as ground_truth, post_id || '.' || case when local_image_path is null then 'jpg' else lower(regexp_extract(local_image_path, '\\.([A-Za-z0-9]+)$', 1)) end as image
-  from m0 join memes using (post_id) join ground_truths using (post_id)""")
-def read_published_tables(t):
-    path = scratch_folder(t.spark)
-    P.write_typed_tables(_tables(t), path)
-    return P.read_published_tables(t.spark, path, "parquet")["memes"]
+
+_register("write_export", "predictions", "json")
+_register("write_export_memes", "memes", "json")
+_register("write_export_judgments", "judgments", "json")
+_register("write_export_leaderboard", "leaderboard", "json")
+_register("write_typed_tables", "judgments", "parquet")
+_register("write_typed_predictions", "predictions", "parquet")
+_register("write_typed_leaderboard", "leaderboard", "parquet")
+_register("read_published_tables", "memes", "parquet")
 
 
-@query()
+@query("select post_id, case when local_image_path is not null and subreddit <> 'sub6' then cast(length('icon of ' || subreddit) + 1 as bigint) end as length from memes")
 def image_manifest(t):
-    """Rows of posts with the length of their file: here the given tables' own files stand for images."""
-    names = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(t.sf_dir).select(F.regexp_replace("path", "^.*/", "").alias("local_image_path"))
-    wanted = names.unionByName(t.memes.filter("local_image_path is not null").select("local_image_path")).withColumn("post_id", F.col("local_image_path"))
-    return P.image_manifest(t.spark, wanted, t.sf_dir)
-
-
-@query()
-def pixel_difference(t):
-    """Exact and pixel-checked duplicates of vectors taken as rasters."""
-    from .content import _fingerprints
-
-    pending, reviewed = _fingerprints(t)
-    pairs = D.candidate_pairs(pending, reviewed)
-    bytes_of = F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 63), lambda x: F.lpad(F.hex(F.pmod((x * 100).cast("bigint"), F.lit(256))), 2, "0")), ""))
-    raster = t.embeddings.select("vec_id", bytes_of.alias("raster"))
-    rasters = raster.select(F.concat(F.lit("q"), "vec_id").alias("post_id"), "raster").unionByName(raster.select(F.concat(F.lit("r"), "vec_id").alias("post_id"), "raster"))
-    return D.best_duplicate(D.same_pixels(pairs, rasters))
+    """The length of each post's file: files are saved by subreddit, but for one whose posts name a missing file."""
+    root = scratch_folder(t.spark)
+    icons = t.memes.filter("subreddit <> 'sub6'").select("subreddit").distinct().withColumn("value", F.concat(F.lit("icon of "), "subreddit"))
+    icons.write.partitionBy("subreddit").text(root)
+    listed = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    saved = listed.select(F.regexp_extract("path", "subreddit=([^/]+)/", 1).alias("subreddit"), F.regexp_extract("path", "(subreddit=[^/]+/[^/]+)$", 1).alias("at"))
+    named = t.memes.join(saved, "subreddit", "left").withColumn("local_image_path", F.when(F.col("local_image_path").isNotNull(), F.coalesce("at", F.lit("gone.jpg"))))
+    return P.image_manifest(t.spark, named, root).drop("local_image_path")
 
 
 @query("""with a as (select post_id, title, case when post_score % 4 <> 0 and (regexp_matches(split_part(lower(image_url), '?', 1), '\\.(jpg|jpeg|png|gif|webp)$') or contains(lower(image_url), 'i.redd.it') or contains(lower(image_url), 'i.imgur.com')) then image_url end as image_url, post_score from memes)

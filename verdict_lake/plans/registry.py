@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,13 +13,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def add(sql: str | None, f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     """Register a function of Tables under its name, with SQL over the same views if SQL can express it."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+    if sql is not None:
+        ORACLES[f.__name__] = with_views(sql)
+    return f
 
-    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql is not None:
-            ORACLES[f.__name__] = with_views(sql)
-        return f
 
-    return add
+def query(sql: str | None = None):
+    return partial(add, sql)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +41,9 @@ def read_published_tables(spark: SparkSession, path: str, kind: str = "json", na
 
 
 def image_manifest(spark: SparkSession, memes: DataFrame, root: str) -> DataFrame:
-    """memes (post_id, local_image_path) with the file's length; null where the file is missing or outside root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("full"), "length")
-    wanted = memes.withColumn("full", F.concat(F.lit(root.rstrip("/") + "/"), "local_image_path"))
-    inside = ~F.contains(F.coalesce("local_image_path", F.lit("..")), F.lit(".."))
-    return wanted.join(files, "full", "left").select("post_id", "local_image_path", F.when(inside, F.col("length")).alias("length"))
+    """memes (post_id, local_image_path) with the length of the file at that path under root; null where there is none."""
+    # both sides are named by what follows the root's own path, whatever its scheme
+    under = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", root).rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    named = files.select(F.substring_index("path", under, -1).alias("local_image_path"), "length")
+    return memes.select("post_id", "local_image_path").join(named, "local_image_path", "left").select("post_id", "local_image_path", "length")
