@@ -177,7 +177,8 @@ class Tiles:
         sized = "size_class" in nodes.columns
         tile = F.array(*counts_of(F.col("w0"), parts, band), *([F.col("size_class").cast("int")] if sized else []))
         keyed = nodes.withColumn("tile", tile)
-        sizes = small_or_not(stored(keyed.groupBy("tile").agg(F.count("*").alias("n"))))
+        # a tile is one of 17^4 lists of counts, or of 9 for each class of sizes: at most 83,521 rows
+        sizes = F.broadcast(keyed.groupBy("tile").agg(F.count("*").alias("n")))
         chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).cast("int")
         self.fields = ["node", *(f"w{k}" for k in range(words))]
         chunked = keyed.join(sizes, "tile").withColumn("chunk", chunk)
@@ -344,7 +345,7 @@ def first_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
     own = groups.filter("id = first").groupBy("root", "id", "body").agg(F.count("*").alias("n"))
     keep = stored(own.groupBy("root", "id").agg(F.min(F.struct("body", "n")).alias("x")).select(F.col("id").alias("_id"), F.col("x.body").alias("_body"), F.col("x.n").alias("_n")))
     rows = packed(docs, "doc_id", "text")
-    kept = rows.join(keep, (F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)) == F.col("_id")) & (F.xxhash64("text") == F.col("_body")))
+    kept = rows.join(small_or_not(keep), (F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)) == F.col("_id")) & (F.xxhash64("text") == F.col("_body")))
     once = unpacked(kept.filter("_n = 1"), docs, "doc_id", "text")
     if keep.filter("_n > 1").isEmpty():
         return once

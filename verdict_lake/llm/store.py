@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_folder, workers_find_package
 
-#: A table is broadcast only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 2_000_000
+#: A table is broadcast only if it was counted and, with ROW_BYTES a row and 8 a column, is no larger than this.
+BROADCAST_BYTES, ROW_BYTES = 64_000_000, 16
+#: Spark types of 8 bytes at most, of which such a table consists.
+FLAT = ("bigint", "int", "double", "boolean")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -29,9 +31,11 @@ def drop(df: DataFrame) -> None:
 
 
 def small_or_not(df: DataFrame) -> DataFrame:
-    """A stored table with a broadcast hint if its counted rows (of a few longs each) are within BROADCAST_ROWS;
-    beyond that Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A stored table with a broadcast hint if its counted rows are within BROADCAST_BYTES; beyond that, and where a column
+    has no fixed size, Spark joins it by a shuffle."""
+    if any(kind not in FLAT for _, kind in df.dtypes):
+        return df
+    return F.broadcast(df) if df.count() * (ROW_BYTES + 8 * len(df.columns)) <= BROADCAST_BYTES else df
 
 
 def python_ready(spark: SparkSession, rows: int = 500) -> None:
