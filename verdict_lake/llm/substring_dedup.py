@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .rolling import BYTE_VALUES, Sums, U
+from .rolling import BYTE_VALUES, MORE_VALUES, Pair, U, Units
 from .store import python_ready
 from .windows import NO_ID, Finder, covered, keyed, once, repeats_of, unsqueeze, with_marks
 
@@ -23,16 +23,17 @@ LENGTH, GRAM = 50, 8
 STEP = 1 << 16
 
 
-def word_units(text: bytes) -> np.ndarray:
-    """A hash of each word."""
+def word_units(text: bytes) -> Units:
+    """Both hashes of each word."""
     words = text.split()
     parts = []
     for at in range(0, len(words), STEP):
         some = words[at : at + STEP]
         ends = np.cumsum(np.fromiter(map(len, some), dtype=np.int64, count=len(some)))
         starts = np.concatenate([[0], ends[:-1]])
-        parts.append(Sums(BYTE_VALUES[np.frombuffer(b"".join(some), dtype=np.uint8)]).hashes(starts, ends))
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=U)
+        data = np.frombuffer(b"".join(some), dtype=np.uint8)
+        parts.append(Pair((BYTE_VALUES[data], MORE_VALUES[data])).hashes(starts, ends))
+    return tuple(map(np.concatenate, zip(*parts))) if parts else (np.zeros(0, dtype=U), np.zeros(0, dtype=U))
 
 
 def finder(length: int = LENGTH) -> Finder:
@@ -68,7 +69,7 @@ def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     python_ready(docs.sparkSession)
     texts = keyed(docs)
-    marked = with_marks(texts, finder(length).marks(once(texts, repeats_of(texts))))
+    marked = with_marks(texts, finder(length).marks(once(texts, repeats_of(texts))), length)
     return marked.mapInArrow(kept_words(length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
 
 

@@ -16,15 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import BYTE_VALUES
+from .rolling import BYTE_VALUES, MORE_VALUES, Units
 from .store import python_ready, small_or_not
 from .windows import NO_ID, Finder, covered, keyed, once, repeats_of, unsqueeze, with_marks
 
 LENGTH = 400
 
 
-def byte_units(text: bytes) -> np.ndarray:
-    return BYTE_VALUES[np.frombuffer(text, dtype=np.uint8)]
+def byte_units(text: bytes) -> Units:
+    data = np.frombuffer(text, dtype=np.uint8)
+    return BYTE_VALUES[data], MORE_VALUES[data]
 
 
 def finder(length: int = LENGTH) -> Finder:
@@ -67,7 +68,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ends = F.octet_length("text") - length
         whole = texts.join(small_or_not(repeats.select("doc", "body")), ["doc", "body"], "left_semi").filter(ends >= 0)
         marks = marks.unionByName(whole.select("doc", "body", F.lit(0).cast("long").alias("low"), ends.cast("long").alias("high")))
-    marked = with_marks(texts, marks)
+    marked = with_marks(texts, marks, length)
     return marked.mapInArrow(kept_bytes(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

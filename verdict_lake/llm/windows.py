@@ -12,19 +12,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rolling import Sums, U, scattered
+from .rolling import BASES, Pair, Sums, U, Units, same_as, scattered
 from .store import drop, small_or_not, stored
 
 #: Window starts handled at once; positions within a stretch take the low bits of the keys.
 STRETCH, LOW_BITS = 1 << 20, 21
 NO_ID = -(1 << 63)
 
-#: at: the anchor's place; a window that starts at s has offset at - s. name: the anchor's gram's hash; run: hash of the text
-#: of all windows of the run and of their offsets; right and left: hashes of half a window after and before the anchor.
-ANCHOR = "doc long, body long, at long, low long, high long, name long, run long, right long, left long"
+#: at: the anchor's place; a window that starts at s has offset at - s. name: the anchor's gram's hash; run and more: both
+#: hashes of the text of all windows of the run and of their offsets; right and left: hashes of half a window after and
+#: before the anchor. Text is only ever removed because run and more are both equal, or both hashes of a window.
+ANCHOR = "doc long, body long, at long, low long, high long, name long, run long, more long, right long, left long"
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -35,11 +36,11 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(keys) - width + 1], least[width - size : len(keys) - size + 1]) if size < width else least
 
 
-def anchors(units: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """at, low, high, gram, run, right, left of a sequence, a stretch of window starts at a time."""
+def anchors(units: Units, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """at, low, high, gram, run, more, right, left of a sequence, a stretch of window starts at a time."""
     half = length // 2
-    for start in range(0, len(units) - length + 1, STRETCH):
-        part = units[start : start + STRETCH + length - 1]
+    for start in range(0, len(units[0]) - length + 1, STRETCH):
+        part, other = (u[start : start + STRETCH + length - 1] for u in units)
         sums = Sums(part)
         grams = sums.of_width(gram)
         keys = (grams & ~U((1 << LOW_BITS) - 1)) | np.arange(len(grams), dtype=U)
@@ -47,20 +48,22 @@ def anchors(units: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndar
         low = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
         high = np.concatenate([low[1:], [len(place)]]) - 1
         at = place[low]
-        run = scattered(sums.hashes(low, high + length) ^ scattered(((at - low) << 20 | (high - low)).astype(U)))
+        shape = scattered(((at - low) << 20 | (high - low)).astype(U))
+        run = scattered(sums.hashes(low, high + length) ^ shape)
+        more = Sums(other, BASES[1]).hashes(low, high + length) ^ shape
         # half windows: all windows of offset up to half hold the one on the right, the others that on the left
         n = len(part)
         has_right = (at - high <= half) & (at + half <= n)
         has_left = at - low > half
         right = np.where(has_right, sums.hashes(at, np.minimum(at + half, n)), U(0))
         left = np.where(has_left, sums.hashes(np.maximum(at - half, 0), at), U(0))
-        yield at + start, low + start, high + start, grams[at], run, right, left
+        yield at + start, low + start, high + start, grams[at], run, more, right, left
 
 
-def anchor_rows(units_of: Callable[[str], np.ndarray], length: int, gram: int):
+def anchor_rows(units_of: Callable[[str], Units], length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(9)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(10)]
             for doc, body, text in zip(batch.column("doc").to_pylist(), batch.column("body").to_pylist(), batch.column("text")):
                 for found in anchors(units_of(text.as_py()), length, gram):
                     size = len(found[0])
@@ -110,9 +113,9 @@ def unsqueeze(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-def window_hashes(units: np.ndarray, low: int, high: int, length: int) -> np.ndarray:
-    """Hashes of the windows that start in [low, high]."""
-    return Sums(units[low : high + length]).of_width(length).view(np.int64)
+def window_hashes(units: Units, low: int, high: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of the windows that start in [low, high]."""
+    return tuple(Sums(u[low : high + length], base).of_width(length) for u, base in zip(units, BASES))
 
 
 def covered(starts: list[int], ends: list[int], size: int) -> np.ndarray:
@@ -123,10 +126,17 @@ def covered(starts: list[int], ends: list[int], size: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """packed texts with the lists of their marked window runs (null: none); a document has no more runs than units.
-    marks are of one row for each doc and body; only this join gives them to the repeated rows."""
-    listed = marks.distinct().groupBy("doc", "body").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+def with_marks(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
+    """packed texts with the lists of their marked window runs (null: none).
+
+    Runs whose windows touch are made one before they are listed, so that a text of n units has n / length at most.
+    marks are of one row for each doc and body; only this join gives them to the repeated rows.
+    """
+    before = Window.partitionBy("doc", "body").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.when(F.col("low") <= F.max("high").over(before) + length, 0).otherwise(1)
+    upto = Window.partitionBy("doc", "body").orderBy("low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spans = marks.withColumn("apart", apart).withColumn("span", F.sum("apart").over(upto)).groupBy("doc", "body", "span").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    listed = spans.groupBy("doc", "body").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
     return squeezed(docs).join(listed, ["doc", "body"], "left")
 
 
@@ -134,7 +144,7 @@ def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
 GROUP = 256
 PIECE = "key long, doc long, body long, at long, low long, high long, owner long, n long, content binary"
 MARK = "doc long, body long, low long, high long"
-BLOCK = "name long, run long, owner long, key long, doc long, body long, at long, base long, low long, high long"
+BLOCK = "name long, run long, more long, owner long, key long, doc long, body long, at long, base long, low long, high long"
 
 
 class Finder:
@@ -144,7 +154,7 @@ class Finder:
     anywhere else. units_of: the values of a text's units; cut: the text of a range of units.
     """
 
-    def __init__(self, length: int, gram: int, earlier: bool, units_of: Callable[[bytes], np.ndarray], cut: Callable[[bytes, int, int], bytes]):
+    def __init__(self, length: int, gram: int, earlier: bool, units_of: Callable[[bytes], Units], cut: Callable[[bytes, int, int], bytes]):
         self.length, self.gram, self.earlier, self.units_of, self.cut = length, gram, earlier, units_of, cut
 
     def owner(self):
@@ -188,8 +198,8 @@ class Finder:
 
     def marks_in(self, group: list[dict]) -> list[tuple]:
         hashes = [window_hashes(self.units_of(p["content"]), 0, p["high"] - p["low"], self.length) for p in group]
-        owners = np.repeat(np.array([p["owner"] for p in group], dtype=np.int64), [len(h) for h in hashes])
-        _, where, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        owners = np.repeat(np.array([p["owner"] for p in group], dtype=np.int64), [len(h) for h, _ in hashes])
+        where, counts = same_as(*(np.concatenate(h) for h in zip(*hashes)))
         if self.earlier:
             first = np.full(len(counts), np.iinfo(np.int64).max)
             np.minimum.at(first, where, owners)
@@ -197,7 +207,7 @@ class Finder:
         else:
             marked = counts[where] > 1
         out, at = [], 0
-        for p, h in zip(group, hashes):
+        for p, (h, _) in zip(group, hashes):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], marked[at : at + len(h)].astype(np.int8), [0]])))
             out += [(p["doc"], p["body"], p["low"] + a, p["low"] + b - 1) for a, b in edges.reshape(-1, 2).tolist()]
             at += len(h)
@@ -205,7 +215,7 @@ class Finder:
 
     def blocks(self, size: int):
         """A row for each block of up to size windows of the pieces' ranges, cut by offsets, so that equal windows of
-        two pieces are in blocks of one place. name: what all windows of the block's place share; run: all of the row's."""
+        two pieces are in blocks of one place. name: what all windows of the block's place share; run, more: all of the row's."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -219,14 +229,15 @@ class Finder:
                             o1, o2 = max(first, b * size), min(last, b * size + size - 1)
                             places.append((at - b * size, at - b * size - size + 1 + self.length))
                             spans.append((at - o2, at - o1 + self.length, b))
-                    sums = Sums(self.units_of(p["content"]))
+                    sums = Pair(self.units_of(p["content"]))
                     cores, wholes = (np.array([x[:2] for x in xs], dtype=np.int64) - p["low"] for xs in (places, spans))
                     key = scattered(np.array([p["key"]], dtype=np.int64).view(U) + np.array([x[2] for x in spans], dtype=U))
-                    names = scattered(sums.hashes(cores[:, 0], cores[:, 1]) ^ key)
+                    names = scattered(sums.first.hashes(cores[:, 0], cores[:, 1]) ^ key)
                     # where a row's windows lie in the block's place belongs to their name
-                    runs = scattered(sums.hashes(wholes[:, 0], wholes[:, 1]) ^ names ^ scattered((cores[:, 0] - wholes[:, 0]).astype(U)))
-                    for name, run_, (low, end, _) in zip(names.view(np.int64).tolist(), runs.view(np.int64).tolist(), spans):
-                        rows.append((name, run_, p["owner"], p["key"], p["doc"], p["body"], at, p["low"], low, end - self.length))
+                    shape = names ^ scattered((cores[:, 0] - wholes[:, 0]).astype(U))
+                    runs, more = (scattered(h ^ shape) for h in sums.hashes(wholes[:, 0], wholes[:, 1]))
+                    for name, run_, more_, (low, end, _) in zip(*(x.view(np.int64).tolist() for x in (names, runs, more)), spans):
+                        rows.append((name, run_, more_, p["owner"], p["key"], p["doc"], p["body"], at, p["low"], low, end - self.length))
                 yield batch_of(rows, BLOCK)
 
         return run
@@ -237,13 +248,14 @@ class Finder:
         Rows whose name is not shared leave. Those whose whole run is found elsewhere are marked at once; of each kind
         of run only the first goes on, and only where its name has other runs.
         """
-        names = self.shared(rows.select("name", "run", "owner"), "name", more=(F.min("run").alias("run_a"), F.max("run").alias("run_b")))
-        names = stored(names.select("name", (F.col("run_a") != F.col("run_b")).alias("several")))
+        ends = [f(c).alias(f"{c}_{k}") for c in ("run", "more") for k, f in enumerate((F.min, F.max))]
+        names = self.shared(rows.select("name", "run", "more", "owner"), "name", more=ends)
+        names = stored(names.select("name", F.expr("run_0 <> run_1 or more_0 <> more_1").alias("several")))
         seeds = stored(rows.join(small_or_not(names), "name"))
-        runs = stored(seeds.groupBy("run").agg(F.min("owner").alias("first"), F.count("*").alias("n")))
-        joined = seeds.join(small_or_not(runs), "run")
+        runs = stored(seeds.groupBy("run", "more").agg(F.min("owner").alias("first"), F.count("*").alias("n")))
+        joined = seeds.join(small_or_not(runs), ["run", "more"])
         whole = stored(joined.filter(self.hit()).select("doc", "body", "low", "high"))
-        rest = stored(joined.filter("several and owner = first").drop("first", "n", "several", "run"))
+        rest = stored(joined.filter("several and owner = first").drop("first", "n", "several", "run", "more"))
         drop(seeds)
         return whole, rest
 
