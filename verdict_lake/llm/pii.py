@@ -1,7 +1,8 @@
 """Surrogates for personal data: every detected entity gets a keyed replacement of its own type, script and format.
 
-A surrogate depends on the key, the entity's canonical form and an attempt number alone, so an entity has the same one
-in every document (coreference), whatever the mention's punctuation or case. The distinct entities are checked for
+A surrogate depends on the key, the entity's kind and canonical form and an attempt number alone, so an entity has the same
+one in every document (coreference), whatever the mention's punctuation or case. A given name is one entity under all its
+titles: of the gender that they name, or of neither if they name both or none. The distinct entities are checked for
 collisions: where two share a surrogate, or one equals a real entity, all but one move to their next attempt, until
 replacements are as distinct as what they replace. So that this ends, the space of replacements of every kind grows with the
 attempt; only IPv4 addresses stay within their 254^4.
@@ -13,19 +14,21 @@ formats (555-123-4567, 030 1234567), IPv6, IBAN, and all other names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import python_ready, stored
+from .store import packed, python_ready, stored, unpacked
 
 KEY = b"surrogates"
 #: Entities with another attempt than 0 that may be sent to every task; beyond it they are joined by document.
@@ -61,6 +64,26 @@ PATTERNS = (
 )
 TITLED = re.compile(rf"(?<!\w)({TITLE})\.? ({CAPITAL}(?: {CAPITAL}){{0,2}})")
 KNOWN = re.compile(rf"(?<!\w)({'|'.join(sorted(GENDER_OF, key=len, reverse=True))}) ({CAPITAL})")
+DIGIT = re.compile(r"\d")
+#: One of these is in every text, case-folded, that holds a secret.
+SECRET_WORDS = ("token", "passw", "secret", "api")
+
+
+def starts_of_names() -> ahocorasick.Automaton:
+    """Finds all places where TITLED or KNOWN may match: the value is the word's length and the pattern."""
+    found: dict[str, list] = {}
+    for pattern, words, ends in ((TITLED, {t for ts in TITLES.values() for t in ts}, (" ", ". ")), (KNOWN, GENDER_OF, (" ",))):
+        for word in words:
+            for end in ends:
+                found.setdefault(word + end, []).append(pattern)
+    out = ahocorasick.Automaton()
+    for word, patterns in found.items():
+        out.add_word(word, (len(word), patterns))
+    out.make_automaton()
+    return out
+
+
+NAMES = starts_of_names()
 
 
 def luhn(digits: str) -> int:
@@ -74,19 +97,23 @@ def script_of(word: str) -> str:
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """start, end, kind and canonical form of each entity; they don't overlap. Names are found after titles or as known
-    given names before a capitalised word; each of their words is an entity, a given name with its gender."""
+    given names before a capitalised word; each of their words is an entity, a given name with its gender. Of kinds that
+    overlap the one named first stays. A pattern runs only over texts that hold what it can't do without."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray()
 
     def add(start: int, end: int, kind: str, canon: str) -> None:
-        if all(end <= a or start >= b for a, b in taken):
-            taken.append((start, end))
+        if not taken:
+            taken.extend(bytes(len(text)))
+        if taken.find(1, start, end) < 0:
+            taken[start:end] = b"\1" * (end - start)
             found.append((start, end, kind, canon))
 
+    folded = text.casefold()
+    numbers = DIGIT.search(text) is not None
+    may_hold = {"secret": any(w in folded for w in SECRET_WORDS), "email": "@" in text}
     for kind, pattern in PATTERNS:
-        if kind == "email" and "@" not in text:
-            continue
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if may_hold.get(kind, numbers) else ():
             value = m.group(1)
             if kind in ("card", "phone", "ssn"):
                 canon = re.sub(r"\D", "", value)
@@ -95,8 +122,17 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "card" and luhn(canon) or kind == "ip" and any(int(x) > 255 for x in value.split(".")):
                 continue
             add(m.start(1), m.end(1), kind, canon)
-    for pattern in (TITLED, KNOWN):
-        for m in pattern.finditer(text):
+    places: dict[re.Pattern, set[int]] = {TITLED: set(), KNOWN: set()}
+    for end, (length, patterns) in NAMES.iter(text):
+        for pattern in patterns:
+            places[pattern].add(end + 1 - length)
+    for pattern, starts in places.items():
+        done = 0
+        for start in sorted(starts):
+            m = pattern.match(text, start) if start >= done else None
+            if m is None:
+                continue
+            done = m.end()
             if pattern is KNOWN:
                 gender, at, words = GENDER_OF[m.group(1)][1], m.start(1), [m.group(1), m.group(2)]
             else:
@@ -143,6 +179,7 @@ def scrambled(value: str, stream: Stream) -> str:
     return "".join(out)
 
 
+@functools.lru_cache(maxsize=50_000)
 def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
     """The canonical form of an entity's replacement."""
     stream = Stream(key, kind, canon, attempt)
@@ -189,10 +226,12 @@ def in_format(kind: str, mention: str, canon: str) -> str:
     return canon
 
 
-def replaced(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, int]:
+def replaced(text: str, moved: dict[tuple[str, str], tuple[str, int]], key: bytes = KEY) -> tuple[str, int]:
+    """The text with surrogates and how many entities it has. moved: the kind to take and the attempt of some entities."""
     out, at, found = [], 0, entities(text)
     for start, end, kind, canon in found:
-        out += [text[at:start], in_format(kind, text[start:end], surrogate(kind, canon, attempts.get((kind, canon), 0), key))]
+        use, attempt = moved.get((kind, canon), (kind, 0))
+        out += [text[at:start], in_format(use, text[start:end], surrogate(use, canon, attempt, key))]
         at = end
     return "".join([*out, text[at:]]), len(found)
 
@@ -205,6 +244,17 @@ def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*seen)], ["kind", "canon"])
 
 
+def one_kind(found: DataFrame) -> DataFrame:
+    """kind, canon, use: the kind that stands for all under which an entity was found; only given names have several."""
+    part = lambda k: F.element_at(F.split("kind", ":"), k)
+    given = F.startswith("kind", F.lit("given:"))
+    names = found.filter(given).groupBy("canon", part(3).alias("script")).agg(F.bool_or(part(2) == "m").alias("m"), F.bool_or(part(2) == "f").alias("f"))
+    gender = F.when(F.expr("m and not f"), "m").when(F.expr("f and not m"), "f").otherwise("n")
+    names = names.select("canon", "script", F.concat(F.lit("given:"), gender, F.lit(":"), "script").alias("use"))
+    several = found.filter(given).distinct().withColumn("script", part(3)).join(names, ["canon", "script"]).select("kind", "canon", "use")
+    return several.unionByName(found.filter(~given).distinct().withColumn("use", F.col("kind")))
+
+
 def attempts_needed(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """kind, canon, attempt of the distinct entities found (kind, canon), such that within a family of kinds no two have the
     same replacement and none is replaced by a real entity. Of several that collide the one of the lowest attempt, then
@@ -235,28 +285,32 @@ RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_e
 def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs with their entities replaced in text, and n_entities (long), how many there were.
 
-    A null text stays null with 0 entities. Repeated rows get equal texts. Other columns stay; a column named n_entities
-    is replaced. Only entities whose first surrogate collided are looked up; they are sent to the tasks if they are
-    SENT_ROWS at most and otherwise joined to the documents that mention them.
+    A null text stays null with 0 entities. Repeated rows get equal texts. Other columns stay, whatever their names; a
+    column named n_entities is replaced. Texts of any length are searched whole, in time that grows with their length.
+    Only entities whose first surrogate collided, or that were found as several kinds, are looked up; they are sent to the
+    tasks if they are SENT_ROWS at most and otherwise joined to the texts that mention them.
     """
     spark = docs.sparkSession
     python_ready(spark)
     docs = docs.drop("n_entities")
-    moved = stored(attempts_needed(docs.select("text").mapInArrow(found_in, "kind string, canon string"), key).filter("attempt > 0"))
+    uses = stored(one_kind(stored(docs.select("text").mapInArrow(found_in, "kind string, canon string").distinct())))
+    attempts = attempts_needed(uses.select(F.col("use").alias("kind"), "canon"), key).withColumnRenamed("kind", "use")
+    moved = stored(uses.join(attempts, ["use", "canon"]).filter("attempt > 0 or use <> kind").select("kind", "canon", "use", "attempt"))
+    rows = packed(docs, "text")
     if moved.count() <= SENT_ROWS:
-        sent = spark.sparkContext.broadcast({(r.kind, r.canon): r.attempt for r in moved.collect()})
+        sent = spark.sparkContext.broadcast({(r.kind, r.canon): (r.use, r.attempt) for r in moved.collect()})
         rewrite = F.pandas_udf(lambda texts: pd.DataFrame([(None, 0) if t is None else replaced(t, sent.value, key) for t in texts], columns=["text", "n_entities"]), RESULT)
-        out = docs.withColumn("_r", rewrite("text"))
+        out = rows.withColumn("new", rewrite("text"))
     else:
         mentions = F.pandas_udf(lambda texts: pd.Series([sorted({(k, c) for _, _, k, c in entities(t or "")}) for t in texts]), T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("canon", T.StringType())])))
-        body = F.xxhash64("text")
-        pairs = docs.select("doc_id", body.alias("_b"), F.explode(mentions("text")).alias("m")).select("doc_id", "_b", "m.*").distinct()
-        listed = pairs.join(moved, ["kind", "canon"]).groupBy("doc_id", "_b").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_m")).withColumnRenamed("doc_id", "_d").withColumnRenamed("_b", "_h")
-        joined = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_d")) & (body == F.col("_h")), "left")
-        rewrite = F.pandas_udf(lambda texts, lists: pd.DataFrame([(None, 0) if t is None else replaced(t, {} if m is None else {(x["kind"], x["canon"]): x["attempt"] for x in m}, key) for t, m in zip(texts, lists)], columns=["text", "n_entities"]), RESULT)
-        out = joined.withColumn("_r", rewrite("text", "_m")).drop("_d", "_h", "_m")
-    columns = [F.col("_r.text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*columns, F.col("_r.n_entities").alias("n_entities"))
+        # a text's hash names it: where two texts share one, each finds its own entities in the list of both
+        body = F.xxhash64("text").alias("body")
+        pairs = docs.select(body, F.explode(mentions("text")).alias("m")).select("body", "m.*").distinct()
+        listed = pairs.join(moved, ["kind", "canon"]).groupBy("body").agg(F.collect_list(F.struct("kind", "canon", "use", "attempt")).alias("moved"))
+        rewrite = F.pandas_udf(lambda texts, lists: pd.DataFrame([(None, 0) if t is None else replaced(t, {} if m is None else {(x["kind"], x["canon"]): (x["use"], x["attempt"]) for x in m}, key) for t, m in zip(texts, lists)], columns=["text", "n_entities"]), RESULT)
+        out = rows.select("*", body).join(listed, "body", "left").withColumn("new", rewrite("text", "moved"))
+    out = out.select(F.col("new.text").alias("text"), "rest", F.col("new.n_entities").alias("n_entities"))
+    return unpacked(out, docs, "text", more=("n_entities",))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:

@@ -51,9 +51,10 @@ def packed(docs: DataFrame, *used: str) -> DataFrame:
     return docs.select(*used, (F.struct(*others) if others else F.lit(None)).alias("rest"))
 
 
-def unpacked(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
-    """The columns of docs of what became of packed(docs, *used)."""
-    return df.select(*(F.col(c) if c in used else F.col("rest").getField(c).alias(c) for c in docs.columns))
+def unpacked(df: DataFrame, docs: DataFrame, *used: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of docs, and more, of what became of packed(docs, *used). Columns of docs named as one of more are left out."""
+    own = [F.col(c) if c in used else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in more]
+    return df.select(*own, *more)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
