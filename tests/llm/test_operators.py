@@ -61,7 +61,10 @@ def rows(df):
 # 1
 
 
-def test_decontamination_equals_brute_force(frame, docs, texts):
+@pytest.mark.parametrize("sent", [1 << 30, -1])
+def test_decontamination_equals_brute_force(frame, docs, texts, sent, monkeypatch):
+    monkeypatch.setattr(decontam, "SENT_BYTES", sent)
+    monkeypatch.setattr(decontam, "TOGETHER", 3)
     draw = random.Random(1)
     items = [None, "", "...", "one two", "w1 w2"] + [" ".join(w) for w in (words(t)[5 : 5 + draw.randint(5, 40)] for t in texts[7:30]) if w]
     items += [i.upper() + "!!" for i in items[6:9]] + [items[7]]
@@ -83,12 +86,28 @@ def test_decontamination_equals_brute_force(frame, docs, texts):
     assert len({e[0] for e in expected}) > 5
     kept = {r.doc_id for r in decontam.decontaminated(docs, benchmark).collect()}
     assert kept == set(range(len(texts))) - {e[0] for e in expected}
+    named = docs.withColumnsRenamed({"lang": "rest", "source": "doc", "n_chars": "matches"})
+    out = decontam.with_matches(named, benchmark)
+    assert out.columns == ["doc_id", "text", "rest", "doc", "matches"]
+    assert rows(out.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")) == sorted(expected, key=str)
 
 
-def test_decontamination_in_blocks_and_without_rows(frame, docs, monkeypatch):
+def test_classes_that_need_more_than_a_document_has_are_skipped(monkeypatch):
+    body = [f"t{k}" for k in range(200)]
+    items = decontam.Items([(1, " ".join(body[:10])), (2, " ".join(body[:150]))], 5, 0.8)
+    assert [c[0] for c in items.classes[5]] == [4, 103]
+    looked = []
+    monkeypatch.setattr(decontam.np, "searchsorted", lambda hashes, h, find=np.searchsorted: looked.append(len(hashes)) or find(hashes, h))
+    assert items.found_in(" ".join(body[:60])) == [(1, 6, 6)]
+    assert looked == [len(items.classes[5][0][1])]
+    assert items.found_in(" ".join(body[:3])) == [] and len(looked) == 1
+    assert [m[0] for m in items.found_in(" ".join(body))] == [1, 2]
+
+
+def test_decontamination_by_join_and_without_rows(frame, docs, monkeypatch):
     benchmark = frame("item_id long, text string", *((k, f"w{k} w{k + 1}") for k in range(9)))
     whole = rows(decontam.decontam_report(docs, benchmark))
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(decontam, "SENT_BYTES", 60)
     assert rows(decontam.decontam_report(docs, benchmark)) == whole
     assert decontam.decontam_report(docs, benchmark.limit(0)).count() == 0
     assert decontam.decontam_report(docs.limit(0), benchmark).count() == 0

@@ -4,8 +4,12 @@ The test items are partitioned by size into classes of doubling shingle counts.
 document holds at least need = ceil(t q) of them; then of any q - need + 1 of its shingles the document holds one. So an
 item's signature is its smallest MinHash values, as many as its class's largest size asks for, and a document is a
 candidate if any of its own shingle hashes is in a signature. A MinHash of a whole long document would not do: against
-an item of 30 shingles a document of 20,000 words has a Jaccard similarity near 0.001. Candidates are verified on the
-shingles' own bytes. The search finds every pair; the classes too large for a document are passed over.
+an item of 30 shingles a document of 20,000 words has a Jaccard similarity near 0.001. A document has no part in the
+classes whose smallest items need more shingles than it has. Candidates are verified on the shingles' own bytes. The
+search finds every pair.
+
+Items of SENT_BYTES at most go to the tasks, and documents are not shuffled. More items are a table: signatures and those
+shingle hashes of documents that may be in one are joined, and only candidates' texts are shuffled for the verification.
 """
 
 from __future__ import annotations
@@ -17,17 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rolling import BYTE_VALUES, Sums, U
-from .store import packed, python_ready, unpacked
+from .store import packed, python_ready, stored, unpacked
 
 WIDTH, THRESHOLD = 5, 0.8
 PUNCTUATION = string.punctuation.encode()
-#: Bytes of test items that are sent to the tasks at once; more items go in further passes.
-BLOCK_BYTES = 16_000_000
+#: The most bytes of test items that are sent to the tasks.
+SENT_BYTES = 16_000_000
+#: Shingle hashes of documents are joined only if their first so many bits are those of a signature's.
+SLOT_BITS = 24
+#: Items that are verified against a document at once.
+TOGETHER = 64
 #: Shingles hashed at once.
 STEP = 1 << 17
 HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("n_shared", T.LongType()), T.StructField("n_item", T.LongType())]))
@@ -57,77 +66,211 @@ def shingle_hashes(line: bytes, width: int) -> Iterator[tuple[np.ndarray, np.nda
         yield part.hashes(s - s[0], e - s[0]), s, e
 
 
+def size_class(n: int) -> int:
+    """1 for one shingle, 2 for two or three, 3 for four to seven, and so on."""
+    return n.bit_length()
+
+
+def needed(n: int, threshold: float) -> int:
+    """How many of n shingles a document must hold."""
+    return max(1, math.ceil(threshold * n - 1e-9))
+
+
+def item_shingles(line: bytes, width: int) -> tuple[int, dict[bytes, int]]:
+    """Words of a shingle (fewer in a short item) and the hash of each distinct shingle of a normalized item."""
+    own = min(width, line.count(b" ") + 1)
+    return own, {line[a:b]: int(h) for hs, ss, es in shingle_hashes(line, own) for h, a, b in zip(hs, ss.tolist(), es.tolist())}
+
+
+def signature(hashes: list[int], threshold: float) -> list[int]:
+    """The smallest hashes, one of which is in every document that holds enough of the item."""
+    largest = (1 << size_class(len(hashes))) - 1
+    return sorted(hashes)[: largest - needed(largest, threshold) + 1]
+
+
 class Items:
-    """A block of test items with their signatures, by shingle width (short items are one shingle of all their words)."""
+    """Test items with their signatures, by shingle width (short items are one shingle of all their words) and size class."""
 
     def __init__(self, rows: list[tuple[int, str]], width: int, threshold: float):
         self.threshold = threshold
         self.shingles: list[tuple[int, frozenset[bytes]]] = []
-        signature: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        owners: dict[int, dict[int, dict[int, list[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
         for item_id, text in rows:
             line = normal(text)
             if not line:
                 continue
-            own = min(width, line.count(b" ") + 1)
-            found = {line[a:b]: int(h) for hs, ss, es in shingle_hashes(line, own) for h, a, b in zip(hs, ss.tolist(), es.tolist())}
-            size_class = len(found).bit_length()
-            largest = (1 << size_class) - 1
-            keep = largest - math.ceil(threshold * largest - 1e-9) + 1
-            for h in sorted(found.values())[:keep]:
-                signature[own][h].add(len(self.shingles))
+            own, found = item_shingles(line, width)
+            for h in signature(list(found.values()), threshold):
+                owners[own][size_class(len(found))][h].append(len(self.shingles))
             self.shingles.append((item_id, frozenset(found)))
-        self.signature = {w: (np.array(sorted(s), dtype=U), [tuple(s[h]) for h in sorted(s)]) for w, s in signature.items()}
-        self.maybe = {}
-        for w, (hashes, _) in self.signature.items():
-            self.maybe[w] = np.zeros(1 << 20, dtype=bool)
-            self.maybe[w][(hashes >> U(44)).astype(np.int64)] = True
+        #: Of each width the classes from small to large: shingles that the smallest item of the class needs, its signature
+        #: hashes in order and their items, and whether a hash with those first 20 bits is in this class or a smaller one.
+        self.classes: dict[int, list[tuple[int, np.ndarray, list[list[int]], np.ndarray]]] = {}
+        for w, by_class in owners.items():
+            maybe, out = np.zeros(1 << 20, dtype=bool), []
+            for c, items in sorted(by_class.items()):
+                hashes = np.array(sorted(items), dtype=U)
+                maybe = maybe.copy()
+                maybe[(hashes >> U(44)).astype(np.int64)] = True
+                out.append((needed(1 << (c - 1), threshold), hashes, [items[h] for h in sorted(items)], maybe))
+            self.classes[w] = out
 
-    def found_in(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item id, shared shingles, the item's shingles) of every item that the text holds."""
-        line, out = normal(text), []
-        for width, (hashes, owners) in self.signature.items():
-            maybe, candidates = self.maybe[width], set()
-            for h, _, _ in shingle_hashes(line, width):
-                h = h[maybe[(h >> U(44)).astype(np.int64)]]
+    def candidates(self, line: bytes, width: int) -> set[int]:
+        """Items with a signature hash among those of the line's shingles."""
+        n = line.count(b" ") + 2 - width
+        held = [c for c in self.classes[width] if c[0] <= n]
+        out: set[int] = set()
+        for h, _, _ in shingle_hashes(line, width) if held else ():
+            h = h[held[-1][3][(h >> U(44)).astype(np.int64)]]
+            for _, hashes, owners, _ in held:
                 at = np.searchsorted(hashes, h)
                 at = at[(at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == h)]
                 for k in np.unique(at).tolist():
-                    candidates.update(owners[k])
+                    out.update(owners[k])
+        return out
+
+    def found_in(self, text: str | None) -> list[tuple[int, int, int]]:
+        """(item id, shared shingles, the item's shingles) of every item that the text holds."""
+        line, out = normal(text), []
+        for width in self.classes:
+            candidates = self.candidates(line, width)
             if candidates:
-                _, starts, ends = cuts(line)
-                own = {line[a:b] for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())}
+                own = shingles_of(line, width)
                 for k in sorted(candidates):
                     item_id, shingles = self.shingles[k]
                     shared = len(shingles & own)
-                    if shared >= self.threshold * len(shingles) - 1e-9:
+                    if shared >= needed(len(shingles), self.threshold):
                         out.append((item_id, shared, len(shingles)))
         return sorted(out, key=lambda x: (x[0] is None, x))
 
 
+def shingles_of(line: bytes, width: int) -> set[bytes]:
+    _, starts, ends = cuts(line)
+    return {line[a:b] for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())}
+
+
+def signature_rows(width: int, threshold: float):
+    """item, width, need, hash of each item's (item, text) signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                line = normal(text)
+                if line:
+                    own, found = item_shingles(line, width)
+                    rows += [(item, own, needed(len(found), threshold), h) for h in signature(list(found.values()), threshold)]
+            items, widths, needs, hashes = zip(*rows) if rows else ((), (), (), ())
+            columns = [pa.array(items, pa.binary()), pa.array(widths, pa.int32()), pa.array(needs, pa.int64()), pa.array(np.array(hashes, dtype=U).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["item", "width", "need", "hash"])
+
+    return run
+
+
+def possible_hashes(widths: list[int], slots):
+    """doc, width, n, hash of the shingles of texts (doc, text) whose slot is taken; n: how many shingles the text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = slots.value
+        for batch in batches:
+            columns: list[list] = [[], [], [], []]
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text")):
+                line = normal(text.as_py())
+                for width in widths:
+                    n = line.count(b" ") + 2 - width if line else 0
+                    parts = [h[taken[(h >> U(64 - SLOT_BITS)).astype(np.int64)]] for h, _, _ in shingle_hashes(line, width)]
+                    hashes = np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=U)
+                    for column, value in zip(columns, (doc, width, n)):
+                        column += [value] * len(hashes)
+                    columns[3].append(hashes)
+            hashes = np.concatenate([np.zeros(0, dtype=U), *columns[3]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(hashes)], ["doc", "width", "n", "hash"])
+
+    return run
+
+
+def contained(width: int, threshold: float):
+    """doc, item, n_shared, n_item of rows (doc, text, items: of (item, text)) whose texts hold the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, text, items in zip(*(batch.column(c) for c in ("doc", "text", "items"))):
+                line, own = normal(text.as_py()), {}
+                for x in items.as_py():
+                    w, found = item_shingles(normal(x["text"]), width)
+                    own[w] = own[w] if w in own else shingles_of(line, w)
+                    shared = len(found.keys() & own[w])
+                    if shared >= needed(len(found), threshold):
+                        rows.append((doc.as_py(), x["item"], shared, len(found)))
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc", "item", "n_shared", "n_item"])
+
+    return run
+
+
+def named(text: str = "text"):
+    """128 bits that name a text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def pairs_by_join(docs: DataFrame, items: DataFrame, width: int, threshold: float) -> DataFrame:
+    """doc, item, n_shared, n_item of all texts of docs and items (named by named()), of any number of both."""
+    spark = docs.sparkSession
+    item_texts = stored(items.select(named().alias("item"), "text").dropDuplicates(["item"]))
+    signatures = stored(item_texts.mapInArrow(signature_rows(width, threshold), "item binary, width int, need long, hash long"))
+    slot = F.shiftrightunsigned("hash", 64 - SLOT_BITS)
+    # a row for each 64 slots, 2^18 at most whatever the number of items
+    words = signatures.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - SLOT_BITS}) & 63 as int))")).alias("bits")).collect()
+    bits = np.zeros(1 << (SLOT_BITS - 6), dtype=np.int64)
+    for r in words:
+        bits[r.word] = r.bits
+    slots = spark.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
+    widths = [r.width for r in signatures.select("width").distinct().collect()]  # width at most
+    texts = docs.select(named().alias("doc"), "text")
+    hashes = texts.mapInArrow(possible_hashes(widths, slots), "doc binary, width int, n long, hash long")
+    candidates = stored(hashes.join(signatures, ["width", "hash"]).filter("need <= n").select("doc", "item").distinct())
+    # a document's candidates are dealt to lists of some TOGETHER items
+    many = candidates.groupBy("doc").agg(F.count("*").alias("n"))
+    dealt = candidates.join(many, "doc").withColumn("part", F.pmod(F.xxhash64("item"), F.ceil(F.col("n") / TOGETHER)))
+    listed = dealt.join(item_texts, "item").groupBy("doc", "part").agg(F.collect_list(F.struct("item", "text")).alias("items"))
+    once = texts.join(many.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
+    return stored(once.join(listed, "doc").select("doc", "text", "items").mapInArrow(contained(width, threshold), "doc binary, item binary, n_shared long, n_item long"))
+
+
+def bytes_of(items: DataFrame) -> int:
+    return items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with matches: array of (item_id, n_shared, n_item) of the test items that the text contains.
+    """docs with matches: array of (item_id, n_shared, n_item) of the test items that the text contains, by id (null last).
 
     Containment is the share of an item's distinct shingles of width words that occur in the document. Items of fewer
     words are one shingle of all their words; items without words match nothing; null texts are empty; repeated items
-    are reported each. The items are a query set: they go to the tasks in blocks of BLOCK_BYTES, a pass each.
+    are reported each, and so are repeated rows of docs. A column of docs named matches is replaced; others stay.
     """
-    spark = docs.sparkSession
-    python_ready(spark)
+    python_ready(docs.sparkSession)
+    docs = docs.drop("matches")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    out = docs.drop("matches").withColumn("matches", F.array().cast(HITS))
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        sent = spark.sparkContext.broadcast(Items([tuple(r) for r in part.collect()], width, threshold))
-        found = F.pandas_udf(lambda texts, sent=sent: pd.Series([sent.value.found_in(t) for t in texts]), HITS)
-        out = out.withColumn("matches", F.concat("matches", found("text")))
-    return out
+    rows = packed(docs, "text")
+    if bytes_of(items) <= SENT_BYTES:
+        sent = docs.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in items.collect()], width, threshold))
+        found = F.pandas_udf(lambda texts: pd.Series([sent.value.found_in(t) for t in texts]), HITS)
+        out = rows.withColumn("matches", found("text"))
+    else:
+        pairs = pairs_by_join(docs, items, width, threshold).join(items.select(named().alias("item"), "item_id"), "item")
+        hit = F.struct(F.col("item_id").isNull().alias("last"), "item_id", "n_shared", "n_item")
+        listed = pairs.groupBy("doc").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+        joined = rows.withColumn("doc", named()).join(listed, "doc", "left")
+        matches = F.transform("hits", lambda x: F.struct(x["item_id"].alias("item_id"), x["n_shared"].alias("n_shared"), x["n_item"].alias("n_item")))
+        out = joined.withColumn("matches", F.coalesce(matches, F.array().cast(HITS)))
+    return unpacked(out, docs, "text", more=("matches",))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without the documents that contain a test item."""
-    return unpacked(with_matches(packed(docs, "text"), benchmark, **how).filter(F.size("matches") == 0), docs, "text")
+    """docs, with all their columns, without the documents that contain a test item."""
+    kept = with_matches(packed(docs, "text"), benchmark, **how).filter(F.size("matches") == 0)
+    return unpacked(kept, docs, "text")
 
 
 def decontam_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
