@@ -13,8 +13,8 @@ from .store import packed, stored, unpacked
 from .words import n_words, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Ways in which a source's row is repeated where there are too many sources to broadcast.
-SALTS = 64
+#: Sources whose rows may be broadcast, and ways in which a source's row is repeated where there are more.
+SENT_SOURCES, SALTS = 100_000, 64
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -55,33 +55,35 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
 def with_copies(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
     """docs with size, source_size, target and copies (int): how often the mix takes the document.
 
-    Null texts have size 0, a null source is a source of its own and a null doc_id draws as an empty id; repeated rows
-    draw alike; columns that already have these names are replaced. Reruns agree, as the draw depends on the id alone.
+    Null texts have size 0, a null source is a source of its own. The draw depends on the doc_id alone, so reruns agree and
+    rows that repeat an id draw alike; without an id it depends on the text. Columns that already have these names are
+    replaced; others stay, whatever their names.
     """
-    docs = docs.drop("size", "source_size", "target", "rate", "copies")
-    sized = docs.withColumn("size", n_words(text_of("text")))
+    used = ("doc_id", "text", "source")
+    sized = packed(docs, *used).withColumn("size", n_words(text_of("text")))
     targets = stored(source_targets(sized.select("source", "size"), **how))
-    rows = targets.withColumnRenamed("source", "_source")
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    if targets.count() <= 100_000:
+    rows = targets.withColumnRenamed("source", "of")
+    same = F.col("source").eqNullSafe(F.col("of"))
+    if targets.count() <= SENT_SOURCES:
         joined = sized.join(F.broadcast(rows), same)
     else:
-        salted = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-        joined = sized.withColumn("_s", salt).join(salted, same & (F.col("_s") == F.col("_salt"))).drop("_s", "_salt")
-    digits = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed))), 1, 13)
+        salted = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")
+        joined = sized.withColumn("own_salt", salt).join(salted, same & (F.col("own_salt") == F.col("salt")))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(text_of("text"))))
+    digits = F.substring(F.md5(F.concat(name, F.lit(":" + seed))), 1, 13)
     draw = F.conv(digits, 16, 10).cast("double") / float(1 << 52)
     whole = F.floor("rate")
     copies = (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int")
-    return joined.withColumn("copies", copies).drop("_source", "rate")
+    return unpacked(joined.withColumn("copies", copies), docs, *used, more=("size", "source_size", "target", "copies"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document of docs as many times as it is taken, with the columns of docs."""
+    """The mix itself: each document of docs as many times as it is taken, with all columns of docs; what with_copies says
+    of odd rows holds. Documents without words are taken as often as their source's others."""
     used = ("doc_id", "text", "source")
     taken = with_copies(packed(docs, *used), **how).filter("copies > 0")
-    return unpacked(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs, *used)
-
+    return unpacked(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs, *used)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -90,7 +92,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = """
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size from documents),
+with d as (select doc_id, coalesce(cast(doc_id as varchar), 'text ' || md5(coalesce(text, ''))) as name, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size from documents),
 s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as k from d group by source),
 w as (select *, [5.0, 2.0, 1.0][(k - 1) % 3 + 1]::double as weight, 2.0 * source_size as cap, 1.5 * sum(source_size) over () as total from s),
 l as (select *, (total - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
@@ -99,7 +101,7 @@ o as (select *, first_value(case when even <= cap / weight then even end ignore
       rows between unbounded preceding and unbounded following) as lev from l),
 t as (select source, source_size, cast(case when lev is null then cap else least(cap, weight * lev) end as double) as target from o),
 r as (select doc_id, size, source_size, target, least(2.0, case when source_size = 0 then 0 else target / source_size end) as rate,
-      ('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':mix'), 1, 13))::bigint / 4503599627370496.0 as draw
+      ('0x' || substr(md5(name || ':mix'), 1, 13))::bigint / 4503599627370496.0 as draw
       from d join t on d.source is not distinct from t.source)
 select doc_id, cast(size as bigint) as size, source_size, target,
   cast(size * (floor(rate) + case when draw < rate - floor(rate) then 1 else 0 end) as bigint) as taken from r
