@@ -92,7 +92,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("label")).filter("label in (0, 1) and _id is not null")
     known = known.filter(F.crc32(F.col("_id").cast("string")) % 5 != 0)
     picked = known.orderBy(F.md5(F.col("_id").cast("string")), "label").limit(rows)  # the bound that lets it be broadcast
-    return stored(docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("label", statistics(F.col("text")).alias("s")))
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text")
+    return stored(texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("label", statistics(F.col("text")).alias("s")))
 
 
 def fit_rules(sample: DataFrame) -> tuple[float, list[Rule]]:
@@ -122,15 +123,17 @@ def score_column(intercept: float, rules: list[Rule], text: Column) -> Column:
 
 
 def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if score >= 0.3). Null texts are empty and scored so. The labels, lang,
-    source and doc_id are never inputs of a score; a document's repeated labels count each."""
+    """docs with score (0 to 1) and predicted (1 if score >= 0.3). Null texts are empty and scored so, texts of any length
+    whole. The labels, lang, source and doc_id are never inputs of a score; a document's repeated labels count each, and
+    repeated rows get equal scores. Columns named score or predicted are replaced; others stay, whatever their names."""
     intercept, rules = fit_rules(labelled_sample(docs, labels))
     scored = docs.drop("score", "predicted").withColumn("score", score_column(intercept, rules, F.col("text")))
     return scored.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
 def quality_kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs that the classifier does not reject."""
+    """docs that the classifier does not reject, with all their columns; what with_quality says of odd rows holds. Without
+    labels of both kinds all documents have one score: kept, but where all labels are 0."""
     scored = with_quality(packed(docs, "doc_id", "text"), labels)
     return unpacked(scored.filter("predicted = 1"), docs, "doc_id", "text")
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, stored
+from .store import drop, packed, stored, unpacked
 from .words import SPACE, text_of, words
 
 #: Rows on which costs and selectivities are estimated; they set the order of the rules alone.
@@ -53,8 +53,13 @@ def repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 3, 0).otherwise(let(hashes, of_hashes)).cast("long")
 
 
+#: What base_statistics counts.
+STATISTICS = ("n_words", "word_chars", "n_repeat_words", "n_lines", "n_dup_lines", "n_symbols")
+
+
 def base_statistics(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (long); a null text is empty."""
+    """docs with the STATISTICS (long), counted over whole texts; a null text is empty, repeated rows count alike. Columns
+    that already have these names are replaced; others stay, whatever their names."""
     text = text_of("text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
 
@@ -69,9 +74,8 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
     symbols = F.regexp_count(text, F.lit(SYMBOLS)).cast("long")
-    out = docs.drop("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-    out = out.withColumns({"_w": let(words(text), of_words), "_l": let(lines, of_lines), "n_symbols": symbols})
-    return out.select(*[c for c in out.columns if c not in ("_w", "_l")], "_w.*", "_l.*")
+    counted = packed(docs, "text").withColumns({"words": let(words(text), of_words), "lines": let(lines, of_lines), "n_symbols": symbols})
+    return unpacked(counted.select("text", "rest", "words.*", "lines.*", "n_symbols"), docs, "text", more=STATISTICS)
 
 
 def standard_rules() -> dict[str, Column]:
