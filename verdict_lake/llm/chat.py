@@ -80,29 +80,33 @@ def formatted(turns: DataFrame) -> DataFrame:
     role, text = (escape(F.coalesce(F.col(c), F.lit(""))) for c in ("role", "text"))
     # a turn is cut into what comes before the text, the text and the end mark, so that lengths give the mask
     parts = turns.select("conv_id", "path", "position", F.coalesce("role", F.lit("")).alias("raw_role"), F.concat(F.lit(START), role, F.lit(HEAD)).alias("lead"), text.alias("body"))
-    rows = parts.groupBy("conv_id", "path").agg(F.array_sort(F.collect_list(F.struct("position", "raw_role", "lead", "body"))).alias("t"))
-    end = len(END)
-    start_of = F.aggregate(
-        "t",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["lead"]) + F.length(x["body"]) + end).alias("at"),
-            F.when(
-                x["raw_role"] == "assistant",
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(x["lead"])).alias("start"), (acc["at"] + F.length(x["lead"]) + F.length(x["body"])).alias("end")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    # where a turn begins is the sum of what stands before it
+    before = Window.partitionBy("conv_id", "path").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("lead") + F.length("body") + len(END)
+    placed = parts.withColumn("start", F.coalesce(F.sum(size.cast("long")).over(before), F.lit(0)) + F.length("lead"))
+    rows = placed.groupBy("conv_id", "path").agg(F.array_sort(F.collect_list(F.struct("position", "raw_role", "lead", "body", "start"))).alias("t"))
+    spoken = F.transform(F.filter("t", lambda x: x["raw_role"] == "assistant"), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["body"])).alias("end")))
     joined = F.array_join(F.transform("t", lambda x: F.concat(x["lead"], x["body"], F.lit(END))), "")
-    return rows.select("conv_id", "path", joined.alias("formatted"), start_of.alias("loss_mask"))
+    return rows.select("conv_id", "path", joined.alias("formatted"), spoken.alias("loss_mask"))
+
+
+def unique_messages(messages: DataFrame) -> DataFrame:
+    """messages with one row for each node of a tree: of several the first by parent, score, role and text."""
+    repeated = messages.groupBy("tree", "node").agg(F.count("*").alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        return messages
+    rest = ("parent", "score", "role", "text")
+    return messages.groupBy("tree", "node").agg(F.min(F.struct(*rest)).alias("x")).select("tree", "node", *(f"x.{c}" for c in rest))
 
 
 def format_trees(messages: DataFrame, keep: int = 1) -> DataFrame:
     """The keep best paths of each reply tree as conversations: conv_id, path, formatted, loss_mask, path_rank, path_score.
 
-    messages: tree, node, parent, score, role, text. Empty tables give none; other columns are not used.
+    messages: tree, node, parent, score, role, text. Empty tables give none; other columns are not used. Rows without a
+    tree or a node are on no path; of several rows of one node the first by parent, score, role and text counts. Texts
+    may be empty, null (as empty) or of any length; a conversation is one row of the output.
     """
+    messages = unique_messages(messages.select("tree", "node", "parent", "score", "role", "text").filter("tree is not null and node is not null"))
     slim = stored(messages.select("tree", "node", "parent", F.col("score").cast("double").alias("score")))
     leaves = stored(ranked_leaves(slim, keep))
     path = path_nodes(slim, leaves)
