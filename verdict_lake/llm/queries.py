@@ -51,12 +51,3 @@ def op10_chat(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_decontam, op2_tokens, op3_suffix_dedup, op4_substring_dedup, op5_pii, op6_quality_model, op7_quality_rules, op8_simhash, op9_mixing, op10_chat)}
 
 ORACLES = {"op1_decontam": decontam.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE}
-
-
-def pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES["pipeline"] = pipeline

@@ -9,6 +9,8 @@ from ..session import scratch_folder, workers_find_package
 
 #: A table is broadcast only if it was counted and, with ROW_BYTES a row and 8 a column, is no larger than this.
 BROADCAST_BYTES, ROW_BYTES = 64_000_000, 16
+#: The rows of an Arrow batch, and what Spark sets them to.
+BATCH_ROWS, SPARK_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: Spark types of 8 bytes at most, of which such a table consists.
 FLAT = ("bigint", "int", "double", "boolean")
 
@@ -39,9 +41,10 @@ def small_or_not(df: DataFrame) -> DataFrame:
 
 
 def python_ready(spark: SparkSession, rows: int = 500) -> None:
-    """Small Arrow batches, so that a batch of very long texts still fits a worker; and workers that find this package
-    where it runs from a checkout."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Small Arrow batches, so that a batch of very long texts still fits a worker, unless the caller has set their size; and
+    workers that find this package where it runs from a checkout."""
+    if spark.conf.get(BATCH_ROWS) == SPARK_BATCH_ROWS:
+        spark.conf.set(BATCH_ROWS, str(rows))
     workers_find_package(spark)
 
 
