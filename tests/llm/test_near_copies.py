@@ -73,6 +73,7 @@ def test_large_groups_of_near_copies_and_tiny_chunks(frame, monkeypatch):
     chain = [f"c{k}" for k in range(100)]
     texts += [" ".join([*chain[k * 6 :], *(f"d{j}" for j in range(k * 6))]) for k in range(8)]
     monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "BLOCK", 200)
     df = docs_of(frame, texts)
     assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == brute_kept(texts)
 
@@ -91,3 +92,30 @@ def test_near_against_plain_bit_counts():
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if int(words[0][i] ^ words[0][j]).bit_count() <= 3 and sum(int(w[i] ^ w[j]).bit_count() for w in words) <= 8}
     i, j = simhash.near(words, words, 3, 8, True)
     assert want and set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_many_texts_near_to_each_other_but_not_enough(frame):
+    # each pair shares some 0.7 of its shingles: proposed by the fingerprints, and no star's link holds
+    draw = random.Random(11)
+    body = [f"w{draw.randrange(9000)}" for _ in range(120)]
+    texts = []
+    for k in range(90):
+        copy = list(body)
+        for at in draw.sample(range(5, 115, 7), 2):
+            copy[at] = f"x{k}.{at}"
+        texts.append(" ".join(copy))
+    texts += [t + " end" for t in texts[:10]]
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs_of(frame, texts)).collect()) == brute_kept(texts)
+
+
+def test_similar_against_sets_in_blocks_of_columns(monkeypatch):
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 1 << 60, 80).astype(np.uint64)
+    sets = [np.unique(np.concatenate([draw.choice(base, draw.integers(60, 80), replace=False), draw.integers(0, 1 << 60, draw.integers(0, 6)).astype(np.uint64)])) for _ in range(40)]
+    sets.append(np.zeros(0, np.uint64))
+    want = {(i, j) for i, a in enumerate(sets[:20]) for j, b in enumerate(sets[20:]) if len(a) and len(np.intersect1d(a, b)) >= 0.75 * len(np.union1d(a, b))}
+    for cells in (1 << 24, 500):
+        monkeypatch.setattr(simhash, "CELLS", cells)
+        i, j = simhash.similar(sets[:20], sets[20:], 0.75)
+        assert want and set(zip(i.tolist(), j.tolist())) == want
+    assert simhash.similar([], sets, 0.5)[0].tolist() == []

@@ -25,20 +25,22 @@ from pyspark.sql import types as T
 from .decontam import shingle_hashes
 from .graph import components
 from .rolling import BASE, U, scattered
-from .store import drop, packed, python_ready, small_or_not, stored, unpacked
+from .store import BROADCAST_BYTES, drop, packed, python_ready, small_or_not, stored, unpacked
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Fingerprints in a chunk of a tile, and those of a chunk that are compared with another chunk at once.
-CHUNK, STRIP = 1024, 128
+CHUNK, STRIP = 8192, 32
 #: near_dedup: words of a shingle, the least similarity, and the 64-bit words of a fingerprint. At similarity 0.8 and equal
 #: sizes 15 % of the bits differ, 9.7 of 64 (deviation 2.9) and 38.8 of 256 (5.7); of unrelated texts half.
 WIDTH, LEAST, WORDS = 5, 0.8, 4
 #: Most differing bits of the first word (the radius by which tiles are skipped) and of all words of a proposed pair.
-FIRST_RADIUS, ALL_RADIUS = 20, 64
+FIRST_RADIUS, ALL_RADIUS = 20, 58
 #: Population counts in one tile of near_dedup.
 BAND = 8
-#: Tasks among which the pairs of one node are dealt when they are verified.
+#: Groups among which the partners of one node are dealt when they are verified.
 SALTS = 64
+#: Shingle hashes of one side of a group that is verified in a task, and values of a matrix there.
+BLOCK, CELLS = 1_000_000, 1 << 24
 FLIPS = np.concatenate([np.zeros(1, U), scattered(np.arange(1, WORDS, dtype=U) * U(BASE))])
 #: Shingles whose bits are summed at once.
 STEP = 1 << 16
@@ -126,41 +128,37 @@ def stars(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-#: a, b: a pair of nodes. Where it is null: a pair of chunks that has more pairs than were returned.
-PAIR = "a long, b long, tile_a array<int>, chunk_a int, tile array<int>, chunk int"
+#: a, b: a pair of nodes. Where a is null: a pair of chunks that has more pairs than were returned; where b is null: a node
+#: of one side of that pair of chunks.
+PAIR = "a long, b long, side int, tile_a array<int>, chunk_a int, tile array<int>, chunk int"
 
 
 def compared(words: int, first: int, radius: int, mode: str):
     """Compares pairs of chunks. mode "links": pairs that join what nothing else there does, for links that need no check.
-    "some": all pairs if they are few for their nodes, else stars of them and the chunks' names. "all": all pairs of
-    nodes with different roots."""
+    "some": all pairs if they are few for their nodes, else stars of them and the chunks' names. "nodes": the nodes of
+    each side that meet one of another root, with the chunks' names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left: list[int] = []
-            right: list[int] = []
-            more: list[int] = []
+            rows: list[tuple] = []
             sides = batch.column("rows_a"), batch.column("rows")
             for k, same in enumerate(batch.column("same").to_pylist()):
-                a, b = ({n: np.asarray(v.field(n)) for n in ("node", "root", *(f"w{w}" for w in range(words)))} for v in (side[k].values for side in sides))
-                i, j = near(*([x[f"w{w}"].view(U) for w in range(words)] for x in (a, b)), first, radius, same)
-                na, nb = a["node"][i], b["node"][j]
+                structs = [side[k].values for side in sides]
+                i, j = near(*([np.asarray(x.field(f"w{w}")).view(U) for w in range(words)] for x in structs), first, radius, same)
+                na, nb = (np.asarray(x.field("node"))[at] for x, at in zip(structs, (i, j)))
                 if mode == "links":
-                    found = forest(zip(na.tolist(), nb.tolist()))
-                elif mode == "all":
-                    apart = a["root"][i] != b["root"][j]
-                    found = list(zip(na[apart].tolist(), nb[apart].tolist()))
+                    rows += [(x, y, None, None) for x, y in forest(zip(na.tolist(), nb.tolist()))]
+                elif mode == "nodes":
+                    ra, rb = (np.asarray(x.field("root"))[at] for x, at in zip(structs, (i, j)))
+                    rows += [(x, None, side, k) for side, nodes in enumerate((na, nb)) for x in np.unique(nodes[ra != rb]).tolist()]
                 elif len(na) <= 2 * len(np.union1d(na, nb)):
-                    found = list(zip(na.tolist(), nb.tolist()))
+                    rows += [(x, y, None, None) for x, y in zip(na.tolist(), nb.tolist())]
                 else:
-                    found = stars(na, nb)
-                    more.append(k)
-                left += [x for x, _ in found]
-                right += [y for _, y in found]
+                    rows += [(x, y, None, None) for x, y in stars(na, nb)]
+                    rows.append((None, None, None, k))
+            left, right, side, places = (pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64())))
             names = ["tile_a", "chunk_a", "tile", "chunk"]
-            pairs = [pa.array(x + [None] * len(more), pa.int64()) for x in (left, right)]
-            places = pa.array([None] * len(left) + more, pa.int64())
-            yield pa.RecordBatch.from_arrays([*pairs, *(batch.column(n).take(places) for n in names)], ["a", "b", *names])
+            yield pa.RecordBatch.from_arrays([left, right, side, *(batch.column(n).take(places) for n in names)], ["a", "b", "side", *names])
 
     return run
 
@@ -182,7 +180,7 @@ class Tiles:
         chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).cast("int")
         self.fields = ["node", *(f"w{k}" for k in range(words))]
         chunked = keyed.join(sizes, "tile").withColumn("chunk", chunk)
-        self.tiles = stored(chunked.groupBy("tile", "chunk").agg(F.collect_list(F.struct(*self.fields, F.col("node").alias("root"))).alias("rows")))
+        self.tiles = stored(chunked.groupBy("tile", "chunk").agg(F.collect_list(F.struct(*self.fields)).alias("rows")))
         gap = lambda d: max(0, (abs(d) - 1) * band + 1) if d else 0
         reach = next(d for d in itertools.count(1) if gap(d) > first)
         steps = [d for d in itertools.product(range(1 - reach, reach), repeat=parts) if sum(map(gap, d)) <= first]
@@ -273,31 +271,87 @@ def signed(width: int):
     return run
 
 
+def similar(a: list[np.ndarray], b: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two lists of sets of the pairs of that Jaccard similarity, both sets not empty."""
+    sizes = [np.array(list(map(len, x)), dtype=np.int64) for x in (a, b)]
+    _, which, counts = np.unique(np.concatenate([np.zeros(0, U), *a, *b]), return_inverse=True, return_counts=True)
+    # only what several sets hold can be shared
+    column = np.cumsum(counts > 1) - 1
+    keep = counts[which] > 1
+    owner = np.repeat(np.arange(len(a) + len(b)), np.concatenate(sizes))[keep]
+    column = column[which[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(a), len(b)), dtype=np.float32)
+    width = max(1, CELLS // (len(a) + len(b)))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        part = slice(*np.searchsorted(column, [at, at + width]))
+        held = np.zeros((len(a) + len(b), width), dtype=np.float32)
+        held[owner[part], column[part] - at] = 1
+        shared += held[: len(a)] @ held[len(a) :].T
+    return np.nonzero((shared > 0) & (shared >= least * (sizes[0][:, None] + sizes[1][None, :] - shared) - 1e-3))
+
+
+def links_in_groups(least: float):
+    """a, b: enough links for the components of all similar pairs between the sides of each group of sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for members in batch.column("members"):
+                rows = members.values
+                side, nodes = np.asarray(rows.field("side")), np.asarray(rows.field("node"))
+                sets = [x.values.to_numpy().view(U) for x in rows.field("shingles")]
+                left, right = ([int(k) for k in np.flatnonzero(side == x)] for x in (0, 1))
+                i, j = similar([sets[k] for k in left], [sets[k] for k in right], least)
+                na, nb = nodes[left][i], nodes[right][j]
+                found += forest(zip(na[na != nb].tolist(), nb[na != nb].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def with_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), width) for t in batch.column("text")]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = np.concatenate([np.zeros(0, U), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "shingles"])
+            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("groups"), shingles], ["node", "groups", "shingles"])
 
     return run
 
 
-def verified(pairs: DataFrame, owners: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar. owners: a row of texts (id, body) for each node."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = stored(owners.join(wanted, "node", "left_semi"))
-    found = texts.join(small_or_not(rows), ["id", "body"]).select("node", "text")
-    sets = stored(found.mapInArrow(with_sets(width), "node long, shingles array<long>").dropDuplicates(["node"]))
-    # a node of many partners is dealt to several tasks
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
-    right = dealt.select("b", "salt").distinct().join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = dealt.join(right, ["b", "salt"]).join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.withColumn("n", F.size(F.array_intersect("sa", "sb")))
-    similar = stored(both.filter(F.col("n") >= F.lit(least) * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b"))
-    drop(sets)
-    return similar
+def verified(groups: DataFrame, owners: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Links (a, b) of the similar pairs between the sides of each group. groups: key, side (0 or 1), node; distinct rows.
+    owners: node, size and (id, body), a row of texts. A set is made where its text is, and sent once to each group."""
+    sized = stored(groups.join(owners, "node"))
+    # groups whose sets are too many for one task are cut on both sides, and all pairs of parts are compared
+    totals = sized.groupBy("key").agg(*(F.ceil(F.sum(F.when(F.col("side") == k, F.col("size"))) / BLOCK).alias(f"parts{k}") for k in (0, 1)))
+    dealt = sized.join(totals.select("key", *(F.greatest(F.coalesce(f"parts{k}", F.lit(1)), F.lit(1)).alias(f"parts{k}") for k in (0, 1))), "key")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("parts0")).otherwise(F.col("parts1")))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("side") == 0, F.col("parts1")).otherwise(F.col("parts0")) - 1)
+    split = dealt.select("node", "id", "body", "key", "side", own.alias("own"), F.explode(others).alias("other"))
+    first, second = (F.when(F.col("side") == k, F.col("own")).otherwise(F.col("other")) for k in (0, 1))
+    wanted = split.select("node", "id", "body", F.struct("key", first.alias("first"), second.alias("second"), "side").alias("group"))
+    wanted = stored(wanted.groupBy("node", "id", "body").agg(F.collect_list("group").alias("groups")))
+    small = wanted.count() * 100 <= BROADCAST_BYTES and sized.count() * 40 <= BROADCAST_BYTES
+    found = texts.join(F.broadcast(wanted) if small else wanted, ["id", "body"]).select("node", "groups", "text")
+    sets = found.mapInArrow(with_sets(width), "node long, groups array<struct<key:bigint,first:bigint,second:bigint,side:int>>, shingles array<long>")
+    members = sets.select("node", "shingles", F.explode("groups").alias("g"))
+    grouped = members.groupBy("g.key", "g.first", "g.second").agg(F.collect_list(F.struct("g.side", "node", "shingles")).alias("members"))
+    return stored(grouped.select("members").mapInArrow(links_in_groups(least), "a long, b long"))
+
+
+def once_each(texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """texts with one row for each id and body; only repeated ones are shuffled."""
+    repeats = stored(prints.groupBy("id", "body").agg(F.count("*").alias("n")).filter("n > 1").select("id", "body"))
+    if repeats.isEmpty():
+        return texts
+    keys = small_or_not(repeats)
+    many = texts.join(keys, ["id", "body"], "left_semi").groupBy("id", "body").agg(F.any_value("text").alias("text"))
+    return texts.join(keys, ["id", "body"], "left_anti").unionByName(many)
 
 
 def similar_groups(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
@@ -312,18 +366,19 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, least: float = LEAST) ->
     # sets of this similarity are in the same class of sizes or in neighbouring ones
     size_class = F.when(F.col("size") > 0, F.floor(F.ln("size") / F.ln(F.lit(1 / least)) + 1e-9)).otherwise(-2)
     tiles = Tiles(nodes.withColumn("size_class", size_class), WORDS, FIRST_RADIUS, ALL_RADIUS, 1, BAND)
-    owners = nodes.select("node", "own.*")
+    owners, single = nodes.select("node", "size", "own.*"), once_each(texts, prints)
     met = stored(tiles.compare(tiles.chunk_pairs(), "some"))
-    pairs = met.filter("a is not null").select("a", "b").distinct()
-    links = verified(pairs, owners, texts, width, least)
+    pairs = met.filter("b is not null").withColumn("key", F.xxhash64("a", F.pmod("b", F.lit(SALTS))))
+    both = pairs.select("key", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("b").alias("node")))).alias("x"))
+    links = verified(both.select("key", "x.*").distinct(), owners, single, width, least)
     joined = stored(components(links))
     dense = met.filter("a is null").select("tile_a", "chunk_a", "tile", "chunk")
     if not dense.isEmpty():
-        # only what the stars' links have not joined is compared in full
-        others = tiles.compare(dense, "all", tiles.rooted(dense, joined)).select("a", "b").distinct()
-        others = stored(others.join(pairs, ["a", "b"], "left_anti"))
-        if not others.isEmpty():
-            joined = stored(components(links.unionByName(verified(others, owners, texts, width, least))))
+        # what the stars' links have not joined there is compared in full, by tasks that return links alone
+        apart = tiles.compare(dense, "nodes", tiles.rooted(dense, joined))
+        rows = stored(apart.select(F.xxhash64("tile_a", "chunk_a", "tile", "chunk").alias("key"), "side", F.col("a").alias("node")))
+        if not rows.isEmpty():
+            joined = stored(components(links.unionByName(verified(rows, owners, single, width, least))))
     rooted = stored(prints.select("id", "body", "node").join(small_or_not(joined), "node", "left").select("id", "body", F.coalesce("component", "node").alias("root")))
     drop(prints)
     return rooted.join(rooted.groupBy("root").agg(F.min("id").alias("first")), "root")
