@@ -1,8 +1,11 @@
-"""Substring dedup by seed and extend: documents meet on winnowed anchors, matches are extended both ways to whole
-windows of words, and the runs of such windows are the maximal repeats over the threshold.
-
-Documents are not joined pair by pair: those that share an anchor form a group, in which equal surroundings are one, so
-that a passage in a third of all documents costs a row a document.
+"""Substring dedup by seed and extend: documents meet on winnowed anchors, and around each anchor the windows of words
+that others have too are found.
+
+A plain join on anchors would give all pairs of a group, and a passage in a third of all documents makes such a group. So
+the documents of an anchor are grouped instead of paired: first by the anchor, then by half a window's words to its right
+or left, then by the windows that hold it, up to the farthest on both sides. Equal surroundings are one row on the way.
+A match is not a row of two documents but a run of windows of one; runs that touch are joined, so that what is removed
+are the maximal repeats over the threshold.
 """
 
 from __future__ import annotations
