@@ -44,15 +44,6 @@ def dataset_version(pairs: DataFrame) -> DataFrame:
     return hashed.agg(F.coalesce(F.max("version"), F.lit(hashlib.sha256().hexdigest()[:16])).alias("dataset_version"))
 
 
-def dataset_version_streamed(pairs: DataFrame) -> str:
-    """The same by the driver: range partitions in order pass through one hasher, a partition at a time."""
-    hasher = hashlib.sha256()
-    ordered = pairs.select("post_id", F.concat("post_id", F.coalesce("explanation", F.lit(""))).alias("line")).orderBy("post_id")
-    for row in ordered.select("line").toLocalIterator():
-        hasher.update(row.line.encode())
-    return hasher.hexdigest()[:16]
-
-
 def create_snapshot(pairs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """The row (snapshot_id, dataset_version, posts) to append: none if there is no content or a snapshot has it already."""
     version = dataset_version(pairs).crossJoin(pairs.agg(F.count("*").alias("posts"))).filter("posts > 0")
