@@ -38,7 +38,7 @@ SLOT_BITS = 24
 #: Items that are verified against a document at once.
 TOGETHER = 64
 #: Shingles hashed at once.
-STEP = 1 << 17
+STEP = 1 << 15
 HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("n_shared", T.LongType()), T.StructField("n_item", T.LongType())]))
 
 

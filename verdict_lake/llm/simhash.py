@@ -40,7 +40,7 @@ BAND = 8
 #: Groups among which the partners of one node are dealt when they are verified.
 SALTS = 64
 #: Shingle hashes of one side of a group that is verified in a task, and values of a matrix there.
-BLOCK, CELLS = 1_000_000, 1 << 24
+BLOCK, CELLS = 200_000, 1 << 22
 FLIPS = np.concatenate([np.zeros(1, U), scattered(np.arange(1, WORDS, dtype=U) * U(BASE))])
 #: Shingles whose bits are summed at once.
 STEP = 1 << 16
@@ -159,6 +159,7 @@ def compared(words: int, first: int, radius: int, mode: str):
             left, right, side, places = (pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64())))
             names = ["tile_a", "chunk_a", "tile", "chunk"]
             yield pa.RecordBatch.from_arrays([left, right, side, *(batch.column(n).take(places) for n in names)], ["a", "b", "side", *names])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -307,6 +308,7 @@ def links_in_groups(least: float):
                 na, nb = nodes[left][i], nodes[right][j]
                 found += forest(zip(na[na != nb].tolist(), nb[na != nb].tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -9,8 +9,8 @@ from ..session import scratch_folder, workers_find_package
 
 #: A table is broadcast only if it was counted and, with ROW_BYTES a row and 8 a column, is no larger than this.
 BROADCAST_BYTES, ROW_BYTES = 64_000_000, 16
-#: The rows of an Arrow batch, and what Spark sets them to.
-BATCH_ROWS, SPARK_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: The settings of an Arrow batch, Spark's own values and ours.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 #: Spark types of 8 bytes at most, of which such a table consists.
 FLAT = ("bigint", "int", "double", "boolean")
 
@@ -40,11 +40,12 @@ def small_or_not(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() * (ROW_BYTES + 8 * len(df.columns)) <= BROADCAST_BYTES else df
 
 
-def python_ready(spark: SparkSession, rows: int = 500) -> None:
+def python_ready(spark: SparkSession) -> None:
     """Small Arrow batches, so that a batch of very long texts still fits a worker, unless the caller has set their size; and
     workers that find this package where it runs from a checkout."""
-    if spark.conf.get(BATCH_ROWS) == SPARK_BATCH_ROWS:
-        spark.conf.set(BATCH_ROWS, str(rows))
+    for key, (usual, ours) in BATCH.items():
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, ours)
     workers_find_package(spark)
 
 

@@ -31,7 +31,7 @@ SHARD_CHARS = 6_000_000
 #: Rounds of replacement, pairs replaced in one, and how often a pair must occur in its shard.
 ROUNDS, PAIRS, LEAST = 6, 4096, 16
 #: Words whose ids a Python worker remembers from one task to the next, and the longest of them in code points.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: The parts of a tokenizer under which the words between white space have ids of their own.
 NORMALIZERS = ("NFC", "Replace", "Lowercase")
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -124,7 +124,7 @@ class Encoder:
         sizes = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces)) // 4
         n, place = sizes[which], (np.cumsum(sizes, dtype=np.int32) - sizes)[which]
         upto = np.cumsum(n)
-        ids = np.frombuffer(b"".join(pieces), dtype="<u4")[np.repeat(place - (upto - n), n) + np.arange(upto[-1])]
+        ids = np.frombuffer(b"".join(pieces), dtype="<u4")[np.repeat(place - (upto - n).astype(np.int32), n) + np.arange(upto[-1], dtype=np.int32)]
         return ids, np.diff(upto[np.cumsum(n_words + 1) - 1], prepend=0).astype("<i8")
 
 
@@ -264,6 +264,7 @@ def encoded_shards(path: str, end_id: int):
                 chars += int(upto[-1]) - done
         if held:
             yield shard()
+        pa.default_memory_pool().release_unused()
 
     return run
 
