@@ -27,11 +27,11 @@ from .store import python_ready, small_or_not, stored
 
 END_ID = 2
 #: Characters in a shard, at which it is closed after the document at hand.
-SHARD_CHARS = 6_000_000
+SHARD_CHARS = 4_000_000
 #: Rounds of replacement, pairs replaced in one, and how often a pair must occur in its shard.
 ROUNDS, PAIRS, LEAST = 6, 4096, 16
 #: Words whose ids a Python worker remembers from one task to the next, and the longest of them in code points.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: The parts of a tokenizer under which the words between white space have ids of their own.
 NORMALIZERS = ("NFC", "Replace", "Lowercase")
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
