@@ -81,11 +81,39 @@ def test_large_groups_of_near_copies_and_tiny_chunks(frame, monkeypatch):
 def test_what_stars_leave_is_compared_in_full(frame, monkeypatch):
     # proposals without any bound on the bits: one dense chunk, of which stars test only a part
     texts = planted(7)
-    monkeypatch.setattr(simhash, "FIRST_RADIUS", 64)
-    monkeypatch.setattr(simhash, "ALL_RADIUS", 256)
+    monkeypatch.setattr(simhash, "RADII", (64, 256))
+    monkeypatch.setattr(simhash, "SMALL_RADII", (64, 256))
     assert sorted(r.doc_id for r in simhash.near_dedup(docs_of(frame, texts)).collect()) == brute_kept(texts)
 
 
+#: Shingles that a pair of texts shares, and those of the first and of the second alone: the hardest pairs at 0.8.
+SHARES = ((4, 0, 1), (8, 0, 2), (8, 1, 1), (12, 0, 3), (12, 1, 2), (20, 2, 3), (36, 4, 5), (68, 12, 5), (92, 8, 15), (180, 20, 25))
+
+
+def pairs_by_size(pairs, seed=9):
+    """Rows of two texts each, of words of their own, whose sets of 5-word shingles have the similarity 0.8."""
+    draw = random.Random(seed)
+    for size, (shared, first, second) in enumerate(SHARES):
+        for k in range(pairs):
+            word = lambda side, n: [f"{side}{size}.{k}.{j}.{draw.randrange(1000)}" for j in range(n)]
+            body = word("w", shared + 4)
+            # words at an end make as many new shingles, and words before the start too
+            yield size, " ".join(word("a", first) + body), " ".join(body + word("b", second))
+
+
+def test_recall_at_the_threshold_for_every_size(frame):
+    pairs = 200
+    rows = list(pairs_by_size(pairs))
+    texts = [t for _, a, b in rows for t in (a, b)]
+    for _, a, b in rows[::pairs]:
+        assert len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) == 0.8
+    kept = [r.doc_id for r in simhash.near_dedup(docs_of(frame, texts)).select("doc_id").collect()]
+    left = [0] * len(SHARES)
+    for k in kept:
+        left[rows[k // 2][0]] += k % 2
+    assert max(left) <= pairs * 0.01, dict(zip(SHARES, left))
+
+
 def test_near_against_plain_bit_counts():
     draw = np.random.default_rng(2)
     words = [draw.integers(0, 1 << 62, 300).astype(np.uint64) & np.uint64(0xFFFF) for _ in range(2)]

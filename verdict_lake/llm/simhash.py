@@ -30,11 +30,13 @@ from .store import BROADCAST_BYTES, drop, packed, python_ready, small_or_not, st
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Fingerprints in a chunk of a tile, and those of a chunk that are compared with another chunk at once.
 CHUNK, STRIP = 8192, 32
-#: near_dedup: words of a shingle, the least similarity, and the 64-bit words of a fingerprint. At similarity 0.8 and equal
-#: sizes 15 % of the bits differ, 9.7 of 64 (deviation 2.9) and 38.8 of 256 (5.7); of unrelated texts half.
+#: near_dedup: words of a shingle, the least similarity, and the 64-bit words of a fingerprint. At similarity 0.8 at most
+#: 16 % of the bits differ, 10.3 of 64 (deviation 2.9) and 41.2 of 256 (5.9); of sets of 4 and 5 shingles 19 %, 12.0 and
+#: 48.0; of unrelated texts half.
 WIDTH, LEAST, WORDS = 5, 0.8, 4
-#: Most differing bits of the first word (the radius by which tiles are skipped) and of all words of a proposed pair.
-FIRST_RADIUS, ALL_RADIUS = 20, 58
+#: Most differing bits of the first word and of all words of a proposed pair: of all sets, and of sets of size class
+#: SMALL_CLASS or less (5 shingles). By the binomial tails the worst sizes miss 2 pairs in 10,000.
+RADII, SMALL_RADII, SMALL_CLASS = (22, 64), (24, 80), 7
 #: Population counts in one tile of near_dedup.
 BAND = 8
 #: Groups among which the partners of one node are dealt when they are verified.
@@ -133,8 +135,8 @@ def stars(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 PAIR = "a long, b long, side int, tile_a array<int>, chunk_a int, tile array<int>, chunk int"
 
 
-def compared(words: int, first: int, radius: int, mode: str):
-    """Compares pairs of chunks. mode "links": pairs that join what nothing else there does, for links that need no check.
+def compared(words: int, radii: tuple[int, int], small: tuple[int, int] | None, mode: str):
+    """Compares pairs of chunks by radii, or by small where a side's size class (the last of its tile) is SMALL_CLASS or less. mode "links": pairs that join what nothing else there does, for links that need no check.
     "some": all pairs if they are few for their nodes, else stars of them and the chunks' names. "nodes": the nodes of
     each side that meet one of another root, with the chunks' names."""
 
@@ -142,8 +144,10 @@ def compared(words: int, first: int, radius: int, mode: str):
         for batch in batches:
             rows: list[tuple] = []
             sides = batch.column("rows_a"), batch.column("rows")
+            least = [min(a[-1], b[-1]) for a, b in zip(batch.column("tile_a").to_pylist(), batch.column("tile").to_pylist())]
             for k, same in enumerate(batch.column("same").to_pylist()):
                 structs = [side[k].values for side in sides]
+                first, radius = small if small and least[k] <= SMALL_CLASS else radii
                 i, j = near(*([np.asarray(x.field(f"w{w}")).view(U) for w in range(words)] for x in structs), first, radius, same)
                 na, nb = (np.asarray(x.field("node"))[at] for x, at in zip(structs, (i, j)))
                 if mode == "links":
@@ -171,8 +175,9 @@ class Tiles:
     classes only neighbours are compared.
     """
 
-    def __init__(self, nodes: DataFrame, words: int, first: int, radius: int, parts: int, band: int):
-        self.words, self.first, self.radius = words, first, radius
+    def __init__(self, nodes: DataFrame, words: int, radii: tuple[int, int], parts: int, band: int, small: tuple[int, int] | None = None):
+        self.words, self.radii, self.small = words, radii, small
+        first = max(radii[0], small[0] if small else 0)
         sized = "size_class" in nodes.columns
         tile = F.array(*counts_of(F.col("w0"), parts, band), *([F.col("size_class").cast("int")] if sized else []))
         keyed = nodes.withColumn("tile", tile)
@@ -202,7 +207,7 @@ class Tiles:
         left = tiles.select(F.col("tile").alias("tile_a"), F.col("chunk").alias("chunk_a"), F.col("rows").alias("rows_a"))
         both = chunk_pairs.join(left, ["tile_a", "chunk_a"]).join(tiles, ["tile", "chunk"])
         both = both.withColumn("same", (F.col("tile_a") == F.col("tile")) & (F.col("chunk_a") == F.col("chunk")))
-        return both.mapInArrow(compared(self.words, self.first, self.radius, mode), PAIR)
+        return both.mapInArrow(compared(self.words, self.radii, self.small, mode), PAIR)
 
     def rooted(self, chunk_pairs: DataFrame, joined: DataFrame) -> DataFrame:
         """The tiles of some chunk pairs with the nodes' components (node, component) as roots."""
@@ -214,7 +219,7 @@ class Tiles:
 
 def near_links(nodes: DataFrame, radius: int) -> DataFrame:
     """nodes: fp, node (distinct each). Returns a, b: enough links for the components of all pairs within radius bits."""
-    tiles = Tiles(nodes.withColumnRenamed("fp", "w0"), 1, radius, radius, 4, 1)
+    tiles = Tiles(nodes.withColumnRenamed("fp", "w0"), 1, (radius, radius), 4, 1)
     return tiles.compare(tiles.chunk_pairs(), "links").select("a", "b")
 
 
@@ -235,7 +240,8 @@ def near_groups(docs: DataFrame, radius: int = 2) -> DataFrame:
     """doc_id, fp (long), component_id: a row for each row of docs.
 
     A null text is empty; empty texts have fingerprint 0 and are linked. A null doc_id counts as the largest: it names a
-    component only where no other id is in it, and then the component_id is null. Repeated rows share a component.
+    component only where no other id is in it, and then the component_id is null. Repeated rows share a component. Of a
+    text of any length all shingles count.
     """
     shown = lambda c: F.nullif(F.col(c), F.lit(TOP))
     return grouped(docs, radius).select(shown("id").alias("doc_id"), "fp", shown("first").alias("component_id"))
@@ -367,7 +373,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, least: float = LEAST) ->
     nodes = stored(prints.groupBy("node").agg(F.min("size").alias("size"), F.min(F.struct("id", "body")).alias("own"), *(F.min(f"w{k}").alias(f"w{k}") for k in range(WORDS))))
     # sets of this similarity are in the same class of sizes or in neighbouring ones
     size_class = F.when(F.col("size") > 0, F.floor(F.ln("size") / F.ln(F.lit(1 / least)) + 1e-9)).otherwise(-2)
-    tiles = Tiles(nodes.withColumn("size_class", size_class), WORDS, FIRST_RADIUS, ALL_RADIUS, 1, BAND)
+    tiles = Tiles(nodes.withColumn("size_class", size_class), WORDS, RADII, 1, BAND, SMALL_RADII)
     owners, single = nodes.select("node", "size", "own.*"), once_each(texts, prints)
     met = stored(tiles.compare(tiles.chunk_pairs(), "some"))
     pairs = met.filter("b is not null").withColumn("key", F.xxhash64("a", F.pmod("b", F.lit(SALTS))))
@@ -392,7 +398,8 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> Dat
 
     Two texts are near copies if the Jaccard similarity of their sets of shingles of width words is least or more; a group
     is all that links reach, so a chain may join texts that are less similar. Empty and null texts are one group. A
-    null doc_id counts as the largest. A pair is missed only if its fingerprints differ far more than its sets.
+    null doc_id counts as the largest. Texts of any length are compared by all their shingles. A pair is missed only if its
+    fingerprints differ far more than its sets.
     """
     return first_rows(docs, similar_groups(docs, width, least))
 
