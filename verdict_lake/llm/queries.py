@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, decontam, mixing, pii, quality_model, quality_rules, simhash, substring_dedup, suffix_dedup, tokenfile
+from . import chat, collocations, decontam, exact_topk, mixing, pii, quality_model, quality_rules, simhash, substring_dedup, suffix_dedup, tokenfile, whitening
 from .store import table
 
 
@@ -48,6 +48,42 @@ def op10_chat(spark, sf_dir):
     return chat.chat_report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op2_tokens, op3_suffix_dedup, op4_substring_dedup, op5_pii, op6_quality_model, op7_quality_rules, op8_simhash, op9_mixing, op10_chat)}
+def op11_whitening(spark, sf_dir):
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
 
-ORACLES = {"op1_decontam": decontam.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op9_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE}
+
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_topk(spark, sf_dir):
+    return exact_topk.topk_report(table(spark, sf_dir, "embeddings"))
+
+
+#: One query an operator, in their order.
+ALL = (
+    op1_decontam,
+    op2_tokens,
+    op3_suffix_dedup,
+    op4_substring_dedup,
+    op5_pii,
+    op6_quality_model,
+    op7_quality_rules,
+    op8_simhash,
+    op9_mixing,
+    op10_chat,
+    op11_whitening,
+    op12_collocations,
+    op13_topk,
+)
+
+QUERIES = {f.__name__: f for f in ALL}
+
+ORACLES = {
+    "op1_decontam": decontam.ORACLE,
+    "op7_quality_rules": quality_rules.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+    "op10_chat": chat.ORACLE,
+    "op12_collocations": collocations.ORACLE,
+    "op13_topk": exact_topk.ORACLE,
+}
