@@ -12,6 +12,7 @@ POSTS = f"struct<data:struct<after:string,children:array<struct<data:{POST}>>>>"
 COMMENT = "struct<name:string,author:string,body:string,distinguished:string,score:bigint,created_utc:double>"
 COMMENTS = f"array<struct<data:struct<children:array<struct<kind:string,data:{COMMENT}>>>>>"
 ARCHIVE = "struct<id:string,subreddit:string,title:string,url:string,is_self:boolean,permalink:string,score:bigint,num_comments:bigint,created_utc:string,over_18:boolean>"
+ARCHIVE_COMMENT = "struct<id:string,link_id:string,author:string,body:string,distinguished:string,score:bigint,created_utc:string>"
 
 MIN_SCORE, MIN_COMMENTS = 10, 3
 DELETED = ("[deleted]", "[removed]")
@@ -54,13 +55,36 @@ def read_comments_listing(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_archive_rows(raw: DataFrame) -> DataFrame:
-    """Posts of archive rows (value: JSON text); rows without an id or a positive creation time go."""
-    rows = raw.select(F.from_json("value", ARCHIVE).alias("v")).select("v.*")
+def created_at(rows: DataFrame) -> DataFrame:
+    """rows of an archive with created, in seconds; without an id or a positive creation time they go."""
     created = F.try_to_number(F.col("created_utc"), F.lit("9999999999.999999"))
     created = F.coalesce(F.col("created_utc").try_cast("double"), created.cast("double"))
+    return rows.withColumn("created", created).filter("coalesce(id, '') <> '' and created > 0")
+
+
+def read_archive_comments(raw: DataFrame, *keep: str) -> DataFrame:
+    """Comments of archive rows (value: JSON text), with the columns of raw to keep; rows without an id, a post or a positive
+    creation time go."""
+    rows = created_at(raw.select(F.from_json("value", ARCHIVE_COMMENT).alias("v"), *keep).select("v.*", *keep))
+    rows = rows.select(
+        F.regexp_replace(text(F.col("link_id")), "^t3_", "").alias("post_id"),
+        F.regexp_replace("id", "^t1_", "").alias("comment_id"),
+        text(F.col("author")).alias("author"),
+        text(F.col("body")).alias("body"),
+        number(F.col("score")).alias("score"),
+        F.col("distinguished"),
+        F.col("created").cast("bigint").alias("created_utc"),
+        *keep,
+    )
+    return rows.filter("post_id <> ''")
+
+
+def read_archive_rows(raw: DataFrame, *keep: str) -> DataFrame:
+    """Posts of archive rows (value: JSON text), with the columns of raw to keep; rows without an id or a positive creation
+    time go."""
+    rows = raw.select(F.from_json("value", ARCHIVE).alias("v"), *keep).select("v.*", *keep)
     own = F.coalesce("is_self", F.lit(False))
-    rows = rows.withColumn("created", created).filter("coalesce(id, '') <> '' and created > 0")
+    rows = created_at(rows)
     return rows.select(
         F.col("id").alias("post_id"),
         text(F.col("subreddit")).alias("subreddit"),
@@ -70,6 +94,7 @@ def read_archive_rows(raw: DataFrame) -> DataFrame:
         number(F.col("num_comments")).alias("num_comments"),
         F.col("created").cast("bigint").alias("created_utc"),
         F.coalesce("over_18", F.lit(False)).alias("over_18"),
+        *keep,
     )
 
 

@@ -1,39 +1,72 @@
-"""Continuous ingest: archive rows to qualified posts, each inserted once."""
+"""Continuous ingest: archive rows to qualified posts and their comments, each inserted once.
+
+Comments come as a stream of their own and are joined to the stream of posts: a comment that comes before its post waits for
+it in the join's state, a post waits for its comments there. Time is the time of arrival, so that no row is too late for
+the state. A comment that has waited in vain leaves it, and is settled by the table of posts: its post may have come long ago.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import first_of
-from ..sources.listings import qualify_posts, read_archive_rows
+from ..sources.listings import clean_comments, qualify_posts, read_archive_comments, read_archive_rows
+from .keyed_sink import KeyedTable
+
+#: The time that a partition of a table covers.
+SPAN = "month"
+POST_ORDER, COMMENT_ORDER = ("created_utc", "title"), ("created_utc", "body", "post_id")
+
+
+def since(span: str = SPAN) -> Column:
+    """The first day of the span of time in which a row was created."""
+    return F.trunc(F.to_date(F.timestamp_seconds("created_utc")), span)
 
 
-def posts_of(raw: DataFrame) -> DataFrame:
+def posts_of(raw: DataFrame, *keep: str) -> DataFrame:
     """Qualified posts of raw archive rows (value: JSON text); the same for batches and streams."""
-    return qualify_posts(read_archive_rows(raw), url="image_url")
+    return qualify_posts(read_archive_rows(raw, *keep), url="image_url")
 
 
-def insert_if_absent(target: str):
+def comments_of(raw: DataFrame, *keep: str) -> DataFrame:
+    """People's comments of raw archive rows; the same for batches and streams."""
+    return clean_comments(read_archive_comments(raw, *keep))
+
+
+def insert_if_absent(target: str) -> Callable[[DataFrame, int], None]:
     """A sink that appends the posts of a batch that the table at target does not have.
 
     A batch that runs again finds its rows there and appends none of them.
     """
 
+    def write(batch: DataFrame, _: int) -> None:
+        KeyedTable(batch.sparkSession, target, "post_id").insert_if_absent(batch, since(), POST_ORDER)
+
+    return write
+
+
+def insert_comments(target: str, posts_target: str) -> Callable[[DataFrame, int], None]:
+    """A sink of comments with met, whether they have met their post in the stream: others are settled by the table of posts."""
+
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        columns = batch.columns
-        first = first_of(batch.withColumn("_order", F.struct(F.col("created_utc"), F.col("title"))), ["post_id"], "_order").select(*columns)
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            known = spark.read.schema(batch.schema).parquet(target).select("post_id")
-            first = first.join(known, "post_id", "left_anti")
-        first.write.mode("append").parquet(target)
+        batch = batch.persist()
+        alone = batch.filter("not met").drop("met")
+        settled = KeyedTable(spark, posts_target, "post_id").among(alone, "post_id").select(*alone.columns)
+        KeyedTable(spark, target, "comment_id").insert_if_absent(batch.filter("met").drop("met").unionByName(settled), since(), COMMENT_ORDER)
+        batch.unpersist()
 
     return write
 
 
+def arriving(spark: SparkSession, source: str) -> DataFrame:
+    """value and arrived of the lines of source's text files, a stream: a file's lines arrive when it was written."""
+    return spark.readStream.schema("value string").text(source).select("value", F.col("_metadata.file_modification_time").alias("arrived"))
+
+
 def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, lateness: str = "30 days") -> StreamingQuery:
     """Read new text files of source once, and append their new posts to target.
 
@@ -43,3 +76,19 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
     posts = posts_of(raw).withColumn("at", F.timestamp_seconds("created_utc"))
     fresh = posts.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["post_id"]).drop("at")
     return fresh.writeStream.foreachBatch(insert_if_absent(target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_comments(
+    spark: SparkSession, posts_source: str, source: str, posts_target: str, target: str, checkpoint: str, wait: str = "2 days", disorder: str = "10 minutes"
+) -> StreamingQuery:
+    """Read new text files of both sources once, and append to target the new comments of qualified posts.
+
+    A comment and its post meet if they arrive within wait of each other. A comment that met none by then is appended if
+    posts_target has its post, and else dropped. disorder: by how much files may be read out of the order of their times.
+    """
+    posts = posts_of(arriving(spark, posts_source), "arrived").select(F.col("post_id").alias("own_id"), F.col("arrived").alias("post_arrived"))
+    posts = posts.withWatermark("post_arrived", disorder)
+    comments = comments_of(arriving(spark, source), "arrived").withWatermark("arrived", disorder)
+    near = F.expr(f"own_id = post_id and post_arrived >= arrived - interval {wait} and post_arrived <= arrived + interval {wait}")
+    joined = comments.join(posts, near, "left_outer").withColumn("met", F.col("own_id").isNotNull()).drop("own_id", "post_arrived", "arrived")
+    return joined.writeStream.foreachBatch(insert_comments(target, posts_target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
