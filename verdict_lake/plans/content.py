@@ -263,6 +263,20 @@ def image_hashes(t):
     return _prints(t)
 
 
+#: Rasters of 9 x 8 values from a vector and the first values of the next one, and their bits in SQL.
+RASTER = "raster as (select a.vec_id, list_concat(a.embedding[1:64], b.embedding[1:8]) as v from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
+RASTER_DIFF = "list_sum([case when v[i + i // 8 + 1] > v[i + i // 8 + 2] then 1::hugeint << (63 - i)::int else 0::hugeint end for i in range(64)])"
+RASTER_MEAN = "list_sum([case when v[i + 1]::double > list_sum(v[1:64]::double[]) / 64 then 1::hugeint << (63 - i)::int else 0::hugeint end for i in range(64)])"
+
+
+@query(f"with {RASTER} select vec_id, lower(lpad(to_hex({RASTER_DIFF}::uhugeint), 16, '0')) as dhash, lower(lpad(to_hex({RASTER_MEAN}::uhugeint), 16, '0')) as ahash from raster")
+def raster_hashes(t):
+    """Both hashes of rasters: of 9 x 8 values for the differences, of its first 64 for the mean."""
+    following = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.slice("embedding", 1, 8).alias("more"))
+    raster = t.embeddings.join(following, "vec_id").select("vec_id", F.concat(F.slice("embedding", 1, 64), "more").alias("v"))
+    return raster.select("vec_id", H.dhash(F.col("v")).alias("dhash"), H.ahash(F.slice("v", 1, 64)).alias("ahash"))
+
+
 @query("select doc_id, sha256(coalesce(text, '')) as exact_hash from documents")
 def exact_hash(t):
     return t.documents.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("exact_hash"))
@@ -311,9 +325,8 @@ best as (select pending_id, arg_min(reviewed_id, (not exact, dh + ah, reviewed_i
 @query(f"with {PAIRS} select pending_id, reviewed_id, exact, dh, ah from pairs where not exact")
 def candidate_duplicates(t):
     """All pairs but the exact ones, of which each pending post has one at most."""
-    return D.candidate_pairs(*_fingerprints(t)).filter("not exact").join(
-        D.candidate_pairs(*_fingerprints(t)).filter("exact").select("pending_id", "reviewed_id"), ["pending_id", "reviewed_id"], "left_anti"
-    ).select("pending_id", "reviewed_id", "exact", "dh", "ah")
+    found = D.candidate_pairs(*_fingerprints(t)).groupBy("pending_id", "reviewed_id").agg(F.max("exact").alias("exact"), F.max("dh").alias("dh"), F.max("ah").alias("ah"))
+    return found.filter("not exact")
 
 
 #: Bits by which the rasters of pending images are changed, by class.
@@ -342,7 +355,8 @@ def pixel_difference(t):
     """The pixel difference of all pairs that match by their hashes."""
     pairs = D.near_pairs(*_fingerprints(t))
     exact = D.exact_pairs(*_fingerprints(t)).select("pending_id", "reviewed_id")
-    return D.pixel_differences(pairs.join(exact, ["pending_id", "reviewed_id"], "left_anti"), _rasters(t)).drop("exact")
+    pairs = D.written(pairs.join(exact, ["pending_id", "reviewed_id"], "left_anti"))
+    return D.pixel_differences(pairs, _rasters(t)).drop("exact")
 
 
 @query(f"with {PAIRS}, {PIXELS} select pending_id, reviewed_id, exact, dh, ah from checked")
