@@ -24,10 +24,14 @@ from .vectors import gathered, matrix, with_integers
 
 #: Pivots, and the rows among which they are picked: their choice changes the work, never a result.
 PIVOTS, PICKED_FROM = 64, 2048
-#: Vectors, about, that are bounded together, candidates that are scored at once, and bytes of the queries in a block.
+#: Vectors, about, that are bounded together, candidates that are scored at first, each next time four times as many, and bytes
+#: of the queries in a block.
 STRIP, STEP, BLOCK_BYTES = 4096, 64, 32_000_000
-#: Share of two squared norms by which a bound is raised, far beyond the rounding of distances.
-SLACK = 1e-9
+#: Pivots by which candidates are bounded before those below the floor go.
+AT_ONCE = 16
+#: Share of the largest squared distance by which a bound is raised: distances are floats, rounded by 2^-24, so that their
+#: differences' squares are wrong by 2^-22 of it at most, and their halves by 2^-23.
+SLACK = 2.0**-21
 
 
 def squared(x: np.ndarray) -> np.ndarray:
@@ -96,22 +100,74 @@ class Best:
             self.floor[q] = max(self.floor[q], found[order[-1]])
 
 
+class Strip:
+    """Vectors that are bounded together: their distances a row for each pivot, and what their scores need."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, d: np.ndarray):
+        self.ids, self.x, self.norms = ids, x, squared(x)
+        self.d = np.ascontiguousarray(d.T, dtype=np.float32)
+        self.near, self.far = self.d.min(axis=1), self.d.max(axis=1)
+        self.most = float(np.abs(x).max(initial=0))
+        self.doubles = x.astype(np.float64)
+
+    def scores(self, q: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Exact inner products of a query with some of the vectors, by doubles where all sums stay below 2^53."""
+        if float(np.abs(q).max(initial=0)) * self.most * len(q) >= 2.0**53:
+            return self.x[some] @ q
+        if 4 * len(some) > len(self.ids):
+            return (self.doubles @ q.astype(np.float64))[some].astype(np.int64)
+        return (self.doubles[some] @ q.astype(np.float64)).astype(np.int64)
+
+
 class Block:
     """Queries with their pivot distances and the least score that a result of theirs can have."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, d: np.ndarray, floor: np.ndarray):
-        self.ids, self.x, self.d, self.floor, self.norms = ids, x, d, floor, squared(x)
-
-    def bounds(self, q: int, x_norms: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """Upper bounds of a query's inner products with some vectors."""
-        below = np.abs(d - self.d[q]).max(axis=1)
-        return (self.norms[q] + x_norms - below * below) / 2 + SLACK * (self.norms[q] + x_norms) + 0.5
-
-    def strip_bounds(self, x_norms: np.ndarray, d: np.ndarray) -> np.ndarray:
+        self.ids, self.x, self.d, self.floor, self.norms = ids, x, d.astype(np.float32), floor, squared(x)
+        # the pivots of a query from the nearest on: they tell the most
+        self.order = np.argsort(d, axis=1, kind="stable")
+
+    def bounds(self, q: int, strip: Strip, floor: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in a strip whose upper bound by all pivots reaches the floor, and their bounds."""
+        left = np.arange(len(strip.ids))
+        below = np.zeros(len(left), dtype=np.float32)
+        slack = SLACK * max(float(strip.far.max()), float(self.d[q].max())) ** 2 + 0.5
+        upper = np.zeros(0)
+        for at in range(0, self.d.shape[1], AT_ONCE):
+            pivots = self.order[q, at : at + AT_ONCE]
+            d = strip.d[pivots] if len(left) == len(strip.ids) else strip.d[np.ix_(pivots, left)]
+            below = np.maximum(below, np.abs(d - self.d[q, pivots, None]).max(axis=0))
+            upper = (self.norms[q] + strip.norms[left] - below.astype(np.float64) ** 2) / 2 + slack
+            keep = upper >= floor
+            if not keep.all():
+                left, below, upper = left[keep], below[keep], upper[keep]
+            if not len(left):
+                break
+        return left, upper
+
+    def strip_bounds(self, strip: Strip) -> np.ndarray:
         """For each query an upper bound over a whole strip, from the ranges of its distances."""
-        below = np.maximum(np.maximum(d.min(axis=0) - self.d, self.d - d.max(axis=0)), 0).max(axis=1)
-        norms = self.norms + x_norms.max()
-        return (norms - below * below) / 2 + SLACK * norms + 0.5
+        below = np.maximum(np.maximum(strip.near - self.d, self.d - strip.far), 0).max(axis=1).astype(np.float64)
+        slack = SLACK * np.maximum(float(strip.far.max()), self.d.max(axis=1).astype(np.float64)) ** 2 + 0.5
+        return (self.norms + strip.norms.max() - below * below) / 2 + slack
+
+
+def search(block: Block, best: Best, strip: Strip) -> None:
+    """Candidates of a strip in the order of their bounds, some at a time, until no bound reaches the k-th score."""
+    for q in np.flatnonzero(block.strip_bounds(strip) >= best.floor):
+        left, upper = block.bounds(q, strip, best.floor[q])
+        other = strip.ids[left] != block.ids[q]
+        left, upper, step = left[other], upper[other], STEP
+        while len(left):
+            if len(left) > step:
+                part = np.argpartition(-upper, step)
+                some, left, upper = left[part[:step]], left[part[step:]], upper[part[step:]]
+            else:
+                some, left = left, left[:0]
+                upper = upper[:0]
+            best.add(q, strip.ids[some], strip.scores(block.x[q], some))
+            keep = upper >= best.floor[q]
+            left, upper, step = left[keep], upper[keep], 4 * step
 
 
 def searched(block, k: int):
@@ -121,19 +177,8 @@ def searched(block, k: int):
         b: Block = block.value
         best = Best(len(b.ids), k, b.floor)
         for batch in gathered(batches, STRIP):
-            if not batch.num_rows:
-                continue
-            ids, x, d = batch.column("vec_id").to_numpy(), matrix(batch.column("x")), matrix(batch.column("d"))
-            norms = squared(x)
-            for q in np.flatnonzero(b.strip_bounds(norms, d) >= best.floor):
-                bound = b.bounds(q, norms, d)
-                left = np.flatnonzero((bound >= best.floor[q]) & (ids != b.ids[q]))
-                left = left[np.argsort(-bound[left], kind="stable")]
-                for start in range(0, len(left), STEP):
-                    some = left[start : start + STEP]
-                    if bound[some[0]] < best.floor[q]:
-                        break
-                    best.add(q, ids[some], scores(b.x[q : q + 1], x[some])[0])
+            if batch.num_rows:
+                search(b, best, Strip(batch.column("vec_id").to_numpy(), matrix(batch.column("x")), matrix(batch.column("d"))))
         sizes = [len(i) for i in best.ids]
         if sum(sizes):
             columns = [np.repeat(b.ids, sizes), np.concatenate(best.ids), np.concatenate(best.scores)]
