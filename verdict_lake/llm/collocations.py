@@ -31,7 +31,7 @@ ABSORBED = 50
 ENDS = b".,;:!?\n\x0b\x0c\r"
 FOLDED = bytes.maketrans(bytes(range(65, 91)) + ENDS + b"\t", bytes(range(97, 123)) + b"." * len(ENDS) + b" ")
 #: Words that a task counts together, and rows that it returns at once.
-RUN, ROWS = 4_000_000, 100_000
+RUN, ROWS = 2_000_000, 100_000
 #: Bits of a bitmap, as a power of two.
 BITS = 23
 #: A language's first threshold leaves this many times the asked phrases above it, the next ones GROWTH times as many.
