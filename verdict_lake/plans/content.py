@@ -16,6 +16,8 @@ from ..operators import tags as G
 from ..operators.judging import voted_predictions
 from ..operators.queues import few, pending_judgments
 from ..operators.status import classify_state
+from ..operators.text_index import TextIndex, texts_of
+from ..session import scratch_folder
 from .posts import STATE_SQL
 from .registry import query
 from .votes import BOARD, COUNTS, LATEST, VOTES
@@ -95,6 +97,27 @@ def _searched(t):
     )
 
 
+#: A needle with wildcards, in upper case where the texts are not.
+NEEDLE = "ABOUT _77%4"
+
+
+@query(f"""select post_id from memes where title ilike '%{NEEDLE}%' or image_url ilike '%{NEEDLE}%' union select post_id from ground_truths where explanation ilike '%{NEEDLE}%'
+  union select post_id from comments where body ilike '%{NEEDLE}%' or author ilike '%{NEEDLE}%'""")
+def indexed_search(t):
+    """A search by the text index, which is built in two steps: some rows first, under older titles, then all."""
+    index = TextIndex(t.spark, scratch_folder(t.spark))
+    rows = [
+        texts_of("memes", t.memes, "post_id", ("title", "image_url")),
+        texts_of("ground_truths", t.ground_truths, "post_id", ("explanation",)),
+        texts_of("comments", t.comments, "comment_id", ("body", "author")),
+    ]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    every = every.groupBy("source", "key").agg(F.min(F.struct("post_id", "text")).alias("x")).select("source", "key", "x.*")
+    index.refresh(every.filter(F.pmod(F.xxhash64("key"), F.lit(3)) > 0).withColumn("text", F.when(F.col("source") == "memes.title", F.lit("about 177 4")).otherwise(F.col("text"))))
+    index.refresh(every)
+    return index.search(NEEDLE)
+
+
 @query(f"""with st as ({STATE_SQL}), {CLASS} select post_id from st where state = 'validated' and post_id in (select post_id from predictions where error is null) and post_id in (select post_id from cls where verdict_class = 'mixed')
   and post_id in (select post_id from meme_tags) order by case when lower(post_id) = 'p21' then 0 else 1 end, post_id desc limit 3000""")
 def inspect_filter(t):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import merge as M
 from ..operators import queues as Q
 from ..operators.judging import latest_per_judge
+from ..operators.keyed_table import KeyedTable
+from ..session import scratch_folder
 from .registry import query
 from .votes import LATEST
 
@@ -133,6 +135,41 @@ def merge_auto_exclusions(t):
     return M.merge(t.reviews, new, ["post_id"], "insert_if_absent").select("post_id", "merge_action", "reason")
 
 
+def _stored(t) -> KeyedTable:
+    """The target as a stored table in buckets."""
+    table = KeyedTable(t.spark, scratch_folder(t.spark), "id long, v string, error string, created_at string", ["id"], buckets=32)
+    table.merge(_target(t).withColumn("seq", F.lit(0)), "replace")
+    return table
+
+
+def _stored_sql(use: str) -> str:
+    return f"select id, v, error, created_at from ({merge_sql(use)})"
+
+
+@query(_stored_sql("has_new"))
+def stored_merge_replace(t):
+    """A stored table after a merge, and after the same one again."""
+    table = _stored(t)
+    for _ in range(2):
+        table.merge(_updates(t), "replace")
+    return table.read()
+
+
+@query(_stored_sql("has_new and (not has_old or oe is not null)"))
+def stored_merge_only_failures(t):
+    table = _stored(t)
+    table.merge(_updates(t), "replace_only_failures", failed=F.col("old.error").isNotNull())
+    return table.read()
+
+
+@query(f"select id, v, error, created_at from ({merge_sql('has_new')}) where id not in (select prediction_id from judgments where id % 7 = 0)")
+def stored_delete(t):
+    table = _stored(t)
+    table.merge(_updates(t), "replace")
+    table.delete(t.judgments.filter("id % 7 = 0").selectExpr("prediction_id as id"))
+    return table.read()
+
+
 @query(merge_sql("has_new"))
 def merge_replace(t):
     return M.merge(_target(t), _updates(t), ["id"], "replace")
