@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import workers_find_package
+from ..session import scratch_folder
 from .queues import within, without
 
 # Keys that no published row may have at any depth.
@@ -73,30 +69,36 @@ def audit_source_ids(sources: DataFrame, comments: DataFrame) -> DataFrame:
     return rows.filter("not ok").select("post_id", F.lit("not an array of strings").alias("problem")).unionByName(unknown.select("post_id", F.lit("unknown comment").alias("problem")))
 
 
-def keys_of(text: str | None) -> list[str]:
-    """Forbidden keys at any depth of a JSON text."""
-    try:
-        todo = [json.loads(text or "null")]
-    except ValueError:
-        return ["(not JSON)"]
-    bad = set()
-    while todo:
-        x = todo.pop()
-        if isinstance(x, dict):
-            bad.update(k for k in x if k in FORBIDDEN_KEYS)
-            todo += x.values()
-        elif isinstance(x, list):
-            todo += x
-    return sorted(bad)
+def may_name(text: str) -> Column:
+    """Whether a JSON text may have a forbidden key: a scan of the text tells most rows apart."""
+    return F.rlike(text, F.lit('"(' + "|".join(FORBIDDEN_KEYS) + r')"\s*:'))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def audit_export_keys(lines: DataFrame) -> DataFrame:
-    """key, n: forbidden keys of exported rows (value: a JSON text a row) at any depth, and how many rows have them."""
-    workers_find_package(lines.sparkSession)
-    found = F.pandas_udf(lambda texts: pd.Series([keys_of(t) for t in texts]), T.ArrayType(T.StringType()))
-    # most rows name no such key at all, which one scan of the text tells
-    maybe = F.rlike("value", F.lit('"(' + "|".join(FORBIDDEN_KEYS) + r')"\s*:'))
-    return lines.filter(maybe).select(F.explode(found("value")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    """key, n: forbidden keys of exported rows (value: a JSON text a row) at any depth, and how many rows have them.
+
+    A round a level: the objects and lists that may still hold such a key become a row for each of their values. What names a
+    key and is no JSON, or repeats a key within an object, counts as "(not JSON)".
+    """
+    spark = lines.sparkSession
+    level = kept(lines.filter(may_name("value")).select(F.monotonically_increasing_id().alias("row"), "value"))
+    broken = F.try_parse_json("value").isNull()
+    found = level.filter(broken).select("row", F.lit("(not JSON)").alias("key"))
+    level = level.filter(~broken)
+    while not level.isEmpty():
+        parsed = level.select("row", F.try_parse_json("value").alias("v"))
+        inner = parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("row", "key", F.to_json(F.col("value")).alias("value"))
+        named = F.coalesce(F.col("key").isin(*FORBIDDEN_KEYS), F.lit(False))
+        inner = kept(inner.filter(named | may_name("value")))
+        found = found.unionByName(inner.filter(named).select("row", "key"))
+        level = inner.filter(may_name("value")).select("row", "value")
+    return found.distinct().groupBy("key").agg(F.count("*").alias("n"))
 
 
 def audit_export_fk(memes: DataFrame, predictions: DataFrame, judgments: DataFrame, images: DataFrame, expected: int) -> DataFrame:
