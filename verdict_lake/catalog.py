@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import content, files, posts, votes, work  # noqa: F401  registers their queries
+from .plans import content, files, flags, posts, votes, work  # noqa: F401  registers their queries
 from .plans.registry import ORACLES, QUERIES
 
 
