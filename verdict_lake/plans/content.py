@@ -418,6 +418,23 @@ def create_snapshot(t):
     return X.create_snapshot(X.curated_pairs(t.ground_truths, t.reviews), old)
 
 
+TREE = """p as (select post_id, coalesce(explanation, '') as explanation from ground_truths where post_id in (select post_id from reviews where status = 'validated')),
+  leaves as (select substr(sha256(post_id), 1, 4) as leaf, sha256(string_agg(d, '' order by d)) as d from (select post_id, sha256(post_id || chr(31) || sha256(explanation)) as d from p) group by all),
+  nodes as (select substr(leaf, 1, 2) as node, sha256(string_agg(leaf || d, '' order by leaf || d)) as d from leaves group by all),
+  tree as (select substr(sha256(coalesce(string_agg(node || d, '' order by node || d), '')), 1, 16) as dataset_version from nodes)"""
+
+
+@query(f"with {TREE} select dataset_version from tree")
+def tree_version(t):
+    return X.tree_version(X.curated_pairs(t.ground_truths, t.reviews))
+
+
+@query(f"with {TREE} select 'v_' || dataset_version as snapshot_id, dataset_version, (select count(*) from p) as posts from tree where (select count(*) from p) > 0")
+def create_tree_snapshot(t):
+    old = t.snapshot_memes.select(F.col("snapshot_id").alias("dataset_version")).distinct()
+    return X.create_snapshot(X.curated_pairs(t.ground_truths, t.reviews), old, X.tree_version)
+
+
 @query("select batch_id as snapshot_id from (select batch_id, max(position) as created_at from batch_memes group by batch_id) where starts_with(batch_id, 'b1') order by batch_id <> 'b1', created_at desc, batch_id limit 1")
 def find_snapshot(t):
     listed = t.batch_memes.groupBy(F.col("batch_id").alias("snapshot_id")).agg(F.max("position").alias("created_at"))
