@@ -26,3 +26,13 @@ def test_more_names_than_three_of_the_pool_and_symbols_alone_come_to_an_end(fram
 def test_a_secret_of_symbols_is_replaced():
     text, n = pii.replaced("password: ********", {})
     assert n == 1 and "********" not in text
+
+
+def test_listed_names_that_are_all_in_use_get_names_of_one_word(frame):
+    found = [(f"given:{gender}:{script}", name.casefold()) for (script, gender), names in pii.GIVEN.items() for name in names]
+    new = {(r.kind, r.canon): pii.surrogate(r.kind, r.canon, r.attempt) for r in pii.attempts_needed(frame("kind string, canon string", *found)).collect()}
+    assert len(new) == len(found) == 56 and len(set(new.values())) == 56
+    assert not set(new.values()) & {canon for _, canon in found}
+    for (kind, _), name in new.items():
+        _, gender, script = kind.split(":")
+        assert name.isalpha() and len(name) <= 14 and pii.script_of(name) == script and name.endswith(pii.ENDINGS[script, gender])

@@ -46,6 +46,13 @@ SYLLABLES = {
     "latin": ("ba", "den", "for", "gal", "har", "kin", "lan", "mor", "nel", "pas", "ren", "sol", "tam", "ver", "wick", "zan"),
     "cyrillic": ("ба", "вол", "гор", "дем", "жар", "зим", "ков", "лаз", "мор", "нов", "пет", "рад", "сол", "тар", "хар", "чер"),
 }
+#: Ends of made-up given names by script and gender.
+ENDINGS = {
+    ("latin", "m"): ("o", "an", "us", "ric", "en", "el"),
+    ("latin", "f"): ("a", "ina", "elle", "ia", "ette", "is"),
+    ("cyrillic", "m"): ("ан", "ей", "ил", "ор", "ий", "ем"),
+    ("cyrillic", "f"): ("а", "ия", "ина", "ья", "ета", "она"),
+}
 #: Attempts in which numbers keep their length; later ones have more digits, as no other of that length may be free.
 LONG = 16
 #: What replaces secrets of symbols alone.
@@ -198,10 +205,14 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
         return canon[:lead] + "".join(str(stream.below(10)) for _ in range(len(canon) - lead + max(0, attempt - LONG)))
     if kind.startswith("given"):
         _, gender, script = kind.split(":")
-        pool = GIVEN[(script, gender)] if gender in "mf" else GIVEN[(script, "m")] + GIVEN[(script, "f")]
-        # after the pool's own names come compounds, longer with each attempt, so that there are always more names
-        names = [pool[stream.below(len(pool))] for _ in range(1 + attempt)]
-        return "-".join(names).casefold()
+        of = lambda table: table[(script, gender)] if gender in "mf" else table[(script, "m")] + table[(script, "f")]
+        if not attempt:
+            return of(GIVEN)[stream.below(len(of(GIVEN)))].casefold()
+        # where that is a real name of the corpus, or another's, a name is made up of one word: longer from time to time, so
+        # that there are always more
+        parts = SYLLABLES[script]
+        stem = "".join(parts[stream.below(len(parts))] for _ in range(2 + (attempt - 1) // 4))
+        return stem + of(ENDINGS)[stream.below(len(of(ENDINGS)))]
     if kind.startswith("family"):
         parts = SYLLABLES[kind.split(":")[1]]
         return "".join(parts[stream.below(len(parts))] for _ in range(4 + attempt))
