@@ -246,7 +246,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thre
     """docs with matches: array of (item_id, n_shared, n_item) of the test items that the text contains, by id (null last).
 
     Containment is the share of an item's distinct shingles of width words that occur in the document. Items of fewer
-    words are one shingle of all their words; items without words match nothing; null texts are empty; repeated items
+    words are one shingle of all their words; items without words match nothing; null texts are empty, texts of any length are
+    searched whole; repeated items
     are reported each, and so are repeated rows of docs. A column of docs named matches is replaced; others stay.
     """
     python_ready(docs.sparkSession)

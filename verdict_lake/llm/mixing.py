@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
 def with_copies(docs: DataFrame, seed: str = "mix", **how) -> DataFrame:
     """docs with size, source_size, target and copies (int): how often the mix takes the document.
 
-    Null texts have size 0, a null source is a source of its own. The draw depends on the doc_id alone, so reruns agree and
+    Null texts have size 0, texts of any length count whole, a null source is a source of its own. The draw depends on the doc_id alone, so reruns agree and
     rows that repeat an id draw alike; without an id it depends on the text. Columns that already have these names are
     replaced; others stay, whatever their names.
     """

@@ -68,7 +68,7 @@ def without_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A word goes if it is in a window of length words whose words also start in a document of a smaller doc_id; windows
     are judged on the input. Null texts have no words; a null doc_id is smaller than all; repeated rows have one doc_id
-    and so don't remove each other.
+    and so don't remove each other. Texts of any length are searched whole.
     """
     python_ready(docs.sparkSession)
     texts = keyed(docs)

@@ -58,7 +58,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A byte goes if it is in a string of length bytes that starts anywhere else too, in this document or another;
     overlaps count and strings are judged on the input. Null texts are empty; texts under the length keep all; a row
-    that repeats another is another place. Kept bytes need not be whole characters.
+    that repeats another is another place. Texts of any length are searched whole. Kept bytes need not be whole characters.
     """
     python_ready(docs.sparkSession)
     texts = keyed(docs)
