@@ -5,11 +5,12 @@ one in every document (coreference), whatever the mention's punctuation or case.
 titles: of the gender that they name, or of neither if they name both or none. The distinct entities are checked for
 collisions: where two share a surrogate, or one equals a real entity, all but one move to their next attempt, until
 replacements are as distinct as what they replace. So that this ends, the space of replacements of every kind grows with the
-attempt; only IPv4 addresses stay within their 254^4.
+attempt; only IP addresses stay within their 254^4 and 2^128.
 
-Detected: secrets after a key word, e-mail addresses, IPv4, card numbers (Luhn), phone numbers with a leading + or an area code in
-parentheses, SSNs with hyphens, and names after a listed title or from the listed given names. Not detected: other phone
-formats (555-123-4567, 030 1234567), IPv6, IBAN, and all other names.
+Detected: secrets after a key word, e-mail addresses, IPv4, IPv6 of four groups or more, IBANs (checksum), card numbers (Luhn), phone
+numbers with a leading +, an area code in parentheses or in three parts of 3, 3 and 4 digits (555-123-4567, 555.123.4567), SSNs
+with hyphens, and names after a listed title or from the listed given names. Not detected: other phone formats (030
+1234567), shorter IPv6, and all other names.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -65,8 +67,10 @@ PATTERNS = (
     ("secret", re.compile(r"(?i)\b(?:token|password|passwd|secret|api[_-]?key)\s?[=:]\s?[\"']?([^\s\"']{6,})")),
     ("email", re.compile(r"(?<![\w.+-])([\w+-]+(?:\.[\w+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})")),
     ("ip", re.compile(r"(?<![\w.])((?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\d)")),
+    ("ipv6", re.compile(r"(?<![\w:.])((?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4})(?![\w:]|\.\d)")),
+    ("iban", re.compile(r"(?<!\w)([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")),
     ("card", re.compile(r"(?<!\w)(?<!\d[.-])(\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])")),
-    ("phone", re.compile(r"(?<![\w+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{4})(?!\w)")),
+    ("phone", re.compile(r"(?<![\w+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{4})(?!\w)|(?<![\w.+-])(?P<parts>\d{3}(?P<dot>[.-])\d{3}(?P=dot)\d{4})(?![\w-]|\.\d)")),
     ("ssn", re.compile(r"(?<![\w-])(\d{3}-\d{2}-\d{4})(?![\w-])")),
 )
 TITLED = re.compile(rf"(?<!\w)({TITLE})\.? ({CAPITAL}(?: {CAPITAL}){{0,2}})")
@@ -98,6 +102,20 @@ def luhn(digits: str) -> int:
     return sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 if c > "4" else 2 * int(c)) for k, c in enumerate(reversed(digits))) % 10
 
 
+def iban_sum(iban: str) -> int:
+    """What a valid IBAN, without spaces, has at 1."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def exploded(address: str) -> str | None:
+    """All 32 digits of an IPv6 address, in lower case; None if it is none, or has fewer than four groups."""
+    try:
+        found = ipaddress.IPv6Address(address).exploded
+    except ValueError:
+        return None
+    return found if sum(map(bool, address.split(":"))) >= 4 else None
+
+
 def script_of(word: str) -> str:
     return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
 
@@ -121,14 +139,22 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     may_hold = {"secret": any(w in folded for w in SECRET_WORDS), "email": "@" in text}
     for kind, pattern in PATTERNS:
         for m in pattern.finditer(text) if may_hold.get(kind, numbers) else ():
-            value = m.group(1)
+            value, place = m.group(1), m.span(1)
+            if value is None:
+                value, place = m.group("parts"), m.span("parts")
             if kind in ("card", "phone", "ssn"):
                 canon = re.sub(r"\D", "", value)
+            elif kind == "ipv6":
+                canon = exploded(value)
+            elif kind == "iban":
+                canon = value.replace(" ", "")
             else:
                 canon = value.lower() if kind == "email" else value
             if kind == "card" and luhn(canon) or kind == "ip" and any(int(x) > 255 for x in value.split(".")):
                 continue
-            add(m.start(1), m.end(1), kind, canon)
+            if canon is None or kind == "iban" and (len(canon) > 34 or iban_sum(canon) != 1):
+                continue
+            add(*place, kind, canon)
     places: dict[re.Pattern, set[int]] = {TITLED: set(), KNOWN: set()}
     for end, (length, patterns) in NAMES.iter(text):
         for pattern in patterns:
@@ -197,6 +223,11 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
         return f"{local}{''.join(SIGNS[stream.below(len(SIGNS))] for _ in range(attempt - 2))}@{name}.{top}"
     if kind == "ip":
         return ".".join(str(1 + stream.below(254)) for _ in range(4))
+    if kind == "ipv6":
+        return ":".join("".join("0123456789abcdef"[stream.below(16)] for _ in range(4)) for _ in range(8))
+    if kind == "iban":
+        account = "".join(scrambled(c, stream) for c in canon[4:]) + "".join(str(stream.below(10)) for _ in range(attempt - LONG))
+        return f"{canon[:2]}{98 - iban_sum(canon[:2] + '00' + account):02d}{account}"
     if kind == "card":
         digits = canon[0] + "".join(str(stream.below(10)) for _ in range(len(canon) - 2 + max(0, attempt - LONG)))
         return digits + str(next(d for d in range(10) if luhn(f"{digits}{d}") == 0))
@@ -230,6 +261,11 @@ def in_format(kind: str, mention: str, canon: str) -> str:
     if kind in ("card", "phone", "ssn"):
         digits = iter(canon)
         return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
+    if kind == "iban":
+        signs = iter(canon)
+        return "".join(next(signs) if c != " " else c for c in mention) + "".join(signs)
+    if kind == "ipv6":
+        return canon.upper() if mention.isupper() else canon
     if kind.startswith(("given", "family")):
         return canon.upper() if mention.isupper() and len(mention) > 1 else "-".join(p[:1].upper() + p[1:] for p in canon.split("-"))
     if kind == "email":
