@@ -113,6 +113,23 @@ def test_decontamination_by_join_and_without_rows(frame, docs, monkeypatch):
     assert decontam.decontam_report(docs.limit(0), benchmark).count() == 0
 
 
+def test_a_phrase_of_all_items_and_documents_is_in_no_signature(frame, monkeypatch):
+    draw = random.Random(6)
+    phrase = "as an example of this"
+    own = [" ".join(f"u{k}.{draw.randrange(10**6)}" for _ in range(20)) for k in range(30)]
+    items = [(k, f"{phrase} {body}") for k, body in enumerate(own)]
+    texts = [(k, f"{phrase} {draw.randrange(99)} " + (own[k] if k % 4 == 0 else f"other words {k} here")) for k in range(30)]
+    item_texts = frame("item_id long, text string", *items).select(decontam.named().alias("item"), "text")
+    found = decontam.rare_signatures(item_texts, 5, 0.8)
+    most = found.groupBy("hash").count().agg(F.max("count")).first()[0]
+    sizes = {r["count"] for r in found.groupBy("item").count().collect()}
+    assert most == 1 and sizes == {decontam.signature_size(21, 0.8)}
+    benchmark, df = frame("item_id long, text string", *items), frame("doc_id long, text string", *texts)
+    want = rows(decontam.decontam_report(df, benchmark))
+    monkeypatch.setattr(decontam, "SENT_BYTES", -1)
+    assert rows(decontam.decontam_report(df, benchmark)) == want and len(want) == 8
+
+
 def test_items_in_stretches(monkeypatch):
     monkeypatch.setattr(decontam, "STEP", 7)
     body = [f"t{k}" for k in range(100)]

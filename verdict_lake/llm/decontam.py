@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,10 +82,15 @@ def item_shingles(line: bytes, width: int) -> tuple[int, dict[bytes, int]]:
     return own, {line[a:b]: int(h) for hs, ss, es in shingle_hashes(line, own) for h, a, b in zip(hs, ss.tolist(), es.tolist())}
 
 
+def signature_size(n: int, threshold: float) -> int:
+    """So many of the hashes of an item of n shingles that every document that holds enough of it has one of them."""
+    largest = (1 << size_class(n)) - 1
+    return largest - needed(largest, threshold) + 1
+
+
 def signature(hashes: list[int], threshold: float) -> list[int]:
     """The smallest hashes, one of which is in every document that holds enough of the item."""
-    largest = (1 << size_class(len(hashes))) - 1
-    return sorted(hashes)[: largest - needed(largest, threshold) + 1]
+    return sorted(hashes)[: signature_size(len(hashes), threshold)]
 
 
 class Items:
@@ -149,8 +154,8 @@ def shingles_of(line: bytes, width: int) -> set[bytes]:
     return {line[a:b] for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())}
 
 
-def signature_rows(width: int, threshold: float):
-    """item, width, need, hash of each item's (item, text) signature."""
+def hash_rows(width: int, threshold: float):
+    """item, width, need, size (of its signature), hash of all distinct shingles of each item (item, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,14 +164,28 @@ def signature_rows(width: int, threshold: float):
                 line = normal(text)
                 if line:
                     own, found = item_shingles(line, width)
-                    rows += [(item, own, needed(len(found), threshold), h) for h in signature(list(found.values()), threshold)]
-            items, widths, needs, hashes = zip(*rows) if rows else ((), (), (), ())
-            columns = [pa.array(items, pa.binary()), pa.array(widths, pa.int32()), pa.array(needs, pa.int64()), pa.array(np.array(hashes, dtype=U).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["item", "width", "need", "hash"])
+                    need, size = needed(len(found), threshold), signature_size(len(found), threshold)
+                    rows += [(item, own, need, size, h) for h in found.values()]
+            items, widths, needs, sizes, hashes = zip(*rows) if rows else ((), (), (), (), ())
+            columns = [pa.array(items, pa.binary()), pa.array(widths, pa.int32()), pa.array(needs, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(hashes, dtype=U).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["item", "width", "need", "size", "hash"])
 
     return run
 
 
+def rare_signatures(item_texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """item, width, need, hash: for each item (item, text) the hashes that the fewest items have, the smallest of equals.
+
+    Any as many of an item's hashes would do. A phrase that very many items share is in hardly a signature, so that the
+    documents that hold it meet few items by it.
+    """
+    every = stored(item_texts.mapInArrow(hash_rows(width, threshold), "item binary, width int, need long, size int, hash long"))
+    shared = every.groupBy("width", "hash").agg(F.count("*").alias("items")).filter("items > 1")
+    order = Window.partitionBy("item").orderBy(F.coalesce("items", F.lit(1)), "hash")
+    ranked = every.join(shared, ["width", "hash"], "left").withColumn("rank", F.row_number().over(order))
+    return ranked.filter("rank <= size").select("item", "width", "need", "hash")
+
+
 def possible_hashes(widths: list[int], slots):
     """doc, width, n, hash of the shingles of texts (doc, text) whose slot is taken; n: how many shingles the text has."""
 
@@ -218,7 +237,7 @@ def pairs_by_join(docs: DataFrame, items: DataFrame, width: int, threshold: floa
     """doc, item, n_shared, n_item of all texts of docs and items (named by named()), of any number of both."""
     spark = docs.sparkSession
     item_texts = stored(items.select(named().alias("item"), "text").dropDuplicates(["item"]))
-    signatures = stored(item_texts.mapInArrow(signature_rows(width, threshold), "item binary, width int, need long, hash long"))
+    signatures = stored(rare_signatures(item_texts, width, threshold))
     slot = F.shiftrightunsigned("hash", 64 - SLOT_BITS)
     # a row for each 64 slots, 2^18 at most whatever the number of items
     words = signatures.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - SLOT_BITS}) & 63 as int))")).alias("bits")).collect()
