@@ -43,16 +43,28 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def band_pairs(bits: Column, changed: int, tag: str) -> list[Column]:
-    """(tag, band) structs of all pairs of the changed + 2 parts into which 64 bits are cut."""
+def bands(changed: int) -> list[tuple[int, int]]:
+    """The first bit and the width of each of the changed + 2 parts into which 64 bits are cut."""
     parts = changed + 2
     edges = [64 * k // parts for k in range(parts + 1)]
-    cut = [(F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << (b - a)) - 1)), b - a) for a, b in zip(edges, edges[1:])]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def band_pairs(bits: Column, changed: int, tag: str) -> list[Column]:
+    """(tag, band) structs of all pairs of the parts of 64 bits."""
+    cut = [(F.shiftrightunsigned(bits, a).bitwiseAND(F.lit((1 << width) - 1)), width) for a, width in bands(changed)]
     return [
-        F.struct(F.lit(f"{tag}{i}.{j}").alias("tag"), F.shiftleft(cut[i][0], cut[j][1]).bitwiseOR(cut[j][0]).alias("band")) for i, j in combinations(range(parts), 2)
+        F.struct(F.lit(f"{tag}{i}.{j}").alias("tag"), F.shiftleft(cut[i][0], cut[j][1]).bitwiseOR(cut[j][0]).alias("band")) for i, j in combinations(range(len(cut)), 2)
     ]
 
 
+def shared_tags(differing: Column, changed: int, tag: str) -> list[Column]:
+    """The tags of the pairs of parts in which no bit differs, in order; null for the others."""
+    masks = [((1 << width) - 1) << a for a, width in bands(changed)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [F.when(differing.bitwiseAND(F.lit(signed(masks[i] | masks[j]))) == 0, F.lit(f"{tag}{i}.{j}")) for i, j in combinations(range(len(masks)), 2)]
+
+
 def classes(prints: DataFrame, *more: str) -> DataFrame:
     """prints of equal hashes and shape (and more) as one row under their smallest post_id, so that a hash that very many
     images share is one key's one row."""
@@ -98,15 +110,19 @@ def large_bands(prints: DataFrame, least: int = 10_000, dhash_bits: int = DHASH,
 def near_pairs(pending: DataFrame, reviewed: DataFrame, dhash_bits: int = DHASH, wide_bits: int = WIDE_DHASH, ahash_bits: int = AHASH) -> DataFrame:
     """pending_id, reviewed_id, exact, dh, ah of all pairs of fingerprints that match but for the pixels.
 
-    They meet on a pair of bands and an aspect bucket; the pending side looks into the neighbouring buckets too.
+    They meet on a pair of bands and an aspect bucket; the pending side looks into the neighbouring buckets too. Of the bands
+    on which two fingerprints meet the first alone makes a row, so that near copies are a row a pair. Fingerprints have a
+    row a post_id.
     """
     c = F.col
     asked = banded(pending, "q", dhash_bits, ahash_bits, around=1)
-    dh, ah = (F.bit_count(c(f"q_{x}").bitwiseXOR(c(f"r_{x}"))) for x in "da")
+    d, a = (c(f"q_{x}").bitwiseXOR(c(f"r_{x}")) for x in "da")
+    dh, ah = F.bit_count(d), F.bit_count(a)
+    first = F.coalesce(*shared_tags(d, dhash_bits, "d"), *shared_tags(a, ahash_bits, "a"))
     met = asked.join(banded(reviewed, "r", dhash_bits, ahash_bits), ["tag", "band", "bucket"]).withColumns({"dh": dh, "ah": ah})
     close = aspect_close(c("q_w"), c("q_h"), c("r_w"), c("r_h")) & ((c("dh") <= dhash_bits) | (c("dh") <= wide_bits) & (c("ah") <= ahash_bits))
-    pairs = met.filter(close & (c("q_id") != c("r_id")))
-    return pairs.select(c("q_id").alias("pending_id"), c("r_id").alias("reviewed_id"), F.lit(False).alias("exact"), "dh", "ah").distinct()
+    pairs = met.filter(close & (c("tag") == first) & (c("q_id") != c("r_id")))
+    return pairs.select(c("q_id").alias("pending_id"), c("r_id").alias("reviewed_id"), F.lit(False).alias("exact"), "dh", "ah")
 
 
 def members(prints: DataFrame, *more: str) -> DataFrame:

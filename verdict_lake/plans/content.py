@@ -320,7 +320,8 @@ _FLIPS = (0, 7, 255, 255, 8191)
 
 
 def _fingerprints(t):
-    """Reviewed: even vectors; pending: all, with planted differences by class."""
+    """Pending and reviewed fingerprints, stored as a pipeline has them. Reviewed: even vectors; pending: all, with planted
+    differences by class."""
     rows = _prints(t)
     flip = F.element_at(F.array(*(F.lit(x).cast("bigint") for x in _FLIPS)), (F.col("vec_id") % 5 + 1).cast("int"))
     hexa = lambda bits: F.lower(F.lpad(F.hex(bits), 16, "0"))
@@ -335,7 +336,7 @@ def _fingerprints(t):
             **shape,
         }
     )
-    return pending, reviewed
+    return D.written(pending), D.written(reviewed)
 
 
 PAIRS = f"""h as (select vec_id, {DIFF} as d, {MEAN} as a from embeddings), q as (select 'q' || vec_id as q, vec_id as qv, xor(d, [0, 7, 255, 255, 8191][vec_id % 5 + 1]::bigint) as d, xor(a, case when vec_id % 5 = 3 then 7 else 0 end::bigint) as a from h),
@@ -362,7 +363,7 @@ def _rasters(t):
     shift = F.element_at(F.array(*(F.lit(x).cast("bigint") for x in _SHIFTS)), (F.col("vec_id") % 3 + 1).cast("int"))
     raster = lambda of: F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 63), lambda x: F.lpad(F.hex(of(value(x))), 2, "0")), ""))
     pending = t.embeddings.select(F.concat(F.lit("q"), "vec_id").alias("post_id"), raster(lambda v: v.bitwiseXOR(shift)).alias("raster"))
-    return pending.unionByName(t.embeddings.select(F.concat(F.lit("r"), "vec_id").alias("post_id"), raster(lambda v: v).alias("raster")))
+    return D.written(pending.unionByName(t.embeddings.select(F.concat(F.lit("r"), "vec_id").alias("post_id"), raster(lambda v: v).alias("raster"))))
 
 
 PIXELS = """e as (select vec_id, list_transform(range(1, 64), lambda i: ((trunc(embedding[i]::double * 100)::bigint % 256) + 256) % 256) as p from embeddings),
@@ -376,8 +377,9 @@ checked as (select pending_id, arg_min(reviewed_id, (not exact, dh + ah, reviewe
 @query(f"with {PAIRS}, {PIXELS} select pending_id, reviewed_id, dh, ah, diff from diffs where not exact")
 def pixel_difference(t):
     """The pixel difference of all pairs that match by their hashes."""
-    pairs = D.near_pairs(*_fingerprints(t))
-    exact = D.exact_pairs(*_fingerprints(t)).select("pending_id", "reviewed_id")
+    prints = _fingerprints(t)
+    pairs = D.near_pairs(*prints)
+    exact = D.exact_pairs(*prints).select("pending_id", "reviewed_id")
     pairs = D.written(pairs.join(exact, ["pending_id", "reviewed_id"], "left_anti"))
     return D.pixel_differences(pairs, _rasters(t)).drop("exact")
 
