@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "labels"):
+    for t in ("documents", "embeddings", "benchmark", "conversations", "labels"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     a, b = queries.QUERIES[name](spark, DATA).toPandas(), con.sql(queries.ORACLES[name]).df()
     columns = sorted(a.columns)
