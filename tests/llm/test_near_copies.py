@@ -72,7 +72,7 @@ def test_large_groups_of_near_copies_and_tiny_chunks(frame, monkeypatch):
     # a chain: neighbours are similar, its ends are not
     chain = [f"c{k}" for k in range(100)]
     texts += [" ".join([*chain[k * 6 :], *(f"d{j}" for j in range(k * 6))]) for k in range(8)]
-    monkeypatch.setattr(simhash, "CHUNK", 16)
+    monkeypatch.setattr(simhash, "KEY_CHUNK", 16)
     monkeypatch.setattr(simhash, "BLOCK", 200)
     df = docs_of(frame, texts)
     assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == brute_kept(texts)

@@ -5,8 +5,9 @@ have counts that differ by at most r in all, so all other pairs of tiles are ski
 of bounded size; pairs of chunks are listed first, without their fingerprints, and dealt by both names, so that a large
 tile is many rows; a task compares two chunks by numpy exclusive-or and bit counts.
 
-near_groups links 64-bit fingerprints within a radius. near_dedup asks for a Jaccard similarity of the shingle sets: there
-longer fingerprints propose pairs, sets too different in size are not compared, and the sets themselves decide.
+near_groups links 64-bit fingerprints within a radius by these tiles of all nodes. near_dedup asks for a Jaccard similarity of
+the shingle sets. All pairs of tiles would be quadratic there, as its radius is wide and skips few, so a tile is what shares a
+key of smallest hashes (MinHash bands) instead: longer fingerprints are compared within it, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -34,16 +35,20 @@ CHUNK, STRIP = 8192, 32
 #: 16 % of the bits differ, 10.3 of 64 (deviation 2.9) and 41.2 of 256 (5.9); of sets of 4 and 5 shingles 19 %, 12.0 and
 #: 48.0; of unrelated texts half.
 WIDTH, LEAST, WORDS = 5, 0.8, 4
-#: Most differing bits of the first word and of all words of a proposed pair: of all sets, and of sets of size class
-#: SMALL_CLASS or less (5 shingles). By the binomial tails the worst sizes miss 2 pairs in 10,000.
-RADII, SMALL_RADII, SMALL_CLASS = (22, 64), (24, 80), 7
-#: Population counts in one tile of near_dedup.
-BAND = 8
+#: Most differing bits of the first word and of all words of a proposed pair: of all sets, and of those where one has SMALL
+#: shingles or fewer. By the binomial tails the worst sizes miss 2 pairs in 10,000.
+RADII, SMALL_RADII, SMALL = (22, 64), (24, 80), 5
+#: Keys of a set, and the smallest hashes in each. Sets of similarity s share a key with probability s^4, so that
+#: (1 - 0.8^4)^20 = 0.00003 of the pairs at 0.8 share none.
+KEYS, ROWS = 20, 4
+#: Keys by which sets are joined with a few of their neighbours before all are compared, and sets in a chunk of one key.
+FIRST_KEYS, KEY_CHUNK = 4, 2048
 #: Groups among which the partners of one node are dealt when they are verified.
 SALTS = 64
 #: Shingle hashes of one side of a group that is verified in a task, and values of a matrix there.
 BLOCK, CELLS = 200_000, 1 << 22
 FLIPS = np.concatenate([np.zeros(1, U), scattered(np.arange(1, WORDS, dtype=U) * U(BASE))])
+TIMES = scattered(np.arange(WORDS, WORDS + KEYS * ROWS, dtype=U) * U(BASE)) | U(1)
 #: Shingles whose bits are summed at once.
 STEP = 1 << 16
 TOP = (1 << 63) - 1
@@ -72,11 +77,11 @@ def simhash_of(texts: pd.Series) -> pd.Series:
     return pd.Series([simhash(t or "") for t in texts], dtype="int64")
 
 
-def counts_of(fp: Column, parts: int, band: int = 1) -> list[Column]:
-    """Bands of population counts of the fingerprint's equal parts."""
+def counts_of(fp: Column, parts: int) -> list[Column]:
+    """Population counts of the fingerprint's equal parts."""
     bits = 64 // parts
-    part = lambda k: F.shiftrightunsigned(fp, bits * k).bitwiseAND(F.lit((1 << bits) - 1)) if parts > 1 else fp
-    return [F.floor(F.bit_count(part(k)) / band).cast("int") for k in range(parts)]
+    part = lambda k: F.shiftrightunsigned(fp, bits * k).bitwiseAND(F.lit((1 << bits) - 1))
+    return [F.bit_count(part(k)).cast("int") for k in range(parts)]
 
 
 def forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -114,83 +119,131 @@ def near(a: list[np.ndarray], b: list[np.ndarray], first: int, radius: int, same
     return np.concatenate(left), np.concatenate(right)
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a row each in (a, b) in which every node of them occurs: nodes of many partners first, with all that none
-    before them has taken."""
-    near_to: dict[int, list[int]] = {}
-    for x, y in zip(a.tolist(), b.tolist()):
-        near_to.setdefault(x, []).append(y)
-        near_to.setdefault(y, []).append(x)
-    out, taken = [], set()
-    for x in sorted(near_to, key=lambda n: (-len(near_to[n]), n)):
-        if x not in taken:
-            mine = [y for y in near_to[x] if y not in taken] or near_to[x][:1]
-            taken.update((x, *mine))
-            out += [(x, y) for y in mine]
+def alike(a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: bool, radii: tuple[int, int], small: tuple[int, int], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two chunks (one if same) of the pairs of different roots whose fingerprints are within radii, or within small
+    where a set is, and whose sizes allow the similarity least. b is sorted by size, and a too."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(a["size"]), STRIP):
+        one = {k: v[at : at + STRIP, None] for k, v in a.items()}
+        low, high = np.searchsorted(b["size"], [one["size"].min() * least - 1e-6, one["size"].max() / least + 1e-6])
+        other = {k: v[None, low:high] for k, v in b.items()}
+        less, more = np.minimum(one["size"], other["size"]), np.maximum(one["size"], other["size"])
+        first = np.where(less <= SMALL, small[0], radii[0])
+        met = (np.bitwise_count(one["w0"] ^ other["w0"]) <= first) & (less >= least * more - 1e-6) & (one["root"] != other["root"])
+        i, j = np.nonzero(met)
+        i, j = i + at, j + low
+        if same:
+            i, j = i[i < j], j[i < j]
+        bits = sum(np.bitwise_count(a[f"w{k}"][i] ^ b[f"w{k}"][j]).astype(np.int64) for k in range(WORDS))
+        close = bits <= np.where(np.minimum(a["size"][i], b["size"][j]) <= SMALL, small[1], radii[1])
+        left.append(i[close])
+        right.append(j[close])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def stars(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Of pairs (i, j) of n places those in which every place of them occurs: places of many partners first, with all that
+    none before them has taken."""
+    met = np.zeros((n, n), dtype=bool)
+    met[i, j] = met[j, i] = True
+    partners = met.sum(axis=1)
+    out, taken = [], np.zeros(n, dtype=bool)
+    for x in np.argsort(-partners, kind="stable").tolist():
+        if taken[x] or not partners[x]:
+            continue
+        mine = np.flatnonzero(met[x] & ~taken)
+        mine = mine if len(mine) else np.flatnonzero(met[x])[:1]
+        taken[x] = taken[mine] = True
+        out += [(x, y) for y in mine.tolist()]
     return out
 
 
-#: a, b: a pair of nodes. Where a is null: a pair of chunks that has more pairs than were returned; where b is null: a node
-#: of one side of that pair of chunks.
-PAIR = "a long, b long, side int, tile_a array<int>, chunk_a int, tile array<int>, chunk int"
+#: The sets of a chunk.
+MEMBER = ["node", "size", "root", *(f"w{k}" for k in range(WORDS))]
+
+
+def members_of(rows: pa.StructScalar) -> dict[str, np.ndarray]:
+    """The columns of a chunk's sets, by size."""
+    columns = {name: np.asarray(rows.values.field(name)) for name in MEMBER}
+    order = np.argsort(columns["size"], kind="stable")
+    return {name: (v.view(U) if name.startswith("w") else v)[order] for name, v in columns.items()}
+
+
+def first_stars(*bounds):
+    """a, b: stars of the pairs that are alike in each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for rows in batch.column("rows"):
+                own = members_of(rows)
+                pairs = np.array(stars(len(own["node"]), *alike(own, own, True, *bounds)), dtype=np.int64).reshape(-1, 2)
+                a.append(own["node"][pairs[:, 0]])
+                b.append(own["node"][pairs[:, 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
+def all_alike(*bounds):
+    """a, b: all pairs that are alike between the chunks of each row. Where they are many for their sets, b is null and a is a set
+    of one side, under the row's key and chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs, dense = [], []
+            names = [batch.column(n).to_pylist() for n in ("key", "chunk_a", "chunk")]
+            for k, (key, first, second) in enumerate(zip(*names)):
+                one = members_of(batch.column("rows_a")[k])
+                other = one if first == second else members_of(batch.column("rows")[k])
+                i, j = alike(one, other, first == second, *bounds)
+                sides = [one["node"][np.unique(i)], other["node"][np.unique(j)]]
+                if len(i) <= 2 * sum(map(len, sides)):
+                    pairs += zip(one["node"][i].tolist(), other["node"][j].tolist())
+                else:
+                    dense += [(x, side, key, first, second) for side in (0, 1) for x in sides[side].tolist()]
+            rows = [(x, y, None, None, None, None) for x, y in pairs] + [(x, None, *rest) for x, *rest in dense]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["a", "b", "side", "key", "chunk_a", "chunk"])
+        pa.default_memory_pool().release_unused()
+
+    return run
 
 
-def compared(words: int, radii: tuple[int, int], small: tuple[int, int] | None, mode: str):
-    """Compares pairs of chunks by radii, or by small where a side's size class (the last of its tile) is SMALL_CLASS or less. mode "links": pairs that join what nothing else there does, for links that need no check.
-    "some": all pairs if they are few for their nodes, else stars of them and the chunks' names. "nodes": the nodes of
-    each side that meet one of another root, with the chunks' names."""
+def compared(radius: int):
+    """a, b: of the pairs within radius bits between two chunks, those that join what nothing else there does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            rows: list[tuple[int, int]] = []
             sides = batch.column("rows_a"), batch.column("rows")
-            least = [min(a[-1], b[-1]) for a, b in zip(batch.column("tile_a").to_pylist(), batch.column("tile").to_pylist())]
             for k, same in enumerate(batch.column("same").to_pylist()):
                 structs = [side[k].values for side in sides]
-                first, radius = small if small and least[k] <= SMALL_CLASS else radii
-                i, j = near(*([np.asarray(x.field(f"w{w}")).view(U) for w in range(words)] for x in structs), first, radius, same)
+                i, j = near(*([np.asarray(x.field("fp")).view(U)] for x in structs), radius, radius, same)
                 na, nb = (np.asarray(x.field("node"))[at] for x, at in zip(structs, (i, j)))
-                if mode == "links":
-                    rows += [(x, y, None, None) for x, y in forest(zip(na.tolist(), nb.tolist()))]
-                elif mode == "nodes":
-                    ra, rb = (np.asarray(x.field("root"))[at] for x, at in zip(structs, (i, j)))
-                    rows += [(x, None, side, k) for side, nodes in enumerate((na, nb)) for x in np.unique(nodes[ra != rb]).tolist()]
-                elif len(na) <= 2 * len(np.union1d(na, nb)):
-                    rows += [(x, y, None, None) for x, y in zip(na.tolist(), nb.tolist())]
-                else:
-                    rows += [(x, y, None, None) for x, y in stars(na, nb)]
-                    rows.append((None, None, None, k))
-            left, right, side, places = (pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64())))
-            names = ["tile_a", "chunk_a", "tile", "chunk"]
-            yield pa.RecordBatch.from_arrays([left, right, side, *(batch.column(n).take(places) for n in names)], ["a", "b", "side", *names])
+                rows += forest(zip(na.tolist(), nb.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
         pa.default_memory_pool().release_unused()
 
     return run
 
 
 class Tiles:
-    """Nodes (node, w0, w1, ...: words of the fingerprint, distinct each) in tiles cut into chunks of about CHUNK nodes.
+    """Nodes (node, fp, distinct each) in tiles cut into chunks of about CHUNK nodes.
 
-    The tile is a list: bands of population counts of the parts of w0, then the column size_class if there is one; of
-    classes only neighbours are compared.
+    The tile is the list of the population counts of the fingerprint's parts.
     """
 
-    def __init__(self, nodes: DataFrame, words: int, radii: tuple[int, int], parts: int, band: int, small: tuple[int, int] | None = None):
-        self.words, self.radii, self.small = words, radii, small
-        first = max(radii[0], small[0] if small else 0)
-        sized = "size_class" in nodes.columns
-        tile = F.array(*counts_of(F.col("w0"), parts, band), *([F.col("size_class").cast("int")] if sized else []))
-        keyed = nodes.withColumn("tile", tile)
-        # a tile is one of 17^4 lists of counts, or of 9 for each class of sizes: at most 83,521 rows
+    def __init__(self, nodes: DataFrame, radius: int, parts: int = 4):
+        self.radius = radius
+        keyed = nodes.withColumn("tile", F.array(*counts_of(F.col("fp"), parts)))
+        # a tile is one of 17^4 lists of counts: at most 83,521 rows
         sizes = F.broadcast(keyed.groupBy("tile").agg(F.count("*").alias("n")))
         chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).cast("int")
-        self.fields = ["node", *(f"w{k}" for k in range(words))]
         chunked = keyed.join(sizes, "tile").withColumn("chunk", chunk)
-        self.tiles = stored(chunked.groupBy("tile", "chunk").agg(F.collect_list(F.struct(*self.fields)).alias("rows")))
-        gap = lambda d: max(0, (abs(d) - 1) * band + 1) if d else 0
-        reach = next(d for d in itertools.count(1) if gap(d) > first)
-        steps = [d for d in itertools.product(range(1 - reach, reach), repeat=parts) if sum(map(gap, d)) <= first]
-        steps = [d + c for d in steps for c in (((-1,), (0,), (1,)) if sized else ((),))]
+        self.tiles = stored(chunked.groupBy("tile", "chunk").agg(F.collect_list(F.struct("node", "fp")).alias("rows")))
+        steps = [d for d in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius]
         self.steps = [d for d in steps if d >= (0,) * len(d)]
 
     def chunk_pairs(self) -> DataFrame:
@@ -202,25 +255,17 @@ class Tiles:
         own = F.forall("d", lambda x: x == 0)
         return moved.join(names, "tile").filter(~own | (F.col("chunk_a") <= F.col("chunk"))).select("tile_a", "chunk_a", "tile", "chunk")
 
-    def compare(self, chunk_pairs: DataFrame, mode: str, tiles: DataFrame | None = None) -> DataFrame:
-        tiles = self.tiles if tiles is None else tiles
-        left = tiles.select(F.col("tile").alias("tile_a"), F.col("chunk").alias("chunk_a"), F.col("rows").alias("rows_a"))
-        both = chunk_pairs.join(left, ["tile_a", "chunk_a"]).join(tiles, ["tile", "chunk"])
+    def links(self) -> DataFrame:
+        """Links (a, b), enough for the components of all pairs within the radius."""
+        left = self.tiles.select(F.col("tile").alias("tile_a"), F.col("chunk").alias("chunk_a"), F.col("rows").alias("rows_a"))
+        both = self.chunk_pairs().join(left, ["tile_a", "chunk_a"]).join(self.tiles, ["tile", "chunk"])
         both = both.withColumn("same", (F.col("tile_a") == F.col("tile")) & (F.col("chunk_a") == F.col("chunk")))
-        return both.mapInArrow(compared(self.words, self.radii, self.small, mode), PAIR)
-
-    def rooted(self, chunk_pairs: DataFrame, joined: DataFrame) -> DataFrame:
-        """The tiles of some chunk pairs with the nodes' components (node, component) as roots."""
-        wanted = chunk_pairs.select(F.explode(F.array(F.struct(F.col("tile_a").alias("tile"), F.col("chunk_a").alias("chunk")), F.struct("tile", "chunk"))).alias("x")).select("x.*").distinct()
-        rows = self.tiles.join(wanted, ["tile", "chunk"]).select("tile", "chunk", F.explode("rows").alias("r")).select("tile", "chunk", *(f"r.{f}" for f in self.fields))
-        rows = rows.join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
-        return stored(rows.groupBy("tile", "chunk").agg(F.collect_list(F.struct(*self.fields, "root")).alias("rows")))
+        return both.mapInArrow(compared(self.radius), "a long, b long")
 
 
 def near_links(nodes: DataFrame, radius: int) -> DataFrame:
     """nodes: fp, node (distinct each). Returns a, b: enough links for the components of all pairs within radius bits."""
-    tiles = Tiles(nodes.withColumnRenamed("fp", "w0"), 1, (radius, radius), 4, 1)
-    return tiles.compare(tiles.chunk_pairs(), "links").select("a", "b")
+    return Tiles(nodes, radius).links()
 
 
 def grouped(docs: DataFrame, radius: int) -> DataFrame:
@@ -264,6 +309,25 @@ def fingerprint(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total > len(shingles), bitorder="little").view(np.int64)
 
 
+def keys_of(shingles: np.ndarray) -> np.ndarray:
+    """KEYS keys of a set of shingle hashes, each a hash of the smallest values of ROWS orders; none of an empty set."""
+    if not len(shingles):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(KEYS * ROWS, np.iinfo(U).max, dtype=U)
+    for at in range(0, len(shingles), STEP // ROWS):
+        np.minimum(least, (shingles[at : at + STEP // ROWS, None] * TIMES).min(axis=0), out=least)
+    keys = np.arange(1, KEYS + 1, dtype=U)
+    for column in least.reshape(KEYS, ROWS).T:
+        keys = scattered(keys + column)
+    return keys.view(np.int64)
+
+
+def lists(values: list[np.ndarray]) -> pa.ListArray:
+    """A list of longs of each array."""
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(v.view(np.int64) for v in values)])))
+
+
 def signed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,8 +336,9 @@ def signed(width: int):
             sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
             words = np.array([fingerprint(s) for s in sets], dtype=np.int64).reshape(len(sets), WORDS)
             columns = [scattered(nodes + sizes.astype(U)).view(np.int64), sizes, *(np.ascontiguousarray(words[:, k]) for k in range(WORDS))]
-            names = ["node", "size", *(f"w{k}" for k in range(WORDS))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), *map(pa.array, columns)], ["id", "body", *names])
+            names = ["id", "body", "node", "size", *(f"w{k}" for k in range(WORDS)), "keys"]
+            keys = lists([keys_of(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), *map(pa.array, columns), keys], names)
 
     return run
 
@@ -323,10 +388,7 @@ def with_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), width) for t in batch.column("text")]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, U), *sets]).view(np.int64)
-            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("groups"), shingles], ["node", "groups", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("groups"), lists(sets)], ["node", "groups", "shingles"])
 
     return run
 
@@ -362,33 +424,65 @@ def once_each(texts: DataFrame, prints: DataFrame) -> DataFrame:
     return texts.join(keys, ["id", "body"], "left_anti").unionByName(many)
 
 
+def pair_groups(pairs: DataFrame) -> DataFrame:
+    """Groups (key, side, node) of pairs (a, b): a node's partners are dealt among SALTS groups."""
+    keyed = pairs.withColumn("key", F.xxhash64("a", F.pmod("b", F.lit(SALTS))))
+    ends = (F.struct(F.lit(k).alias("side"), F.col(c).alias("node")) for k, c in enumerate("ab"))
+    return keyed.select("key", F.explode(F.array(*ends)).alias("x")).select("key", "x.*").distinct()
+
+
+def joined_by_keys(nodes: DataFrame, check, radii: tuple[int, int], small: tuple[int, int], least: float) -> DataFrame:
+    """node, component of the nodes (node, size, w0, w1, ..., keys) that check, a function of groups (key, side, node), links.
+
+    Nodes meet where they share a key. First each joins the middle of a star in its chunk of the keys FIRST_KEYS, a row a
+    node and key. What that has not joined is then compared in all keys, chunk by chunk of a key; a key whose nodes are one
+    component by then has nothing to compare, so groups of copies cost a few rows a copy.
+    """
+    keyed = stored(nodes.select("node", F.posexplode("keys").alias("band", "key")))
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = stored(keyed.join(small_or_not(shared), "key"))
+    drop(keyed)
+    fields = small_or_not(nodes.select(*(c for c in MEMBER if c != "root")))
+    chunk_of = lambda n: F.pmod(F.xxhash64("node", "key"), F.ceil(F.col(n) / KEY_CHUNK))
+    rows = F.collect_list(F.struct(*MEMBER)).alias("rows")
+    few = met.filter(F.col("band") < FIRST_KEYS).withColumn("chunk", chunk_of("n")).withColumn("root", F.col("node"))
+    chunks = few.join(fields, "node").groupBy("key", "chunk").agg(rows).filter(F.size("rows") > 1)
+    links = check(stored(pair_groups(chunks.select("rows").mapInArrow(first_stars(radii, small, least), "a long, b long"))))
+    joined = stored(components(links))
+    rooted = stored(met.select("key", "node").join(small_or_not(joined), "node", "left").select("key", "node", F.coalesce("component", "node").alias("root")))
+    drop(met)
+    counted = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    apart = stored(counted.filter("low <> high").select("key", "n", F.ceil(F.col("n") / KEY_CHUNK).alias("parts")))
+    rest = rooted.join(small_or_not(apart), "key").withColumn("chunk", chunk_of("n")).join(fields, "node")
+    rest = stored(rest.groupBy("key", "parts", "chunk").agg(rows))
+    whole = rest.filter("parts = 1").select("key", F.col("chunk").alias("chunk_a"), F.col("rows").alias("rows_a"), "chunk", "rows")
+    names = apart.filter("parts > 1").select("key", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("chunk_a"))
+    names = names.select("key", "chunk_a", F.explode(F.sequence("chunk_a", F.col("parts") - 1)).alias("chunk"))
+    parts = rest.filter("parts > 1").select("key", "chunk", "rows")
+    cut = names.join(parts.select("key", F.col("chunk").alias("chunk_a"), F.col("rows").alias("rows_a")), ["key", "chunk_a"]).join(parts, ["key", "chunk"])
+    pairs = "a long, b long, side int, key long, chunk_a long, chunk long"
+    found = stored(whole.unionByName(cut.select(*whole.columns)).mapInArrow(all_alike(radii, small, least), pairs))
+    dense = found.filter("b is null").select(F.xxhash64("key", "chunk_a", "chunk").alias("key"), "side", F.col("a").alias("node"))
+    more = check(stored(pair_groups(found.filter("b is not null").select("a", "b")).unionByName(dense)))
+    drop(rooted)
+    drop(rest)
+    return joined if more.isEmpty() else stored(components(links.unionByName(more)))
+
+
 def similar_groups(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """id (doc_id, null as the largest), body (a hash of the text), first (the smallest id of the row's component)
     and root, a name of the component; links are pairs of texts whose shingle sets have the Jaccard similarity least."""
     python_ready(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(TOP)).alias("id"), F.xxhash64("text").alias("body"), "text")
-    words = ", ".join(f"w{k} long" for k in range(WORDS))
-    prints = stored(texts.mapInArrow(signed(width), f"id long, body long, node long, size long, {words}"))
+    words = [f"w{k}" for k in range(WORDS)]
+    prints = stored(texts.mapInArrow(signed(width), f"id long, body long, node long, size long, {' long, '.join(words)} long, keys array<long>"))
     # a set's node is named by the sum of its hashes and its size
-    nodes = stored(prints.groupBy("node").agg(F.min("size").alias("size"), F.min(F.struct("id", "body")).alias("own"), *(F.min(f"w{k}").alias(f"w{k}") for k in range(WORDS))))
-    # sets of this similarity are in the same class of sizes or in neighbouring ones
-    size_class = F.when(F.col("size") > 0, F.floor(F.ln("size") / F.ln(F.lit(1 / least)) + 1e-9)).otherwise(-2)
-    tiles = Tiles(nodes.withColumn("size_class", size_class), WORDS, RADII, 1, BAND, SMALL_RADII)
+    nodes = stored(prints.groupBy("node").agg(F.min("size").alias("size"), F.min(F.struct("id", "body")).alias("own"), *(F.min(c).alias(c) for c in (*words, "keys"))))
     owners, single = nodes.select("node", "size", "own.*"), once_each(texts, prints)
-    met = stored(tiles.compare(tiles.chunk_pairs(), "some"))
-    pairs = met.filter("b is not null").withColumn("key", F.xxhash64("a", F.pmod("b", F.lit(SALTS))))
-    both = pairs.select("key", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("b").alias("node")))).alias("x"))
-    links = verified(both.select("key", "x.*").distinct(), owners, single, width, least)
-    joined = stored(components(links))
-    dense = met.filter("a is null").select("tile_a", "chunk_a", "tile", "chunk")
-    if not dense.isEmpty():
-        # what the stars' links have not joined there is compared in full, by tasks that return links alone
-        apart = tiles.compare(dense, "nodes", tiles.rooted(dense, joined))
-        rows = stored(apart.select(F.xxhash64("tile_a", "chunk_a", "tile", "chunk").alias("key"), "side", F.col("a").alias("node")))
-        if not rows.isEmpty():
-            joined = stored(components(links.unionByName(verified(rows, owners, single, width, least))))
+    joined = joined_by_keys(nodes, lambda groups: verified(groups, owners, single, width, least), RADII, SMALL_RADII, least)
     rooted = stored(prints.select("id", "body", "node").join(small_or_not(joined), "node", "left").select("id", "body", F.coalesce("component", "node").alias("root")))
     drop(prints)
+    drop(nodes)
     return rooted.join(rooted.groupBy("root").agg(F.min("id").alias("first")), "root")
 
 
@@ -398,8 +492,8 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> Dat
 
     Two texts are near copies if the Jaccard similarity of their sets of shingles of width words is least or more; a group
     is all that links reach, so a chain may join texts that are less similar. Empty and null texts are one group. A
-    null doc_id counts as the largest. Texts of any length are compared by all their shingles. A pair is missed only if its
-    fingerprints differ far more than its sets.
+    null doc_id counts as the largest. Texts of any length are compared by all their shingles. A pair is missed only if it
+    shares no key or its fingerprints differ far more than its sets; KEYS and RADII are set for LEAST.
     """
     return first_rows(docs, similar_groups(docs, width, least))
 
