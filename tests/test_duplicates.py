@@ -67,6 +67,15 @@ def test_candidates_list_every_member_of_a_class(frame):
     assert sorted(r.reviewed_id for r in found.collect()) == ["r0", "r1", "r2"]
 
 
+def test_keys_of_fingerprints_are_not_broadcast(frame):
+    zero = "0" * 16
+    prints = [D.written(frame(PRINT, *((f"{side}{k}", f"{side}{k}", zero, zero, 9, 9) for k in range(9)))) for side in "qr"]
+    pairs = D.near_pairs(*prints)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert pairs.count() == 81
+
+
 def test_the_bound_is_never_above_the_difference(frame):
     draw = np.random.default_rng(7)
     rows = []

@@ -112,14 +112,16 @@ def near_pairs(pending: DataFrame, reviewed: DataFrame, dhash_bits: int = DHASH,
 
     They meet on a pair of bands and an aspect bucket; the pending side looks into the neighbouring buckets too. Of the bands
     on which two fingerprints meet the first alone makes a row, so that near copies are a row a pair. Fingerprints have a
-    row a post_id.
+    row a post_id. Keys are shuffled: by the size of a file of fingerprints, which is all that Spark knows, it would broadcast
+    them, but each fingerprint has 21 keys or more.
     """
     c = F.col
     asked = banded(pending, "q", dhash_bits, ahash_bits, around=1)
     d, a = (c(f"q_{x}").bitwiseXOR(c(f"r_{x}")) for x in "da")
     dh, ah = F.bit_count(d), F.bit_count(a)
     first = F.coalesce(*shared_tags(d, dhash_bits, "d"), *shared_tags(a, ahash_bits, "a"))
-    met = asked.join(banded(reviewed, "r", dhash_bits, ahash_bits), ["tag", "band", "bucket"]).withColumns({"dh": dh, "ah": ah})
+    held = banded(reviewed, "r", dhash_bits, ahash_bits).hint("merge")
+    met = asked.join(held, ["tag", "band", "bucket"]).withColumns({"dh": dh, "ah": ah})
     close = aspect_close(c("q_w"), c("q_h"), c("r_w"), c("r_h")) & ((c("dh") <= dhash_bits) | (c("dh") <= wide_bits) & (c("ah") <= ahash_bits))
     pairs = met.filter(close & (c("tag") == first) & (c("q_id") != c("r_id")))
     return pairs.select(c("q_id").alias("pending_id"), c("r_id").alias("reviewed_id"), F.lit(False).alias("exact"), "dh", "ah")
