@@ -55,6 +55,33 @@ def test_a_search_reads_the_parts_of_its_posts_alone(spark, frame, tmp_path):
     assert len(index.read_for("NEEDLE in").inputFiles()) < every / 8
 
 
+def test_rounds_equal_scans_and_the_trigrams_stay_few(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "ROUND_ROWS", 10)
+    monkeypatch.setattr(text_index, "BLOCKS", 8)
+    index = TextIndex(spark, str(tmp_path / "i"))
+    rows = [("s", str(k), f"p{k}", f"text {k}") for k in range(300)]
+    for _ in range(2):
+        index.refresh(frame(ROW, *rows))
+    assert len(index._versions()) == text_index.ROUNDS and index.texts().count() == 300
+    rows[7] = ("s", "7", "p7", "other")
+    index.refresh(frame(ROW, *rows))
+    assert found(index, "text 7") == sorted(f"p{k}" for k in range(300) if str(k).startswith("7") and k != 7)
+    assert found(index, "OTHER") == ["p7"]
+    # by block, not by post: 300 posts hold " te", and a block holds it once
+    assert index.grams().groupBy("gram", "block").count().filter("count > 2").count() == 0
+    assert index.grams().count() < 300 * 3
+
+
+def test_a_version_that_broke_off_is_written_again(spark, frame, tmp_path):
+    index = TextIndex(spark, str(tmp_path / "i"))
+    df = frame(ROW, ("s", "1", "p1", "a cat"), ("s", "2", "p2", "a dog"))
+    index.refresh(df)
+    (tmp_path / "i" / "grams" / "version=0" / "_SUCCESS").unlink()
+    assert index.texts().count() == 0 and found(index, "cat") == []
+    index.refresh(df)
+    assert index.texts().count() == 2 and found(index, "cat") == ["p1"]
+
+
 @pytest.mark.parametrize("needle, parts", [("a%b_c", ["a", "b", "c"]), ("\\%a\\\\", ["%a\\"]), ("%%", []), ("ab", ["ab"])])
 def test_literal_parts(needle, parts):
     assert literal_parts(needle) == parts
