@@ -91,3 +91,33 @@ def test_a_batch_that_broke_off_runs_again(spark, frame, tmp_path, monkeypatch):
         table.insert_if_absent(batch, ingest.since("week"), ingest.POST_ORDER)
     assert ids(spark, table.path, "post_id") == sorted(f"p{k}" for k in range(10))
     assert len(table._versions()) <= 2
+
+
+def test_text_is_parsed_once_a_row(spark, frame):
+    raw = frame("value string", (json.dumps(comment(1, 1)),), (json.dumps(comment(2, 1, author="BotX")),), ("no json",), (None,))
+    rows = ingest.comments_of(raw)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert [r.comment_id for r in rows.collect()] == ["c1"]
+
+
+def test_waiting_comments_are_files_and_batches_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "BATCH_BYTES", 1)
+    posts, state = tmp_path / "posts", tmp_path / "c_state"
+    posts.mkdir()
+    for k in range(3):
+        lines(tmp_path / "comments", str(k), k, [comment(k, 1), comment(10 + k, 2)])
+    args = [str(tmp_path / n) for n in ("posts", "comments", "p", "c", "c_state")]
+    ingest.stream_comments(spark, *args).awaitTermination()
+    assert sorted(p.name for p in (state / "waiting" / "comments").iterdir()) == ["batch=0", "batch=1", "batch=2"]
+    assert not (state / "state").exists()  # no state of a join
+    lines(posts, "1", HOUR, [post(1)])
+    lines(tmp_path / "comments", "3", HOUR, [comment(3, 1), comment(0, 1)])
+    ingest.stream_comments(spark, *args).awaitTermination()
+    assert ids(spark, tmp_path / "c", "comment_id") == ["c0", "c1", "c2", "c3"]
+    # long after, what waits is settled by the table of posts, and its files go
+    ingest.stream_ingest(spark, str(posts), args[2], str(tmp_path / "p_state"), "3650 days").awaitTermination()
+    lines(posts, "2", 240 * HOUR, [post(3)])
+    lines(tmp_path / "comments", "4", 240 * HOUR, [comment(4, 1)])
+    ingest.stream_comments(spark, *args).awaitTermination()
+    assert [p.name for p in (state / "waiting" / "comments").iterdir()] == ["batch=4"]
+    assert ids(spark, tmp_path / "c", "comment_id") == ["c0", "c1", "c2", "c3", "c4"]

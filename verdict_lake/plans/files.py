@@ -84,6 +84,10 @@ def stream_ingest(t):
     return t.spark.read.parquet(f"{folder}/posts").select("post_id", "score")
 
 
+#: How lines of JSON are written that are several times their tables.
+SMALL = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
+
 @query("""with a as (select post_id, case when post_score % 4 <> 0 and (regexp_matches(split_part(lower(image_url), '?', 1), '\\.(jpg|jpeg|png|gif|webp)$') or contains(lower(image_url), 'i.redd.it') or contains(lower(image_url), 'i.imgur.com')) then image_url end as image_url, post_score from memes)
   select distinct comment_id, post_id, cast(score as bigint) as score from comments where author <> 'AutoModerator' and not lower(author) like 'bot%' and body not in ('[deleted]', '[removed]') and distinguished is null
   and post_id in (select post_id from a where image_url is not null and post_score >= 10)""")
@@ -94,12 +98,12 @@ def stream_comments(t):
     said = """struct('t1_' || comment_id as id, 't3_' || post_id as link_id, author, body, score, distinguished, '1700000000' as created_utc)"""
     comments = t.comments.select(F.to_json(F.expr(said)).alias("value"), F.pmod(F.xxhash64("comment_id"), F.lit(2)).alias("half"))
     args = [f"{folder}/{n}" for n in ("posts_in", "in", "posts", "comments", "state")]
-    comments.filter("half = 0").select("value").write.text(args[1])
+    comments.filter("half = 0").select("value").write.options(**SMALL).text(args[1])
     t.spark.createDataFrame([], "value string").write.text(args[0])
     ingest.stream_comments(t.spark, *args).awaitTermination()
-    t.memes.select(F.to_json(F.expr(post)).alias("value")).write.mode("append").text(args[0])
-    later = comments.filter("half = 1").select("value")
-    later.unionByName(later).write.mode("append").text(args[1])
+    t.memes.select(F.to_json(F.expr(post)).alias("value")).write.mode("append").options(**SMALL).text(args[0])
+    twice = comments.filter("half = 1").select(F.explode(F.array("value", "value")).alias("value"))
+    twice.write.mode("append").options(**SMALL).text(args[1])
     ingest.stream_ingest(t.spark, args[0], args[2], f"{folder}/posts_state", "36500 days").awaitTermination()
     ingest.stream_comments(t.spark, *args).awaitTermination()
     return t.spark.read.parquet(args[3]).select("comment_id", "post_id", "score")

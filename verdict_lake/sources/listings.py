@@ -55,6 +55,19 @@ def read_comments_listing(raw: DataFrame) -> DataFrame:
     )
 
 
+def without_kind(c: str, kind: str) -> Column:
+    """An id without the kind that may stand before it."""
+    return F.when(F.startswith(F.col(c), F.lit(kind)), F.substr(F.col(c), F.lit(len(kind) + 1))).otherwise(F.col(c))
+
+
+def parsed(raw: DataFrame, kind: str, *keep: str) -> DataFrame:
+    """The fields of kind of raw's JSON text (value), with the columns of raw to keep.
+
+    The text is parsed once a row: of an exploded array Spark can't move filters below, where each would parse the text again.
+    """
+    return raw.select(F.explode(F.array(F.from_json("value", kind))).alias("v"), *keep).select("v.*", *keep)
+
+
 def created_at(rows: DataFrame) -> DataFrame:
     """rows of an archive with created, in seconds; without an id or a positive creation time they go."""
     created = F.try_to_number(F.col("created_utc"), F.lit("9999999999.999999"))
@@ -65,10 +78,10 @@ def created_at(rows: DataFrame) -> DataFrame:
 def read_archive_comments(raw: DataFrame, *keep: str) -> DataFrame:
     """Comments of archive rows (value: JSON text), with the columns of raw to keep; rows without an id, a post or a positive
     creation time go."""
-    rows = created_at(raw.select(F.from_json("value", ARCHIVE_COMMENT).alias("v"), *keep).select("v.*", *keep))
+    rows = created_at(parsed(raw, ARCHIVE_COMMENT, *keep))
     rows = rows.select(
-        F.regexp_replace(text(F.col("link_id")), "^t3_", "").alias("post_id"),
-        F.regexp_replace("id", "^t1_", "").alias("comment_id"),
+        text(without_kind("link_id", "t3_")).alias("post_id"),
+        without_kind("id", "t1_").alias("comment_id"),
         text(F.col("author")).alias("author"),
         text(F.col("body")).alias("body"),
         number(F.col("score")).alias("score"),
@@ -82,7 +95,7 @@ def read_archive_comments(raw: DataFrame, *keep: str) -> DataFrame:
 def read_archive_rows(raw: DataFrame, *keep: str) -> DataFrame:
     """Posts of archive rows (value: JSON text), with the columns of raw to keep; rows without an id or a positive creation
     time go."""
-    rows = raw.select(F.from_json("value", ARCHIVE).alias("v"), *keep).select("v.*", *keep)
+    rows = parsed(raw, ARCHIVE, *keep)
     own = F.coalesce("is_self", F.lit(False))
     rows = created_at(rows)
     return rows.select(

@@ -1,8 +1,8 @@
 """Continuous ingest: archive rows to qualified posts and their comments, each inserted once.
 
-Comments come as a stream of their own and are joined to the stream of posts: a comment that comes before its post waits for
-it in the join's state, a post waits for its comments there. Time is the time of arrival, so that no row is too late for
-the state. A comment that has waited in vain leaves it, and is settled by the table of posts: its post may have come long ago.
+Comments come as a stream of their own, beside the stream of posts: a comment that comes before its post waits for it in
+files (waiting.py), and the ids of posts wait for comments there. Time is the time of arrival, so that no row is too late. A
+comment that has waited in vain is settled by the table of posts: its post may have come long ago.
 """
 
 from __future__ import annotations
@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import shuffles_removed
 from ..sources.listings import clean_comments, qualify_posts, read_archive_comments, read_archive_rows
 from .keyed_sink import KeyedTable
+from .waiting import Waiting
 
 #: The time that a partition of a table covers.
 SPAN = "month"
+#: Bytes of comments' files that a batch takes, as they are on disk; a larger file is a batch of its own.
+BATCH_BYTES = 1 << 27
 POST_ORDER, COMMENT_ORDER = ("created_utc", "title"), ("created_utc", "body", "post_id")
 
 
@@ -43,28 +47,33 @@ def insert_if_absent(target: str) -> Callable[[DataFrame, int], None]:
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        KeyedTable(batch.sparkSession, target, "post_id").insert_if_absent(batch, since(), POST_ORDER)
+        with shuffles_removed(batch.sparkSession):
+            KeyedTable(batch.sparkSession, target, "post_id").insert_if_absent(batch, since(), POST_ORDER)
 
     return write
 
 
-def insert_comments(target: str, posts_target: str) -> Callable[[DataFrame, int], None]:
-    """A sink of comments with met, whether they have met their post in the stream: others are settled by the table of posts."""
+def insert_comments(target: str, posts_target: str, waiting: str, wait: str, disorder: str) -> Callable[[DataFrame, int], None]:
+    """A sink of comments, and of the ids of posts that they wait for."""
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        alone = batch.filter("not met").drop("met")
-        settled = KeyedTable(spark, posts_target, "post_id").among(alone, "post_id").select(*alone.columns)
-        KeyedTable(spark, target, "comment_id").insert_if_absent(batch.filter("met").drop("met").unionByName(settled), since(), COMMENT_ORDER)
-        batch.unpersist()
+
+        def known(comments: DataFrame) -> DataFrame:
+            return KeyedTable(spark, posts_target, "post_id").among(comments, "post_id").select(*comments.columns)
+
+        def append(comments: DataFrame) -> None:
+            KeyedTable(spark, target, "comment_id").insert_if_absent(comments.drop("arrived"), since(), COMMENT_ORDER)
+
+        with shuffles_removed(spark):
+            Waiting(spark, waiting, wait, disorder).settle(batch, n, known, append)
 
     return write
 
 
-def arriving(spark: SparkSession, source: str) -> DataFrame:
+def arriving(spark: SparkSession, source: str, **limits: int) -> DataFrame:
     """value and arrived of the lines of source's text files, a stream: a file's lines arrive when it was written."""
-    return spark.readStream.schema("value string").text(source).select("value", F.col("_metadata.file_modification_time").alias("arrived"))
+    return spark.readStream.schema("value string").options(**limits).text(source).select("value", F.col("_metadata.file_modification_time").alias("arrived"))
 
 
 def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, lateness: str = "30 days") -> StreamingQuery:
@@ -83,12 +92,12 @@ def stream_comments(
 ) -> StreamingQuery:
     """Read new text files of both sources once, and append to target the new comments of qualified posts.
 
-    A comment and its post meet if they arrive within wait of each other. A comment that met none by then is appended if
-    posts_target has its post, and else dropped. disorder: by how much files may be read out of the order of their times.
+    A comment and its post meet if they arrive within wait of each other, or somewhat later: what waits is dropped by batches. A
+    comment that met none by then is appended if posts_target has its post, and else dropped. disorder: by how much files may be
+    read out of the order of their times.
     """
-    posts = posts_of(arriving(spark, posts_source), "arrived").select(F.col("post_id").alias("own_id"), F.col("arrived").alias("post_arrived"))
-    posts = posts.withWatermark("post_arrived", disorder)
-    comments = comments_of(arriving(spark, source), "arrived").withWatermark("arrived", disorder)
-    near = F.expr(f"own_id = post_id and post_arrived >= arrived - interval {wait} and post_arrived <= arrived + interval {wait}")
-    joined = comments.join(posts, near, "left_outer").withColumn("met", F.col("own_id").isNotNull()).drop("own_id", "post_arrived", "arrived")
-    return joined.writeStream.foreachBatch(insert_comments(target, posts_target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    posts = posts_of(arriving(spark, posts_source), "arrived").select(F.lit(True).alias("is_post"), "post_id", "arrived")
+    comments = comments_of(arriving(spark, source, maxBytesPerTrigger=BATCH_BYTES), "arrived").withColumn("is_post", F.lit(False))
+    rows = comments.unionByName(posts, allowMissingColumns=True)
+    sink = insert_comments(target, posts_target, f"{checkpoint}/waiting", wait, disorder)
+    return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -70,13 +70,17 @@ class KeyedTable:
     def insert_if_absent(self, rows: DataFrame, since: Column, order: Sequence[str]) -> None:
         """Append the first row by order of each key that the table does not have."""
         columns = rows.columns
-        first = first_of(rows.withColumn("_order", F.struct(*order)), [self.key], "_order").select(*columns, since.alias("since")).persist()
+        first = first_of(rows.withColumn("_order", F.struct(*order)), [self.key], "_order").select(*columns, since.alias("since"))
+        # files instead of a cache, whose shuffles would stay as long as the driver knows it
+        came = f"{self.path}/_came"
+        first.write.mode("overwrite").option("compression", "zstd").parquet(came)
+        first = self.spark.read.schema(first.schema).parquet(came)
         if not first.isEmpty():
             known = self.known(first)
             fresh = first if known is None else first.join(known.select(self.key), self.key, "left_anti")
             self._add_bits(first)
-            fresh.hint("rebalance", "since").write.mode("append").partitionBy("since").parquet(self.path)
-        first.unpersist()
+            fresh.hint("rebalance", "since").write.mode("append").option("compression", "zstd").partitionBy("since").parquet(self.path)
+        self.fs.delete(self.fs_path(came), True)
 
     def _add_bits(self, rows: DataFrame) -> None:
         versions = self._versions()
