@@ -85,7 +85,7 @@ def stream_ingest(t):
 
 
 #: How lines of JSON are written that are several times their tables.
-SMALL = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+SMALL = {"compression": "gzip"}
 
 
 @query("""with a as (select post_id, case when post_score % 4 <> 0 and (regexp_matches(split_part(lower(image_url), '?', 1), '\\.(jpg|jpeg|png|gif|webp)$') or contains(lower(image_url), 'i.redd.it') or contains(lower(image_url), 'i.imgur.com')) then image_url end as image_url, post_score from memes)

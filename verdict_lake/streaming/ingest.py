@@ -21,7 +21,7 @@ from .waiting import Waiting
 #: The time that a partition of a table covers.
 SPAN = "month"
 #: Bytes of comments' files that a batch takes, as they are on disk; a larger file is a batch of its own.
-BATCH_BYTES = 1 << 27
+BATCH_BYTES = 3 << 25
 POST_ORDER, COMMENT_ORDER = ("created_utc", "title"), ("created_utc", "body", "post_id")
 
 
